@@ -141,3 +141,31 @@ def split_exact(df: DataFrame, seed: int, row_id: Column, val_fraction: float,
     val = smallest_k(keyed, k, "_draw", tie=tie).drop("_draw")
     train = df.join(val.select(*tie), list(tie), "left_anti")
     return train, val
+
+
+def with_index(df: DataFrame, key: str, out: str = "idx", cells: int = 65_536) -> DataFrame:
+    """Position of each row in the order of a unique BIGINT key, from 0.
+
+    Equal-width cells are counted, prefix-summed (one row per cell) and ranked inside, so
+    no task ever sorts the whole table.
+    """
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return df.withColumn(out, F.lit(None).cast("bigint"))
+    step = max(1, -(-(high - low + 1) // cells))
+    placed = df.withColumn("_cell", _bucket(key, f"{low}L", step))
+    counts = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = counts.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_cell").orderBy(key)) - 1
+    return placed.join(offsets, "_cell").withColumn(out, F.col("_off") + local).drop(
+        "_cell", "_off")
+
+
+def cyclic(attempts: DataFrame, attempt: str, items: DataFrame, key: str) -> DataFrame:
+    """Reuse ``items`` cyclically: attempt a gets the item at position a mod n."""
+    indexed = materialise(with_index(items, key, "_idx"), "cyclic")
+    n = indexed.count()
+    asked = attempts.withColumn("_idx", F.pmod(F.col(attempt), F.lit(n)).cast("bigint"))
+    return asked.join(indexed, "_idx").drop("_idx")
