@@ -31,12 +31,12 @@ def insert_fillers(t: Column, seed: int, row_id: Column, *, p: float = 0.15,
                    fillers: list[str] = FILLERS_WIDE) -> Column:
     """After interior words with probability ``p``, plus a prefix with ``prefix_p``."""
 
-    def noisy(ws: Column) -> Column:
+    def noisy(ws: Column, blocks: Column) -> Column:
         last = F.size(ws) - 1
 
         def step(w: Column, i: Column) -> Column:
-            dig = d.digest(seed, row_id, "fill", i)
-            hit = (i > 0) & (i < last) & d.gate(dig, p)
+            hit = (i > 0) & (i < last) & d.gate_at(blocks, i, p)
+            dig = d.digest(seed, row_id, "fillword", i)
             return F.when(hit, F.concat(w, F.lit(" "), d.choice(fillers, dig))).otherwise(w)
 
         head = d.digest(seed, row_id, "prefix")
@@ -45,7 +45,8 @@ def insert_fillers(t: Column, seed: int, row_id: Column, *, p: float = 0.15,
         body = F.concat(prefix, F.array_join(F.transform(ws, step), " "))
         return F.when(F.size(ws) < min_words, t).otherwise(body)
 
-    return d.let(_tokens(t), noisy)
+    return d.let(_tokens(t), lambda ws: d.let(
+        d.gate_blocks(seed, row_id, "fill", F.size(ws)), lambda blocks: noisy(ws, blocks)))
 
 
 def insert_fillers_narrow(t: Column, seed: int, row_id: Column) -> Column:
@@ -76,20 +77,23 @@ def force_typo(t: Column, correct: Column, typo: Column) -> Column:
 def spelling_errors(t: Column, seed: int, row_id: Column, p: float = 0.40) -> Column:
     """Ordered misspellings, each applied to its first occurrence with probability ``p``.
 
-    A fold binds the running text once; each branch carries a literal pattern, so Spark
-    compiles every pattern once per task. ``contains`` and the gate run before the regex.
+    Only rules whose word occurs in the text enter the fold (no rule creates the word of
+    another). The fold binds the running text once; each branch carries a literal pattern,
+    so Spark compiles every pattern once per task.
     """
+    present = F.array_compact(F.array(*[
+        F.when(F.contains(t, F.lit(word)), F.lit(n))
+        for n, (word, _) in enumerate(MISSPELLINGS)]))
 
     def step(acc: Column, i: Column) -> Column:
         branch = None
         for n, (word, typo) in enumerate(MISSPELLINGS):
             dig = d.digest(seed, row_id, "spell", n // 4)
-            hit = F.contains(acc, F.lit(word)) & d.gate(dig, p, n % 4)
-            value = F.when(hit, replace_first(acc, word, typo)).otherwise(acc)
+            value = F.when(d.gate(dig, p, n % 4), replace_first(acc, word, typo)).otherwise(acc)
             branch = F.when(i == n, value) if branch is None else branch.when(i == n, value)
         return branch.otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(MISSPELLINGS) - 1)), t, step)
+    return F.aggregate(present, t, step)
 
 
 def homophone_swaps(t: Column, seed: int, row_id: Column, p: float = 0.55) -> Column:
@@ -129,24 +133,28 @@ def number_words(t: Column, seed: int = 0, row_id: Column | None = None) -> Colu
 
 
 def duplicate_words(t: Column, seed: int, row_id: Column, p: float = 0.05) -> Column:
-    def noisy(ws: Column) -> Column:
+    def noisy(ws: Column, blocks: Column) -> Column:
         twice = F.transform(ws, lambda w, i: F.when(
-            d.gate(d.digest(seed, row_id, "dup", i), p), F.concat(w, F.lit(" "), w)
-        ).otherwise(w))
+            d.gate_at(blocks, i, p), F.concat(w, F.lit(" "), w)).otherwise(w))
         return F.when(F.size(ws) < 4, t).otherwise(F.array_join(twice, " "))
 
-    return d.let(_tokens(t), noisy)
+    return d.let(_tokens(t), lambda ws: d.let(
+        d.gate_blocks(seed, row_id, "dup", F.size(ws)), lambda blocks: noisy(ws, blocks)))
 
 
 def drop_words(t: Column, seed: int, row_id: Column) -> Column:
     """Drop one interior word (70 %) or two; the two draws may coincide."""
     dig = d.digest(seed, row_id, "drop")
 
-    def noisy(ws: Column) -> Column:
+    def picks(ws: Column) -> Column:
         interior = F.size(ws) - 2
         one = d.index(dig, interior, 1) + 1
         two = F.when(d.gate(dig, 0.70), one).otherwise(d.index(dig, interior, 2) + 1)
-        kept = F.filter(ws, lambda w, i: (i != one) & (i != two))
+        return F.struct(one.alias("one"), two.alias("two"))
+
+    def noisy(ws: Column) -> Column:
+        kept = d.let(picks(ws), lambda n: F.filter(
+            ws, lambda w, i: (i != n["one"]) & (i != n["two"])))
         return F.when(F.size(ws) < 6, t).otherwise(F.array_join(kept, " "))
 
     return d.let(_tokens(t), noisy)
@@ -200,11 +208,12 @@ def full_mix_ops(seed: int, row_id: Column) -> Column:
     """Two to four operator numbers: gated, topped up at random, cut, spelling first."""
 
     def topped(chosen: Column) -> Column:
-        spare = F.array_sort(F.transform(unchosen(chosen, len(FULL_MIX)), lambda o: F.struct(
+        spare = F.sort_array(F.transform(unchosen(chosen, len(FULL_MIX)), lambda o: F.struct(
             F.substring(d.digest(seed, row_id, "topup", o), 1, 8).alias("key"),
             o.alias("op"))))
-        extra = F.slice(spare, F.lit(1), F.greatest(F.lit(2) - F.size(chosen), F.lit(0)))
-        return F.concat(chosen, F.transform(extra, lambda s: s["op"]))
+        extra = F.transform(F.slice(spare, F.lit(1), F.lit(2) - F.size(chosen)),
+                            lambda s: s["op"])
+        return F.when(F.size(chosen) >= 2, chosen).otherwise(F.concat(chosen, extra))
 
     ops = d.let(_gated(FULL_MIX, seed, row_id, "full"), topped)
     return spelling_first(F.slice(ops, 1, 4), FULL_MIX)

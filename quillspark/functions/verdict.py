@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .draws import bind, let
 from .text import strip, word_count, words
 from .vocab import ANSWER_PHRASES, QUESTION_TELLS
 
@@ -40,21 +41,21 @@ def with_verdict(df: DataFrame, category: str = "category", text: str = "text",
                  output: str = "output") -> DataFrame:
     """Append ``flagged`` and ``reason``; the first matching rule wins.
 
-    The rule inputs are computed once in a projection of their own; Catalyst keeps it apart
-    because the rules use each of them more than once.
+    The rule inputs are bound once per row; the rules only read them.
     """
     cat, t, out = F.col(category), F.col(text), F.col(output)
-    base = df.select(
-        "*",
-        strip(F.lower(out)).alias("_low"),
-        F.lower(t).alias("_in_low"),
-        overlap(word_set(t), word_set(out)).alias("_ov"),
-        word_count(t).alias("_n_in"),
-        word_count(out).alias("_n_out"),
-    ).select(
-        "*",
-        first_hit(F.col("_low"), ANSWER_PHRASES).alias("_phrase"),
-        F.when(cat == "QUESTION", first_hit(F.col("_low"), QUESTION_TELLS)).alias("_tell"),
+    base = bind(
+        df,
+        _low=strip(F.lower(out)),
+        _in_low=F.lower(t),
+        _ov=let(word_set(t), lambda ws: overlap(ws, word_set(out))),
+        _n_in=word_count(t),
+        _n_out=word_count(out),
+    )
+    base = bind(
+        base,
+        _phrase=first_hit(F.col("_low"), ANSWER_PHRASES),
+        _tell=F.when(cat == "QUESTION", first_hit(F.col("_low"), QUESTION_TELLS)),
     )
     ov, n_in, n_out = F.col("_ov"), F.col("_n_in"), F.col("_n_out")
     counts = F.concat(F.lit("output "), n_out, F.lit(" words vs input "), n_in)
@@ -74,6 +75,6 @@ def with_verdict(df: DataFrame, category: str = "category", text: str = "text",
               F.concat(counts, F.lit(" — too elaborative")))
         .otherwise(F.lit(""))
     )
-    return (base.withColumn("reason", reason)
+    return (bind(base, reason=reason)
             .withColumn("flagged", F.col("reason") != "")
             .drop("_low", "_in_low", "_ov", "_n_in", "_n_out", "_phrase", "_tell"))

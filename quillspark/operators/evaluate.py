@@ -43,7 +43,7 @@ def summary(verdicts: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def flagged_ids(verdicts: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Ordered ids of flagged suite cases, ``[01], [05]``; at most twelve per group."""
-    ids = F.array_sort(F.collect_list(F.when(F.col("flagged"), F.col("case_id"))))
+    ids = F.sort_array(F.collect_list(F.when(F.col("flagged"), F.col("case_id"))))
     return verdicts.groupBy(*groups).agg(F.array_join(F.transform(
         ids, lambda i: F.format_string("[%02d]", i)), ", ").alias("flagged_cases"))
 

@@ -60,7 +60,7 @@ def encode(pairs: DataFrame, vocab: DataFrame, row_id: str = "pair_id") -> DataF
     found = tried.where(F.col("token_id").isNotNull())
     rest = tried.where(F.col("token_id").isNull()).drop("token_id").join(
         ids.where(~common), "token", "left")
-    ordered = F.array_sort(F.collect_list(F.struct(
+    ordered = F.sort_array(F.collect_list(F.struct(
         "pos", "part", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))))
     rows = found.unionByName(rest).groupBy(row_id).agg(ordered.alias("_o"))
 
@@ -121,7 +121,7 @@ def padded_batches(rows: DataFrame, seed: int, pad_id: int = PAD_ID, row_id: str
     numbered = batch_numbers(rows, seed, row_id, shards, batch)
     grouped = numbered.groupBy("shard", "batch").agg(
         F.max(F.size("input_ids")).alias("width"),
-        F.array_sort(F.collect_list(F.struct(
+        F.sort_array(F.collect_list(F.struct(
             "slot", "input_ids", "attention_mask", "labels"))).alias("_rows"))
 
     def padded(field: str, value: int) -> Column:

@@ -61,10 +61,10 @@ def cardinal_sequence(seed: int, row_id: Column) -> Column:
     vocab = F.array(*[F.lit(w) for w in v.CARDINALS])
     n = d.index(dig, 8, 0) + 3
     positions = F.sequence(F.lit(0), F.lit(len(v.CARDINALS) - 1))
-    keyed = F.array_sort(F.transform(positions, lambda i: F.struct(
+    keyed = F.sort_array(F.transform(positions, lambda i: F.struct(
         F.substring(d.digest(seed, row_id, "cardsample", i), 1, 8).alias("key"),
         i.alias("i"))))
-    sample = F.transform(F.array_sort(F.transform(F.slice(keyed, F.lit(1), n),
+    sample = F.transform(F.sort_array(F.transform(F.slice(keyed, F.lit(1), n),
                                                   lambda s: s["i"])),
                          lambda i: F.get(vocab, i))
     free = F.transform(F.sequence(F.lit(1), n), lambda i: d.choice(
@@ -99,12 +99,11 @@ def cardinal_pairs(ids: DataFrame, target: int, seed: int, row_id: str = "id",
     tries = ids.select(F.explode(F.transform(
         rounds, lambda r: r + F.col(row_id))).alias("attempt"))
     a = F.col("attempt")
-    seq = tries.select(a, cardinal_sequence(seed, a).alias("clean"))
+    seq = d.bind(tries, clean=cardinal_sequence(seed, a))
     cap = t.capitalise_first(F.col("clean"))
     seeded = F.when(d.gate(d.digest(seed, a, "cardcap"), 0.25), cap).otherwise(F.col("clean"))
-    pairs = seq.select(
-        a, c.corrupt_guarded(seeded, seed, a).alias("input"),
-        F.concat(cap, F.lit(".")).alias("output"))
+    pairs = d.bind(seq, input=c.corrupt_guarded(seeded, seed, a),
+                   output=F.concat(cap, F.lit("."))).drop("clean")
     usable = pairs.where(t.has_signal(F.col("input"), F.col("output")))
     picked = smallest_k(materialise(usable, "cardinal-tries"), target, "attempt",
                         hi=attempts * (1 << 40))
@@ -122,9 +121,8 @@ def real_text_pairs(sentences: DataFrame, need: int, seed: int, row_id: str = "o
     out, missing = [], need
     for r in range(max_rounds):
         pid = F.concat_ws(":", F.lit("real"), F.lit(str(r)), row_id)
-        made = sentences.select(
-            pid.alias("pair_id"), F.lit("real").alias("category"),
-            c.corrupt_full(F.col("sentence"), seed, pid).alias("input"),
+        made = d.bind(sentences, input=c.corrupt_full(F.col("sentence"), seed, pid)).select(
+            pid.alias("pair_id"), F.lit("real").alias("category"), "input",
             F.col("sentence").alias("output"),
             d.shuffle_key(seed, pid, "round").alias("_draw"),
         ).where(t.has_signal(F.col("input"), F.col("output")))
@@ -144,13 +142,11 @@ def spelling_pairs(sentences: DataFrame, target: int, seed: int) -> DataFrame:
     quota = target // len(GROUPS)
     src = spelling_sources(sentences, quota + 50)
     pid = F.concat_ws(":", F.lit("spelling"), "grp", "ord")
-    picked = src.select(
-        pid.alias("pair_id"), "grp", "sentence",
-        d.choice(F.col("usable"), d.digest(seed, pid, "variant"), 0).alias("pick"))
+    picked = d.bind(src.withColumn("pair_id", pid), pick=d.choice(
+        F.col("usable"), d.digest(seed, F.col("pair_id"), "variant"), 0))
     dirty = c.force_typo(F.col("sentence"), F.col("pick.correct"), F.col("pick.typo"))
-    made = picked.select("*", dirty.alias("typed")).select(
-        "pair_id", "grp", F.col("pick.typo").alias("typo"),
-        c.corrupt_guarded(F.col("typed"), seed, F.col("pair_id")).alias("input"),
+    made = d.bind(picked, input=c.corrupt_guarded(dirty, seed, F.col("pair_id"))).select(
+        "pair_id", "grp", F.col("pick.typo").alias("typo"), "input",
         F.col("sentence").alias("output"),
         d.shuffle_key(seed, F.col("pair_id"), "group").alias("_draw"),
     ).where(t.has_signal(F.col("input"), F.col("output"))

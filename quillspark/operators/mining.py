@@ -18,11 +18,15 @@ GROUPS = list(dict.fromkeys(g for g, _, _ in SPELLING_TARGETS))
 
 
 def explode_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per sentence with its position; map-only, inside codegen after the explode."""
-    parts = F.split(t.strip(F.translate(F.col(text), "\n", " ")), t.SENTENCE_BREAK)
+    """One row per sentence with its position; map-only.
+
+    Sentences are stripped inside the generator, so that the gates above it read a finished
+    column instead of repeating the strip.
+    """
+    parts = F.transform(F.split(t.strip(F.translate(F.col(text), "\n", " ")),
+                                t.SENTENCE_BREAK), t.strip)
     others = [c for c in docs.columns if c != text]
-    return (docs.select(*others, F.posexplode(parts).alias("sent_idx", "_s"))
-            .select(*others, "sent_idx", t.strip(F.col("_s")).alias("sentence"))
+    return (docs.select(*others, F.posexplode(parts).alias("sent_idx", "sentence"))
             .where(F.col("sentence") != ""))
 
 

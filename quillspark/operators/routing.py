@@ -105,7 +105,7 @@ def stitch(segments: DataFrame, utt: str = "conv_id", idx: str = "turn", text: s
     """
 
     def joined(df: DataFrame, keys: list, order: str, out: str) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"),
+        ordered = F.sort_array(F.collect_list(F.struct(F.col(order).alias("i"),
                                                        F.col("_s").alias("s"))))
         return df.groupBy(*keys).agg(
             F.array_join(F.transform(ordered, lambda x: x["s"]), " ").alias(out))

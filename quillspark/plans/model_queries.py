@@ -69,7 +69,7 @@ EVAL = f"""evals AS MATERIALIZED (SELECT case_id, category, text, CASE {k.index(
 
 
 def joined(words):
-    return F.array_join(F.array_sort(words), " ")
+    return F.array_join(F.sort_array(words), " ")
 
 
 def sql_joined(words: str) -> str:

@@ -57,6 +57,11 @@ def gate(dig: str, p: float, slot: int = 0) -> str:
     return f"(substr({dig}, {1 + 8 * slot}, 8) < '{round(p * (1 << 32)):08x}')"
 
 
+def gate_at(seed: int, rid: str, tag: str, pos: str, p: float) -> str:
+    block = digest(seed, rid, tag, f"({pos}) // 8")
+    return f"(substr({block}, 1 + 4 * (({pos}) % 8), 4) < '{round(p * (1 << 16)):04x}')"
+
+
 def draw(dig: str, slot: int = 0) -> str:
     return f"(('0x' || substr({dig}, {1 + 8 * slot}, 8))::BIGINT)"
 
@@ -131,8 +136,9 @@ def insert_fillers(t, seed, rid, p=0.15, prefix_p=0.30, min_words=3, fillers=Non
 
     def body(ws):
         w, i = next(_fresh), next(_fresh)
-        dig = digest(seed, rid, "fill", f"{i} - 1")
-        step = (f"CASE WHEN {i} > 1 AND {i} < len({ws}) AND {gate(dig, p)} "
+        dig = digest(seed, rid, "fillword", f"{i} - 1")
+        hit = gate_at(seed, rid, "fill", f"{i} - 1", p)
+        step = (f"CASE WHEN {i} > 1 AND {i} < len({ws}) AND {hit} "
                 f"THEN {w} || ' ' || {choice(fillers, dig)} ELSE {w} END")
         return (f"CASE WHEN len({ws}) < {min_words} THEN {t} ELSE "
                 f"(CASE WHEN {gate(head, prefix_p)} THEN {choice(fillers, head)} || ' ' "
@@ -202,9 +208,9 @@ def number_words(t, seed=0, rid=""):
 def duplicate_words(t, seed, rid, p=0.05):
     def body(ws):
         w, i = next(_fresh), next(_fresh)
-        dig = digest(seed, rid, "dup", f"{i} - 1")
+        hit = gate_at(seed, rid, "dup", f"{i} - 1", p)
         return (f"CASE WHEN len({ws}) < 4 THEN {t} ELSE array_to_string(list_transform({ws}, "
-                f"lambda {w}, {i}: CASE WHEN {gate(dig, p)} THEN {w} || ' ' || {w} "
+                f"lambda {w}, {i}: CASE WHEN {hit} THEN {w} || ' ' || {w} "
                 f"ELSE {w} END), ' ') END")
     return let(tokens(t), body)
 

@@ -38,13 +38,12 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def good(spark: SparkSession, sf: str) -> DataFrame:
     """Good sentences with a text id ``sid``."""
-    return m.good_sentences(docs(spark, sf)).withColumn(
-        "sid", F.concat_ws(":", "doc_id", "sent_idx"))
+    return d.bind(m.good_sentences(docs(spark, sf)), sid=F.concat_ws(":", "doc_id", "sent_idx"))
 
 
 def dirty(spark: SparkSession, sf: str) -> DataFrame:
     """Good sentences with fillers inserted: the raw transcripts of the cleaner queries."""
-    return good(spark, sf).withColumn("dirty", c.insert_fillers(F.col("sentence"), SEED, F.col("sid")))
+    return d.bind(good(spark, sf), dirty=c.insert_fillers(S(), SEED, SID()))
 
 
 DIRTY = (f"{k.good_sents()}, dirt AS MATERIALIZED (SELECT *, "
@@ -94,7 +93,8 @@ def non_blank(spark, sf):
  {k.number_words('sentence')} AS input, sentence AS output FROM good)
  SELECT * FROM p WHERE {k.has_signal('input', 'output')}""")
 def no_signal_filter(spark, sf):
-    pairs = good(spark, sf).select("sid", c.number_words(S()).alias("input"), S().alias("output"))
+    pairs = d.bind(good(spark, sf), input=c.number_words(S())).select(
+        "sid", "input", S().alias("output"))
     return pairs.where(t.has_signal(F.col("input"), F.col("output")))
 
 
@@ -102,9 +102,8 @@ def no_signal_filter(spark, sf):
  {k.replace_first('sentence', 'the', 'teh')} AS typed FROM good)
  WHERE contains(lower(typed), 'teh')""")
 def typo_survived(spark, sf):
-    return good(spark, sf).select(
-        "sid", c.force_typo(S(), F.lit("the"), F.lit("teh")).alias("typed")
-    ).where(t.typo_survived(F.col("typed"), F.lit("teh")))
+    typed = d.bind(good(spark, sf), typed=c.force_typo(S(), F.lit("the"), F.lit("teh")))
+    return typed.select("sid", "typed").where(t.typo_survived(F.col("typed"), F.lit("teh")))
 
 
 @register("cardinal_only_p6", f"""SELECT doc_id, seq, {k.cardinal_only('seq')} AS guarded
