@@ -14,8 +14,10 @@ from ..operators import evaluate as e
 from ..operators import examples as x
 from ..operators import quota as o
 from ..operators import stats as s
+from ..session import ship_package
 from ..sources.tables import table
 from . import sqlkit as k
+from .stand_in import length_tokenizer
 from .text_queries import docs, turns
 
 QUERIES: dict[str, tuple] = {}
@@ -330,6 +332,20 @@ def tokenised_pairs(spark, sf):
     return encoded(spark, sf).select("pair_id", ids_text("input_ids"), ids_text("labels"))
 
 
+_LEN = "list_transform({}, lambda w: length(w))"
+
+
+@register("tokenizer_hook_u2", f"""WITH {PAIRS}, enc AS (SELECT pair_id,
+ {_LEN.format(_PROMPT)} AS p, {_LEN.format(_WS.format('output'))} AS o FROM pairs)
+ SELECT pair_id, array_to_string((list_concat(p, o, [1]))[1:384], ',') AS input_ids,
+ array_to_string((list_concat(list_transform(p, lambda z: -100), o, [1]))[1:384], ',') AS labels
+ FROM enc""")
+def tokenizer_hook(spark, sf):
+    ship_package(spark)
+    made = x.encode_with(pairs(spark, sf), length_tokenizer)
+    return x.examples(made, max_len=384).select("pair_id", ids_text("input_ids"), ids_text("labels"))
+
+
 @register("attention_mask_l2", f"""WITH {EXAMPLES} SELECT pair_id,
  repeat('1', len(input_ids)) AS mask FROM examples""")
 def attention_mask(spark, sf):

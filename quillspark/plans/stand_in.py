@@ -20,3 +20,10 @@ def failing_rewriter():
             raise ValueError("model refused")
         return texts.str.replace(r"[.,?!;:]", "", regex=True)
     return run
+
+
+def length_tokenizer():
+    """One id per white-space token: its length in characters."""
+    def run(text: str) -> list[int]:
+        return [len(w) for w in text.split()]
+    return run
