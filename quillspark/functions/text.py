@@ -44,8 +44,7 @@ def words(t: Column) -> Column:
 
 def word_count(t: Column) -> Column:
     """Number of white-space tokens, 0 for blank; no lambda, so it stays in codegen."""
-    pieces = F.split(strip(t), SPACE + "+")
-    return F.size(pieces) - (F.get(pieces, F.lit(0)) == "").cast("int")
+    return F.size(F.split(strip(t), SPACE + "+")) - (strip(t) == "").cast("int")
 
 
 def not_blank(t: Column) -> Column:
@@ -93,7 +92,7 @@ def sentences(t: Column) -> Column:
 
 
 def letter_count(s: Column) -> Column:
-    return F.length(F.regexp_replace(s, r"\P{L}+", ""))
+    return F.length(F.regexp_replace(s, r"[^a-zA-Z\p{L}]+", ""))
 
 
 def good_sentence(s: Column, min_words: int = 8, max_words: int = 120) -> Column:

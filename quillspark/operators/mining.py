@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.draws import bind
 from ..functions.vocab import SPELLING_TARGETS
 from .quota import first_k, smallest_k
 
@@ -98,7 +99,8 @@ def unseen(batch: DataFrame, seen: DataFrame, text: str = "sentence") -> DataFra
 
 
 def word_runs(s: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(s, F.lit(f"{t.WORD}+"), F.lit(0)))
+    """Distinct word tokens (runs of letters, digits and underscores)."""
+    return F.array_distinct(F.split(s, f"[^{t.WORD[1:-1]}]+"))
 
 
 def target_word(s: Column) -> Column:
@@ -110,22 +112,20 @@ def spelling_matches(sentences: DataFrame, text: str = "sentence") -> DataFrame:
     """Sentence x spelling group with the usable (correct, typo) variants, in list order.
 
     The target table is a fixed literal of 26 rows, so the join is done inside the row: no
-    shuffle, no nested loop. Sentences without a target are filtered out first.
+    shuffle, no nested loop. A substring test runs before each whole-word test.
     """
-    table = F.array(*[
-        F.struct(F.lit(g).alias("grp"), F.array(*[
-            F.struct(F.lit(c).alias("correct"), F.lit(w).alias("typo"))
-            for grp, c, w in SPELLING_TARGETS if grp == g]).alias("variants"))
+    s = F.col(text)
+
+    def variant(correct: str, typo: str) -> Column:
+        hit = F.contains(s, F.lit(correct)) & s.rlike(t.any_word([correct]))
+        return F.when(hit, F.struct(F.lit(correct).alias("correct"), F.lit(typo).alias("typo")))
+
+    groups = F.array(*[
+        F.struct(F.lit(g).alias("grp"), F.array_compact(F.array(*[
+            variant(c, w) for grp, c, w in SPELLING_TARGETS if grp == g])).alias("usable"))
         for g in GROUPS])
-    hits = F.transform(table, lambda g: F.struct(
-        g["grp"].alias("grp"),
-        F.filter(g["variants"],
-                 lambda v: F.array_contains(F.col("_runs"), v["correct"])).alias("usable")))
-    return (sentences.where(target_word(F.col(text)))
-            .withColumn("_runs", word_runs(F.col(text)))
-            .withColumn("_hits", F.filter(hits, lambda g: F.size(g["usable"]) > 0))
-            .drop("_runs")
-            .select("*", F.inline("_hits")).drop("_hits"))
+    bound = bind(sentences, _hits=F.filter(groups, lambda g: F.size(g["usable"]) > 0))
+    return bound.select("*", F.inline("_hits")).drop("_hits")
 
 
 def match_words(sentences: DataFrame, targets: DataFrame, text: str = "sentence",

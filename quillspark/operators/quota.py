@@ -115,8 +115,13 @@ def first_k(df: DataFrame, k: int, order: Sequence[Column], groups: Sequence[str
 
 
 def shuffled(df: DataFrame, seed: int, row_id: Column) -> DataFrame:
-    """Random order as a persisted column ``shuf``, plus a distributed range sort on it."""
-    return df.withColumn("shuf", d.shuffle_key(seed, row_id)).orderBy("shuf", row_id)
+    """Random order, with the draw persisted as column ``shuf``.
+
+    Rows go to a partition by their draw and are ordered by it there: a random permutation
+    of the whole, without the extra sampling pass over the input that a range sort needs.
+    """
+    keyed = df.withColumn("shuf", d.shuffle_key(seed, row_id))
+    return keyed.repartition("shuf").sortWithinPartitions("shuf", row_id)
 
 
 def sample_n(df: DataFrame, n: int, seed: int, row_id: Column, tie: Sequence[str],

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import draws as d
+from ..functions.text import WORD
 from ..functions.vocab import MISSPELLINGS, SPELLING_TARGETS
 from ..operators import generate as g
 from ..operators import mining as m
@@ -53,8 +54,8 @@ REPLACED = dict(reversed([(a, b) for a, b in MISSPELLINGS if " " not in a and "'
  FROM documents) LEFT JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, b in REPLACED.items())})
  r(token, typo) USING (token) GROUP BY ALL""")
 def token_lookup(spark, sf):
-    tokens = docs(spark, sf).select(F.explode(F.regexp_extract_all(
-        "text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("token"))
+    tokens = docs(spark, sf).select(
+        F.explode(F.split("text", f"[^{WORD[1:-1]}]+")).alias("token")).where("token <> ''")
     lookup = spark.createDataFrame(list(REPLACED.items()), "token string, typo string")
     counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return counted.join(lookup, "token", "left").select(

@@ -14,7 +14,6 @@ from ..operators import evaluate as e
 from ..operators import examples as x
 from ..operators import quota as o
 from ..operators import stats as s
-from ..session import ship_package
 from ..sources.tables import table
 from . import sqlkit as k
 from .stand_in import length_tokenizer
@@ -38,14 +37,14 @@ def register(name: str, sql: str | None):
 def eval_rows(spark: SparkSession, sf: str) -> DataFrame:
     rid = F.concat_ws(":", "conv_id", "turn")
     dig = d.digest(7, rid, "eval")
-    base = turns(spark, sf).repartition("conv_id").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), dig.alias("dig"),
-        t.collapse_spaces(F.col("text")).alias("t"))
+    base = d.bind(turns(spark, sf).repartition("conv_id"), dig=dig,
+                  t=t.collapse_spaces(F.col("text"))).drop("text")
     dg, tx = F.col("dig"), F.col("text")
-    cased = base.select(
-        "case_id", "dig", d.choice(CATEGORIES, dg, 1).alias("category"),
-        F.when(d.gate(dg, 0.15), F.concat(F.lit("explain neural networks "), "t"))
-        .when(d.gate(dg, 0.20), F.lit("")).otherwise(F.col("t")).alias("text"))
+    cased = d.bind(
+        base, case_id=F.col("conv_id") * 1000 + F.col("turn"),
+        category=d.choice(CATEGORIES, dg, 1),
+        text=F.when(d.gate(dg, 0.15), F.concat(F.lit("explain neural networks "), "t"))
+        .when(d.gate(dg, 0.20), F.lit("")).otherwise(F.col("t")))
     kind = d.index(dg, 8, 2)
     output = (F.when(kind == 0, t.clean(tx))
               .when(kind == 1, F.concat(d.choice(ANSWER_PHRASES, dg, 3), F.lit(" "), tx))
@@ -55,7 +54,7 @@ def eval_rows(spark: SparkSession, sf: str) -> DataFrame:
               .when(kind == 5, F.lit("no idea at all"))
               .when(kind == 6, c.remove_punctuation(F.lower(tx)))
               .otherwise(F.concat_ws(" ", tx, tx, tx)))
-    return cased.select("case_id", "category", "text", output.alias("output"))
+    return d.bind(cased, output=output).select("case_id", "category", "text", "output")
 
 
 _DIG = k.digest(7, "conv_id || ':' || turn", "eval")
@@ -341,7 +340,6 @@ _LEN = "list_transform({}, lambda w: length(w))"
  array_to_string((list_concat(list_transform(p, lambda z: -100), o, [1]))[1:384], ',') AS labels
  FROM enc""")
 def tokenizer_hook(spark, sf):
-    ship_package(spark)
     made = x.encode_with(pairs(spark, sf), length_tokenizer)
     return x.examples(made, max_len=384).select("pair_id", ids_text("input_ids"), ids_text("labels"))
 

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
+
+# Python workers get these functions by value, so they need not import this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def stand_in_rewriter():

@@ -13,7 +13,6 @@ from ..operators import generate as g
 from ..operators import mining as m
 from ..operators import routing as r
 from ..operators.quota import materialise
-from ..session import ship_package
 from ..sources.tables import table
 from . import sqlkit as k
 from .stand_in import stand_in_rewriter
@@ -250,7 +249,6 @@ def fallback(spark, sf):
  dirty, {_STAND_IN} AS w, {k.word_count('dirty')} AS n FROM dirt)
  SELECT sid, CASE WHEN n < 12 THEN fast ELSE coalesce(nullif(w, ''), dirty) END AS final FROM a""")
 def batch_rewriter(spark, sf):
-    ship_package(spark)
     rows = dirty(spark, sf).select("sid", D().alias("text"), F.lit("").alias("hint"))
     return r.format_transcripts(rows, stand_in_rewriter, threshold=12).select("sid", "final")
 

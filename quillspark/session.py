@@ -47,18 +47,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(scratch_dir(spark, "checkpoint"))
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, for sessions started without --py-files."""
-    import zipfile
-    from pathlib import Path
-
-    sc, root = spark.sparkContext, Path(__file__).resolve().parent
-    if any(p.endswith(f"{root.name}.zip") for p in sc.listFiles):
-        return
-    target = Path(tempfile.mkdtemp(prefix="quillspark-ship-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(target))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,12 @@ from ..operators import routing as r
 from ..operators.quota import first_k
 from ..session import ROCKSDB, scratch_dir
 from ..sources.files import HistoryStore
+from . import processors
 from .processors import AutoReset, BoundedHistory, Debounce, HoldPairs, Toggle
 
+# Python workers get the processors by value, so they need not import this package.
+cloudpickle.register_pickle_by_value(processors)
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
