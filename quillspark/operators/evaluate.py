@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.text import shown
 from ..functions.verdict import with_verdict
 from ..functions.vocab import EVAL_CASES
+from ..sources.tables import small_table
 
 
 def suite(spark: SparkSession) -> DataFrame:
     """The twelve literal cases."""
     rows = [(i, *case) for i, case in enumerate(EVAL_CASES, 1)]
-    return spark.createDataFrame(rows, "case_id int, category string, text string, note string")
+    return small_table(spark, rows, "case_id int, category string, text string, note string")
 
 
 def judged(cases: DataFrame, outputs: DataFrame, on: Sequence[str] = ("case_id",)) -> DataFrame:

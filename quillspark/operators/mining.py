@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.draws import bind
 from ..functions.vocab import SPELLING_TARGETS
+from ..sources.tables import small_table
 from .quota import first_k, smallest_k
 
 IDX_BITS = 20
@@ -150,8 +151,7 @@ def spelling_sources(sentences: DataFrame, per_group: int) -> DataFrame:
 
 def group_counts(hits: DataFrame) -> DataFrame:
     """Rows per spelling group, zero for a group without any."""
-    spark = hits.sparkSession
-    dim = spark.createDataFrame([(g,) for g in GROUPS], "grp string")
+    dim = small_table(hits.sparkSession, [(g,) for g in GROUPS], "grp string")
     counted = hits.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     return dim.join(counted, "grp", "left").select("grp", F.coalesce("n", F.lit(0)).alias("n"))
 

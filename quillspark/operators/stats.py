@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocab import STAGES
+from ..sources.tables import small_table
 
 TOKEN_CAP = 150
 TARGET_MS = 400
@@ -17,7 +18,7 @@ SMALL_GROUP = 100_000
 
 def stage_stats(timings: DataFrame, stages: Sequence[str] = tuple(STAGES)) -> DataFrame:
     """min/avg/max per stage; a stage without timings keeps a NULL row."""
-    dim = timings.sparkSession.createDataFrame([(s,) for s in stages], "stage string")
+    dim = small_table(timings.sparkSession, [(s,) for s in stages], "stage string")
     agg = timings.groupBy("stage").agg(
         F.min("ms").alias("min_ms"), F.avg("ms").alias("avg_ms"), F.max("ms").alias("max_ms"))
     return dim.join(agg, "stage", "left")

@@ -11,7 +11,7 @@ from ..functions.vocab import MISSPELLINGS, SPELLING_TARGETS
 from ..operators import generate as g
 from ..operators import mining as m
 from ..operators import quota as o
-from ..sources.tables import table
+from ..sources.tables import small_table, table
 from . import sqlkit as k
 from .text_queries import (PASS_SQL, SEED, cardinal_sql, corpus, docs, good, ids, spelling_sql)
 
@@ -56,7 +56,7 @@ REPLACED = dict(reversed([(a, b) for a, b in MISSPELLINGS if " " not in a and "'
 def token_lookup(spark, sf):
     tokens = docs(spark, sf).select(
         F.explode(F.split("text", f"[^{WORD[1:-1]}]+")).alias("token")).where("token <> ''")
-    lookup = spark.createDataFrame(list(REPLACED.items()), "token string, typo string")
+    lookup = small_table(spark, list(REPLACED.items()), "token string, typo string")
     counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return counted.join(lookup, "token", "left").select(
         "token", F.coalesce("typo", "token").alias("replacement"), "n")
@@ -66,7 +66,7 @@ TARGET_VALUES = ", ".join(f"('{gr}', '{a}', '{b}')" for gr, a, b in SPELLING_TAR
 
 
 def targets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SPELLING_TARGETS, "grp string, correct string, typo string")
+    return small_table(spark, SPELLING_TARGETS, "grp string, correct string, typo string")
 
 
 @register("word_match_j2", f"""WITH {k.corpus()} SELECT ord, grp, correct, typo FROM

@@ -37,7 +37,7 @@ def register(name: str, sql: str | None):
 def eval_rows(spark: SparkSession, sf: str) -> DataFrame:
     rid = F.concat_ws(":", "conv_id", "turn")
     dig = d.digest(7, rid, "eval")
-    base = d.bind(turns(spark, sf).repartition("conv_id"), dig=dig,
+    base = d.bind(turns(spark, sf), dig=dig,
                   t=t.collapse_spaces(F.col("text"))).drop("text")
     dg, tx = F.col("dig"), F.col("text")
     cased = d.bind(
@@ -285,7 +285,7 @@ PAIRS = """pairs AS (SELECT conv_id || ':' || turn AS pair_id, lower(text) AS in
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return turns(spark, sf).repartition("conv_id").select(
+    return turns(spark, sf).select(
         F.concat_ws(":", "conv_id", "turn").alias("pair_id"), F.lower("text").alias("input"),
         F.col("text").alias("output"))
 

@@ -33,7 +33,7 @@ def docs(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    return table(spark, sf, "conversations", "conv_id", "turn", "role", "text", spread="conv_id")
 
 
 def good(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,6 +20,8 @@ def local_session(app: str = "quillspark", cpus: str = "8", **conf: str) -> Spar
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.adaptive.enabled", "true")
+        # Text work costs far more CPU per byte than AQE assumes: keep small partitions apart.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
