@@ -100,17 +100,16 @@ def stream_auto_reset(spark, sf):
 
 
 def reviewed(spark: SparkSession, sf: str) -> DataFrame:
-    transcripts, _ = review_sides(event_stream(spark, sf))
-    _, decisions = review_sides(event_stream(spark, sf))
+    transcripts, _ = review_sides(event_stream(spark, sf).withWatermark("ts", DELAY))
+    _, decisions = review_sides(event_stream(spark, sf).withWatermark("ts", DELAY))
     candidates = s.review_stream(
         transcripts.select("user_id", "event_id", "ts", "raw", "cleaned"),
         decisions.select(F.col("user_id").alias("decider"), F.col("ts").alias("decided_ts"),
-                         "decision", "edited"), "6 HOURS", DELAY)
+                         "decision", "edited"), "6 HOURS")
     return s.review_log(s.run_to_files(candidates, "review"))
 
 
-STREAM_REVIEW = f"""{REVIEW_SQL}, wm AS (SELECT least((SELECT max(t) FROM e WHERE event_type =
- 'view'), (SELECT max(t) FROM e WHERE event_type = 'signup')) - {DELAY_US} AS at),
+STREAM_REVIEW = f"""{REVIEW_SQL}, wm AS (SELECT {WATERMARK} AS at),
  done AS (SELECT kept.* FROM kept LEFT JOIN m USING (event_id), wm
  WHERE m.decision IS NOT NULL OR kept.t + 21600000000 < wm.at)"""
 

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draws import bind
+from ..functions.text import strip
 from ..operators.events import HISTORY_MAX, last_n
 from ..session import scratch_dir
 
@@ -25,15 +27,17 @@ def _missing(exc: AnalysisException) -> bool:
 def read_pairs_tolerant(spark: SparkSession, path: str, schema: str = LOGGED_PAIR) -> DataFrame:
     """Pair log as rows; blank and corrupt lines are skipped, a missing path is empty."""
     try:
-        raw = (spark.read.schema(f"{schema}, {_BAD} string")
-               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).json(path))
+        lines = spark.read.text(path)
     except AnalysisException as exc:
         if _missing(exc):
             return spark.createDataFrame([], schema)
         raise
-    # The column list makes Spark keep the parser's verdict although only it is filtered on.
-    named = [f for f in raw.columns if f != _BAD]
-    return raw.where(F.col(_BAD).isNull()).select(*named)
+    parsed = F.from_json("value", f"{schema}, {_BAD} string",
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    # Bound, so that each line is parsed once for the filter and all fields.
+    rows = bind(lines.where(strip(F.col("value")) != ""), _p=parsed)
+    return rows.where(F.col("_p").isNotNull() & F.col(f"_p.{_BAD}").isNull()).select(
+        "_p.*").drop(_BAD)
 
 
 def read_pairs_strict(spark: SparkSession, path: str, schema: str = PAIR) -> DataFrame:

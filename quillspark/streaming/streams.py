@@ -111,12 +111,16 @@ def auto_reset_stream(stream: DataFrame, reset_us: int, delay: str, done: str =
     return _stateful(timed, key, AutoReset(reset_us, done), time_mode="EventTime")
 
 
-def review_stream(transcripts: DataFrame, decisions: DataFrame, timeout: str, delay: str,
+def review_stream(transcripts: DataFrame, decisions: DataFrame, timeout: str,
                   key: str = "user_id") -> DataFrame:
     """Candidate (transcript, decision) rows; a transcript nobody decided on in time comes
-    out once, undecided, when the watermark has passed its timeout."""
-    left = transcripts.withWatermark("ts", delay).alias("a")
-    right = decisions.withWatermark("decided_ts", delay).alias("b")
+    out once, undecided, when the watermark has passed its timeout.
+
+    Both streams must carry a watermark on ``ts`` and ``decided_ts``. Set it before the
+    events are filtered into the two sides: a side without new events would otherwise hold
+    back the common watermark.
+    """
+    left, right = transcripts.alias("a"), decisions.alias("b")
     in_time = F.expr(f"a.{key} = b.decider AND b.decided_ts >= a.ts "
                      f"AND b.decided_ts <= a.ts + INTERVAL {timeout}")
     return left.join(right, in_time, "left_outer").select(
