@@ -126,12 +126,12 @@ REVIEW_SQL = f"""{E}, d AS (SELECT user_id, t, CASE WHEN value < 20 THEN 'skip'
  coalesce(decision, 'accept') AS decision FROM m WHERE coalesce(decision, 'accept') <> 'skip')"""
 
 
-def review_sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Transcripts and decisions out of the event rows (also used by the stream)."""
-    transcripts = rows.where(F.col("event_type") == "view").withColumns({
+def review_sides(views: DataFrame, signups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Transcripts and decisions out of event rows (also used by the stream)."""
+    transcripts = views.withColumns({
         "raw": F.col("props"),
         "cleaned": F.concat(F.lit("view "), "event_id", F.lit("."))})
-    decisions = rows.where(F.col("event_type") == "signup").withColumns({
+    decisions = signups.withColumns({
         "decision": F.when(F.col("value") < 20, "skip").when(F.col("value") < 60, "correct")
         .otherwise("accept"),
         "edited": F.when(F.col("value") < 40, "  ").otherwise(
@@ -141,7 +141,8 @@ def review_sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @register("review_timeout_j8", f"WITH {REVIEW_SQL} SELECT * FROM kept")
 def review_timeout(spark, sf):
-    transcripts, decisions = review_sides(events(spark, sf))
+    rows, kind = events(spark, sf), F.col("event_type")
+    transcripts, decisions = review_sides(rows.where(kind == "view"), rows.where(kind == "signup"))
     return ev.review_outcomes(transcripts, decisions, ["user_id"], "t", "event_id", REVIEW, CHUNK)
 
 

@@ -100,8 +100,10 @@ def stream_auto_reset(spark, sf):
 
 
 def reviewed(spark: SparkSession, sf: str) -> DataFrame:
-    transcripts, _ = review_sides(event_stream(spark, sf).withWatermark("ts", DELAY))
-    _, decisions = review_sides(event_stream(spark, sf).withWatermark("ts", DELAY))
+    kind = F.col("event_type")
+    transcripts, decisions = review_sides(
+        s.watermarked(event_stream(spark, sf), DELAY, kind == "view"),
+        s.watermarked(event_stream(spark, sf), DELAY, kind == "signup"))
     candidates = s.review_stream(
         transcripts.select("user_id", "event_id", "ts", "raw", "cleaned"),
         decisions.select(F.col("user_id").alias("decider"), F.col("ts").alias("decided_ts"),

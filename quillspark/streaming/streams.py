@@ -111,14 +111,23 @@ def auto_reset_stream(stream: DataFrame, reset_us: int, delay: str, done: str =
     return _stateful(timed, key, AutoReset(reset_us, done), time_mode="EventTime")
 
 
+def watermarked(stream: DataFrame, delay: str, keep: Column, ts: str = "ts") -> DataFrame:
+    """The rows matching ``keep``, with a watermark that all rows advance.
+
+    Two filtered sides of one stream share their lower watermark, so a side without new
+    events would hold back the other. The condition reads the event time because the
+    optimizer would otherwise move it below the watermark.
+    """
+    return stream.withWatermark(ts, delay).where(F.when(F.col(ts).isNotNull(), keep))
+
+
 def review_stream(transcripts: DataFrame, decisions: DataFrame, timeout: str,
                   key: str = "user_id") -> DataFrame:
     """Candidate (transcript, decision) rows; a transcript nobody decided on in time comes
     out once, undecided, when the watermark has passed its timeout.
 
-    Both streams must carry a watermark on ``ts`` and ``decided_ts``. Set it before the
-    events are filtered into the two sides: a side without new events would otherwise hold
-    back the common watermark.
+    Both streams must carry a watermark, on ``ts`` and ``decided_ts``; see
+    :func:`watermarked` for two sides of one event stream.
     """
     left, right = transcripts.alias("a"), decisions.alias("b")
     in_time = F.expr(f"a.{key} = b.decider AND b.decided_ts >= a.ts "
@@ -215,10 +224,10 @@ def run_isolated(stream: DataFrame, load: Callable, text: str = "text", hint: st
     def save(batch: DataFrame, batch_id: int) -> None:
         # Both sinks are one partitioned write, so the Python stage runs once per batch.
         batch.withColumn("failed", F.col("error").isNotNull()).write.mode("overwrite").partitionBy(
-            "failed").parquet(f"{out}/{batch_id:09d}")
+            "failed").parquet(f"{out}/batch={batch_id}")
 
     run_batches(done, "isolated", save)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in done.schema.fields)
-    every = spark.read.schema(f"{fields}, failed boolean").parquet(f"{out}/*")
+    every = spark.read.schema(f"{fields}, batch bigint, failed boolean").parquet(out).drop("batch")
     failed: Column = F.col("failed")
     return every.where(~failed).drop("failed"), every.where(failed).drop("failed")

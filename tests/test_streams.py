@@ -83,21 +83,23 @@ def test_sessions(spark, pieces):
 
 
 def test_review(spark, pieces):
-    def sides(df):
-        left = df.where("state = 'done'").select(
+    def sides(left, right):
+        left = left.select(
             "user_id", "event_id", "ts", "t", F.col("text").alias("raw"), F.lit("c").alias("cleaned"))
-        right = df.where("state = 'press'").select(
+        right = right.select(
             "user_id", "event_id", "t", F.col("ts").alias("decided_ts"),
             F.when(F.col("event_id") % 3 == 0, "skip").otherwise("correct").alias("decision"),
             F.col("text").alias("edited"))
         return left, right
 
-    left, _ = sides(live(spark, pieces).withWatermark("ts", "2 seconds"))
-    _, right = sides(live(spark, pieces).withWatermark("ts", "2 seconds"))
+    state = F.col("state")
+    left, right = sides(s.watermarked(live(spark, pieces), "2 seconds", state == "done"),
+                        s.watermarked(live(spark, pieces), "2 seconds", state == "press"))
     right = right.withColumnRenamed("user_id", "decider").drop("event_id", "t")
     log = s.review_log(s.run_to_files(s.review_stream(
         left.drop("t"), right, "2 SECONDS"), "t-review"))
-    bl, br = sides(spark.read.parquet(pieces))
+    batch = spark.read.parquet(pieces)
+    bl, br = sides(batch.where(state == "done"), batch.where(state == "press"))
     want = ev.review_outcomes(bl, br, ["user_id"], "t", "event_id", 2 * ev.SECOND)
     names = ["user_id", "event_id", "input", "output", "decision"]
     assert rows_of(log.select(*names)) == rows_of(want.select(*names))

@@ -89,13 +89,12 @@ def test_verdicts(spark):
         assert want[4] in row.reason
 
 
-def upper_rewriter():
-    def run(texts, hints):
-        return (hints + texts.str.upper()).where(texts != "silent one two three four", "")
-    return run
-
-
 def test_router(spark):
+    def upper_rewriter():
+        def run(texts, hints):
+            return (hints + texts.str.upper()).where(texts != "silent one two three four", "")
+        return run
+
     rows = [(0, "a b c d", ""), (1, "a b c d e", "h "), (2, "silent one two three four", "")]
     df = spark.createDataFrame(rows, "id int, text string, hint string")
 
