@@ -23,15 +23,13 @@ def judged(cases: DataFrame, outputs: DataFrame, on: Sequence[str] = ("case_id",
     return with_verdict(cases.join(outputs, list(on)))
 
 
-def per_variant(variants: DataFrame, cases: DataFrame | None = None) -> DataFrame:
-    """Every case for every model variant. The suite is a fixed table of twelve rows and is
-    attached as a literal array, so there is no join at all."""
+def per_variant(variants: DataFrame) -> DataFrame:
+    """Every suite case for every model variant. The suite is a fixed table of twelve rows
+    and is attached as a literal array, so there is no join at all."""
     rows = [F.struct(F.lit(i).alias("case_id"), F.lit(c).alias("category"),
                      F.lit(x).alias("text"), F.lit(n).alias("note"))
             for i, (c, x, n) in enumerate(EVAL_CASES, 1)]
-    if cases is None:
-        return variants.select("*", F.inline(F.array(*rows)))
-    return variants.join(F.broadcast(cases), F.lit(True))
+    return variants.select("*", F.inline(F.array(*rows)))
 
 
 def summary(verdicts: DataFrame, groups: Sequence[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from . import sqlkit as k
 from .event_queries import (DEBOUNCE, E, HISTORY_SQL, HOLD_SQL, RESET, REVIEW_SQL, SESSION_SQL,
                             debounced, review_sides)
 from .stand_in import failing_rewriter
-from .text_queries import SEED, turns
+from .text_queries import SEED, spelling_sql, turns
 
 QUERIES: dict[str, tuple] = {}
 DELAY, DELAY_US = "1 hour", 3_600_000_000
@@ -143,7 +143,9 @@ def stream_collect(spark, sf):
     return s.run_to_files(pairs, "collect", "json").select("input", "output")
 
 
-@register("stream_mining_st10", None)
+# One file is one batch here; the early stop over several batches is covered by the tests.
+@register("stream_mining_st10", f"""WITH {k.corpus()}, {spelling_sql(5000, 43)}
+ SELECT grp, ord, sentence FROM src""")
 def stream_mining(spark, sf):
     rows = s.source(spark, f"{sf}/documents.parquet", 1).select("doc_id", "text")
     return s.run_mining(rows, 504)
