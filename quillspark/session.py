@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,18 +35,16 @@ def local_session(app: str = "quillspark", cpus: str = "8", **conf: str) -> Spar
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh sub-folder of the shared folder named in ``spark.checkpoint.dir``.
+    """A fresh sub-folder of the folder shared by driver and executors.
 
-    Only where that setting is absent (local tests) a temporary folder is used.
+    That is the one named in ``spark.checkpoint.dir`` or given to ``setCheckpointDir``. Only a
+    session whose executors run inside the driver (``local[n]``) falls back to a temporary folder;
+    elsewhere the files of one machine would be invisible to the others, so the call fails.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = os.path.join(tempfile.gettempdir(), "quillspark-scratch")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``DataFrame.checkpoint`` at the shared folder unless one is set already."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_dir(spark, "checkpoint"))
