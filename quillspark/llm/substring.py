@@ -13,7 +13,7 @@ from .common import bitmap, grams, pieces, stored, word_hashes, words
 
 BITS = 1 << 23
 NONE = -(1 << 63)       # stands for a null id: smaller than any
-PART_BYTES = 16 << 20   # text per part of the window table
+PART_BYTES = 8 << 20    # text per part of the window table
 HOT_LIMIT = 10_000      # first holders that are split over several tasks, at most
 
 
@@ -29,6 +29,13 @@ def _unplane(raw: bytes, n: int, keep: int, dtype) -> np.ndarray:
     return out.reshape(-1).view(dtype)
 
 
+def _unpacked(block: tuple[int, int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, documents and positions of a block's windows."""
+    n, first, raw = block
+    return (_unplane(raw[:6 * n], n, 6, np.uint64), first + np.cumsum(_unplane(raw[6 * n:14 * n], n, 8, np.int64)),
+            _unplane(raw[14 * n:], n, 4, np.int32))
+
+
 class Automaton:
     """Suffix automaton over word codes, several spans one after another (states are shared)."""
 
@@ -125,7 +132,7 @@ def repeated_windows(rows: DataFrame, width: int) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, max_bytes=8 << 20):
+        for batch in pieces(batches):
             starts, codes, distinct = words(batch.column("text"))
             every = grams(word_hashes(distinct)[codes], width)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(starts))
@@ -167,13 +174,9 @@ def repeated_windows(rows: DataFrame, width: int) -> DataFrame:
             if plain.num_rows:
                 yield plain.select(["role", "k", "pos", "first"])
             for r in batch.filter(pa.array(role == 2)).to_pylist():
-                n, raw = r["pos"], r["blob"]
-                blobs.setdefault(r["first"], []).append(
-                    (_unplane(raw[:6 * n], n, 6, np.uint64), r["k"] + np.cumsum(_unplane(raw[6 * n:14 * n], n, 8, np.int64)),
-                     _unplane(raw[14 * n:], n, 4, np.int32)))
-        for held in blobs.values():
-            h, k, pos = (np.concatenate(x) for x in zip(*held))
-            held.clear()
+                blobs.setdefault(r["first"], []).append((r["pos"], r["k"], r["blob"]))
+        while blobs:  # parts are unpacked one after another
+            h, k, pos = (np.concatenate(x) for x in zip(*map(_unpacked, blobs.popitem()[1])))
             order = np.lexsort((pos, k, h))
             h, k, pos = h[order], k[order], pos[order]
             head = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], np.arange(len(h)), 0))
