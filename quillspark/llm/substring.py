@@ -13,7 +13,7 @@ from .common import bitmap, grams, pieces, stored, word_hashes, words
 
 BITS = 1 << 23
 NONE = -(1 << 63)       # stands for a null id: smaller than any
-PART_BYTES = 8 << 20    # text per part of the window table
+PART_BYTES = 4 << 20    # text per part of the window table
 HOT_LIMIT = 10_000      # first holders that are split over several tasks, at most
 
 
@@ -32,8 +32,9 @@ def _unplane(raw: bytes, n: int, keep: int, dtype) -> np.ndarray:
 def _unpacked(block: tuple[int, int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, documents and positions of a block's windows."""
     n, first, raw = block
-    return (_unplane(raw[:6 * n], n, 6, np.uint64), first + np.cumsum(_unplane(raw[6 * n:14 * n], n, 8, np.int64)),
-            _unplane(raw[14 * n:], n, 4, np.int32))
+    wide, raw = raw[0], raw[1:]
+    return (_unplane(raw[:6 * n], n, 6, np.uint64), first + _unplane(raw[6 * n:(6 + wide) * n], n, wide, np.int64),
+            _unplane(raw[(6 + wide) * n:], n, 4, np.int32))
 
 
 class Automaton:
@@ -153,10 +154,11 @@ def repeated_windows(rows: DataFrame, width: int) -> DataFrame:
             edge = np.searchsorted(part[by], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edge)):
                 i = sole[by[edge[p]:edge[p + 1]]]
-                first = int(k[i[0]])
+                first = int(k[i].min())
+                wide = max(1, (int(k[i].max()) - first).bit_length() + 7 >> 3)
                 # 48 bits of the hash besides the part; every match is compared word by word later.
-                blob = (_planes(h[i] // np.uint64(parts), 6) + _planes(np.diff(k[i], prepend=first), 8)
-                        + _planes(pos[i].astype(np.int32), 4))
+                blob = (bytes([wide]) + _planes(h[i] // np.uint64(parts), 6)
+                        + _planes((k[i] - first).astype(np.int64), wide) + _planes(pos[i].astype(np.int32), 4))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([2], pa.int32()), pa.array([first]), pa.array([len(i)], pa.int32()), pa.array([int(p)]), pa.array([blob])],
                     ["role", "k", "pos", "first", "blob"])
