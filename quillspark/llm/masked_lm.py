@@ -80,39 +80,40 @@ class Network:
         return out
 
     def _forward(self, around: np.ndarray, ids: np.ndarray):
+        """Layers and logits of words sorted by group, and where each group's words begin."""
         p, s, n = self.p, self.s, len(ids)
         x = p["e"][around].reshape(n, -1)
         h = np.tanh(x @ p["w"] + p["b"])
-        group = _log_softmax(h @ p["g"] + p["gb"])
-        target = ids // s.members
-        order = np.argsort(target, kind="stable")
-        edge = np.searchsorted(target[order], np.arange(s.groups + 1))
+        group = h @ p["g"] + p["gb"]
+        edge = np.searchsorted(ids, np.arange(s.groups + 1) * s.members)
         member = np.empty((n, s.members), np.float32)
         for k in np.flatnonzero(np.diff(edge)):
-            i = order[edge[k]:edge[k + 1]]
-            part = slice(k * s.members, (k + 1) * s.members)
-            member[i] = h[i] @ p["o"][:, part] + p["ob"][part]
-        return x, h, group, _log_softmax(member), target, order, edge
+            i, part = slice(edge[k], edge[k + 1]), slice(k * s.members, (k + 1) * s.members)
+            np.matmul(h[i], p["o"][:, part], out=member[i])
+            member[i] += p["ob"][part]
+        return x, h, group, member, edge
 
     def log_prob(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        _, _, group, member, target, _, _ = self._forward(around, ids)
-        at = np.arange(len(ids))
-        return group[at, target] + member[at, ids % self.s.members]
+        order = np.argsort(ids, kind="stable")
+        _, _, group, member, _ = self._forward(around[order], ids[order])
+        out = np.empty(len(ids), np.float32)
+        out[order] = _picked(group, ids[order] // self.s.members) + _picked(member, ids[order] % self.s.members)
+        return out
 
     def gradients(self, around: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+        order = np.argsort(ids, kind="stable")
+        around, ids = around[order], ids[order]
         p, s, n = self.p, self.s, len(ids)
-        x, h, group, member, target, order, edge = self._forward(around, ids)
-        at = np.arange(n)
-        dg, dm = np.exp(group), np.exp(member)
-        dg[at, target] -= 1
-        dm[at, ids % s.members] -= 1
-        dg /= n
-        dm /= n
+        x, h, dg, dm, edge = self._forward(around, ids)
+        for d, target in ((dg, ids // s.members), (dm, ids % s.members)):
+            d -= d.max(1, keepdims=True)
+            np.exp(d, out=d)
+            d /= d.sum(1, keepdims=True) * n
+            d[np.arange(n), target] -= np.float32(1 / n)
         grads = {"g": h.T @ dg, "gb": dg.sum(0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
         dh = dg @ p["g"].T
         for k in np.flatnonzero(np.diff(edge)):
-            i = order[edge[k]:edge[k + 1]]
-            part = slice(k * s.members, (k + 1) * s.members)
+            i, part = slice(edge[k], edge[k + 1]), slice(k * s.members, (k + 1) * s.members)
             grads["o"][:, part] = h[i].T @ dm[i]
             grads["ob"][part] = dm[i].sum(0)
             dh[i] += dm[i] @ p["o"][:, part].T
@@ -123,9 +124,10 @@ class Network:
         return grads | {"w": x.T @ dh, "b": dh.sum(0)}
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _picked(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row's target."""
+    top = x.max(1)
+    return x[np.arange(len(x)), target] - top - np.log(np.exp(x - top[:, None]).sum(1))
 
 
 @dataclass
