@@ -86,6 +86,18 @@ def grams(word_hash: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def planes(x: np.ndarray, keep: int) -> bytes:
+    """The ``keep`` low bytes of integers, all first bytes before all second ones: small numbers
+    leave planes of zeros, which Spark's shuffle compression removes."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :keep].T.tobytes()
+
+
+def unplane(raw: bytes, n: int, keep: int, dtype) -> np.ndarray:
+    out = np.zeros((n, np.dtype(dtype).itemsize), np.uint8)
+    out[:, :keep] = np.frombuffer(raw, np.uint8).reshape(keep, n).T
+    return out.reshape(-1).view(dtype)
+
+
 def bitmap(ids: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bit per hash class of the values in ``column``: ``bits`` / 8 bytes, however many rows.
 

@@ -12,9 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, grams, mix64, pieces, smallest_linked, stored, word_hashes, words
+from .common import (bitmap, grams, mix64, pieces, planes, smallest_linked, stored, unplane,
+                     word_hashes, words)
 
 BITS = 1 << 23        # bits of the map of documents whose shingles are read again
+PART_BYTES = 4 << 20  # text per part of the key space
 BLOCK_ROWS = 512      # sets, and
 BLOCK_TOKENS = 150_000  # shingles of one of the two blocks that a comparison holds
 
@@ -110,13 +112,75 @@ def _class(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(tokens.tobytes(), len(tokens))).astype(np.int64))
 
 
+def _hung(rows: DataFrame, scheme: Scheme, size: int) -> DataFrame:
+    """(a, b): documents that share a key, each with the smallest that has it.
+
+    Of equal sets a task indexes one. Keys travel in blocks of bytes, one per batch and part of
+    the key space; a part stands for about PART_BYTES of text, so a task holds a bounded number.
+    """
+    spark = rows.sparkSession
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in pieces(batches):
+            ids, keys = batch.column("id").to_numpy(), [np.zeros(0, np.int64)]
+            owner = [np.zeros(0, np.int64)]
+            for i, tokens in zip(ids, shingle_sets(batch.column("text"), size)):
+                cls = _class(tokens) if len(tokens) else None
+                if cls is not None and cls not in seen:
+                    seen.add(cls)
+                    keys.append(keys_of(tokens, scheme))
+                    owner.append(np.full(len(keys[-1]), i, np.int64))
+            if len(seen) > 500_000:
+                seen.clear()
+            key, k = np.concatenate(keys).view(np.uint64), np.concatenate(owner)
+            part = (key % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            edge = np.searchsorted(part[by], np.arange(parts + 1))
+            full = np.flatnonzero(np.diff(edge))
+            low, blobs = [], []
+            for p in full:
+                i = by[edge[p]:edge[p + 1]]
+                low.append(int(k[i].min()))
+                wide = max(1, (int(k[i].max()) - low[-1]).bit_length() + 7 >> 3)
+                # 48 bits of the key besides the part; candidates are compared exactly later.
+                blobs.append(bytes([wide]) + planes(key[i] // np.uint64(parts), 6) + planes((k[i] - low[-1]).astype(np.int64), wide))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int64()), pa.array(np.diff(edge)[full], pa.int64()), pa.array(low, pa.int64()), pa.array(blobs, pa.binary())],
+                ["part", "n", "low", "blob"])
+
+    def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                blobs.setdefault(r["part"], []).append((r["n"], r["low"], r["blob"]))
+        while blobs:
+            key, k = [], []
+            for n, low, raw in blobs.popitem()[1]:
+                key.append(unplane(raw[1:6 * n + 1], n, 6, np.uint64))
+                k.append(low + unplane(raw[6 * n + 1:], n, raw[0], np.int64))
+            key, k = np.concatenate(key), np.concatenate(k)
+            order = np.lexsort((k, key))
+            key, k = key[order], k[order]
+            root = k[np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))]
+            pairs = np.unique(np.stack([k, root], axis=1)[k != root], axis=0)
+            for a in range(0, len(pairs), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[a:a + 50_000, 0]), pa.array(pairs[a:a + 50_000, 1])], ["a", "b"])
+
+    named = rows.where("id is not null").select(F.col("id").cast("long").alias("id"), "text")
+    return (named.mapInArrow(spread, "part long, n long, low long, blob binary").repartition(parts, "part")
+            .mapInArrow(hang, "a long, b long"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        num: int = 90, den: int = 100, size: int = 3) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id reachable by links).
 
     1. Shingle sets; equal sets are one class from here on, so copies cost nothing more.
-    2. Each class's keys (see ``Scheme``), shuffled by key; classes met under one key hang on the
-       smallest of them. This gives groups of candidates, not pairs.
+    2. Each class's keys (see ``Scheme``), shuffled by key; documents met under one key hang on
+       the smallest of them. This gives groups of candidates, not pairs.
     3. Shingles of the candidates only are read again, and every pair inside a group is compared
        exactly; a large group is cut in blocks and each pair of blocks is a piece of work of its
        own. What comes out is one row per set at most, not one per pair.
@@ -130,49 +194,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            n, cls, keys = [], [], []
-            for tokens in shingle_sets(batch.column("text"), size):
-                n.append(len(tokens))
-                cls.append(_class(tokens) if len(tokens) else None)
-                new = len(tokens) > 0 and cls[-1] not in seen
-                keys.append(keys_of(tokens, scheme) if new else None)
-                if new:
-                    seen.add(cls[-1])
-            if len(seen) > 500_000:
-                seen.clear()
-            ends = np.cumsum([0, *[0 if k is None else len(k) for k in keys]]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *[k for k in keys if k is not None]])
+            found = [(len(t), _class(t) if len(t) else None) for t in shingle_sets(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
-                 pa.ListArray.from_arrays(ends, pa.array(flat))], ["id", "n", "cls", "keys"])
+                [batch.column("id"), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())],
+                ["id", "n", "cls"])
 
-    sets = stored(rows.mapInArrow(index, f"id {kind}, n long, cls long, keys array<long>"), "jaccard-sets")
+    sets = stored(rows.mapInArrow(describe, f"id {kind}, n long, cls long"), "jaccard-sets")
     heads = stored(sets.where("cls is not null and id is not null").groupBy("cls")
                    .agg(F.min("id").alias("head"), F.max("n").alias("n")), "jaccard-heads")
-
-    def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, low, last = None, None, None  # of the row before
-        for batch in batches:
-            k, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(k):
-                continue
-            new = np.r_[key is None or k[0] != key, k[1:] != k[:-1]]
-            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            root = np.where(at >= 0, c[at], low if low is not None else 0)
-            fresh = np.r_[last is None or c[0] != last, c[1:] != c[:-1]]
-            link = (root != c) & (fresh | new)
-            key, low, last = k[-1], root[-1], c[-1]
-            pairs = np.unique(np.stack([c[link], root[link]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    indexed = sets.where("id is not null").select(F.explode("keys").alias("key"), "cls")
-    hung = indexed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(hang, "a long, b long")
-    groups = smallest_linked(hung, "jaccard-candidates")
-    members = stored(groups.join(heads, groups["id"] == heads["cls"]).select(
-        F.col("root").alias("grp"), "cls", "head", "n"), "jaccard-members")
+    groups = smallest_linked(_hung(rows, scheme, size), "jaccard-candidates")
+    grouped = groups.join(sets.where("cls is not null").select("id", "cls"), "id").select(F.col("root").alias("grp"), "cls").distinct()
+    members = stored(grouped.join(heads, "cls"), "jaccard-members")
     shape = members.groupBy("grp").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_ROWS)).alias("blocks"))
     placed = members.join(stored(shape, "jaccard-shape"), "grp").select(
         "grp", "cls", "head", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("blk"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, grams, pieces, stored, word_hashes, words
+from .common import bitmap, grams, pieces, planes, stored, unplane, word_hashes, words
 
 BITS = 1 << 23
 NONE = -(1 << 63)       # stands for a null id: smaller than any
@@ -17,24 +17,12 @@ PART_BYTES = 4 << 20    # text per part of the window table
 HOT_LIMIT = 10_000      # first holders that are split over several tasks, at most
 
 
-def _planes(x: np.ndarray, keep: int) -> bytes:
-    """The ``keep`` low bytes of integers, all first bytes before all second ones: small numbers
-    leave planes of zeros, which Spark's shuffle compression removes."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :keep].T.tobytes()
-
-
-def _unplane(raw: bytes, n: int, keep: int, dtype) -> np.ndarray:
-    out = np.zeros((n, np.dtype(dtype).itemsize), np.uint8)
-    out[:, :keep] = np.frombuffer(raw, np.uint8).reshape(keep, n).T
-    return out.reshape(-1).view(dtype)
-
-
 def _unpacked(block: tuple[int, int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, documents and positions of a block's windows."""
     n, first, raw = block
     wide, raw = raw[0], raw[1:]
-    return (_unplane(raw[:6 * n], n, 6, np.uint64), first + _unplane(raw[6 * n:(6 + wide) * n], n, wide, np.int64),
-            _unplane(raw[(6 + wide) * n:], n, 4, np.int32))
+    return (unplane(raw[:6 * n], n, 6, np.uint64), first + unplane(raw[6 * n:(6 + wide) * n], n, wide, np.int64),
+            unplane(raw[(6 + wide) * n:], n, 4, np.int32))
 
 
 class Automaton:
@@ -157,8 +145,8 @@ def repeated_windows(rows: DataFrame, width: int) -> DataFrame:
                 first = int(k[i].min())
                 wide = max(1, (int(k[i].max()) - first).bit_length() + 7 >> 3)
                 # 48 bits of the hash besides the part; every match is compared word by word later.
-                blob = (bytes([wide]) + _planes(h[i] // np.uint64(parts), 6)
-                        + _planes((k[i] - first).astype(np.int64), wide) + _planes(pos[i].astype(np.int32), 4))
+                blob = (bytes([wide]) + planes(h[i] // np.uint64(parts), 6)
+                        + planes((k[i] - first).astype(np.int64), wide) + planes(pos[i].astype(np.int32), 4))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([2], pa.int32()), pa.array([first]), pa.array([len(i)], pa.int32()), pa.array([int(p)]), pa.array([blob])],
                     ["role", "k", "pos", "first", "blob"])
