@@ -37,8 +37,6 @@ class Vocabulary:
         letters = _byte_letters()
         raw = {t: bytes(letters[c] for c in t) for t in spec["model"]["vocab"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: raw[t] for t, i in spec["model"]["vocab"].items()}
-        self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.id_of_rank = [spec["model"]["vocab"][t] for t in raw if len(raw[t]) == 1]
         self.rank_of = {raw[t]: r for r, t in enumerate(t for t in raw if len(raw[t]) == 1)}
         self.halves: list[tuple[int, int] | None] = [None] * len(self.id_of_rank)
@@ -76,10 +74,23 @@ class Vocabulary:
                     limit, a = a, ha[1]
                 else:
                     limit, b = b + 1, hb[0]
+            if len(self.fits) > 250_000:
+                self.fits.clear()
             self.fits[(left, right)] = known
         return known
 
 
+@lru_cache(maxsize=2)
+def token_bytes(file: str) -> list[bytes]:
+    """Bytes of each token by id; empty for ids that are not in the file."""
+    with open(file, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = _byte_letters()
+    known = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+    known |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    return [known.get(i, b"") for i in range(max(known) + 1)]
+
+
 @lru_cache(maxsize=2)
 def vocabulary(file: str) -> Vocabulary:
     return Vocabulary(file)
@@ -96,7 +107,7 @@ class Trie:
     ``limit`` of them at most.
     """
 
-    def __init__(self, vocab: Vocabulary, limit: int = 250_000):
+    def __init__(self, vocab: Vocabulary, limit: int = 120_000):
         self.vocab, self.limit = vocab, limit
         self.ids: dict[str, tuple[int, ...]] = {}
 
@@ -180,7 +191,7 @@ def encode(docs: DataFrame, vocab_file: str, id_col: str = "doc_id", text_col: s
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found_by = encoder(vocab_file)
-        for batch in pieces(batches, max_bytes=8 << 20):
+        for batch in pieces(batches, max_bytes=6 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found = found_by.batch(texts)
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
@@ -199,16 +210,20 @@ def decode(tokens: DataFrame, vocab_file: str, id_col: str = "doc_id", ids_col:
     Bytes that are not UTF-8 become the replacement character.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary(vocab_file).bytes_of
+        table = token_bytes(vocab_file)
+        known = len(table)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                texts = [None if x is None else
-                         b"".join([table.get(i, b"") for i in x]).decode("utf-8", "replace")
-                         for x in batch.column("ids").to_pylist()]
+                lists = batch.column("ids")
+                flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                texts = []
+                for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), lists.is_valid().to_pylist()):
+                    own = flat[a:b]
+                    own = own[(own >= 0) & (own < known)]
+                    texts.append(b"".join(map(table.__getitem__, own.tolist())).decode("utf-8", "replace") if ok else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("ids"), pa.array(texts, pa.string())],
-                    ["id", "ids", "text"])
+                    [batch.column("id"), lists, pa.array(texts, pa.string())], ["id", "ids", "text"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
     rows = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
