@@ -114,7 +114,7 @@ def bitmap(ids: DataFrame, column: str, bits: int) -> np.ndarray:
 
 
 def smallest_linked(links: DataFrame, label: str, max_rounds: int = 60) -> DataFrame:
-    """(id, root) of every id in ``links`` (a, b): the smallest id reachable.
+    """(id, root) of every id in ``links`` (a, b), roots included: the smallest id reachable.
 
     Each round every id hands the smallest root it knows of to its neighbours' roots (large and
     small stars), so chains shorten geometrically. The rounds' tables are written to the shared
@@ -142,5 +142,6 @@ def smallest_linked(links: DataFrame, label: str, max_rounds: int = 60) -> DataF
         edges = after
         if same:
             roots = edges.groupBy("a").agg(F.min("b").alias("root"))
-            return roots.select(F.col("a").alias("id"), "root")
+            own = edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
+            return roots.select(F.col("a").alias("id"), "root").unionAll(own)
     raise RuntimeError(f"{label}: links have not settled after {max_rounds} rounds")
