@@ -314,4 +314,6 @@ def capture_history(pages: DataFrame, **options) -> DataFrame:
     archives = write_archives(pages, **options)
     history = merge_index(spark, archives)
     read = read_archives(spark, archives).select("archive", "offset", "payload_digest", "payload_bytes", "refers_to")
-    return history.join(read, ["archive", "offset"])
+    # Both sides come from one row per task, so their sizes are unknown to the planner: without
+    # the hint it would broadcast a whole index.
+    return history.hint("merge").join(read, ["archive", "offset"])
