@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .quota import first_k
 from .timeline import Timeline
 
@@ -176,7 +177,7 @@ def review_outcomes(transcripts: DataFrame, decisions: DataFrame, keys: Sequence
         [t, "decision", "edited"], "_d", where=F.col("_side") == 1).result()
     in_time = F.col("_d")[t] - F.col(t) <= timeout_us
     decision = F.coalesce(F.when(in_time, F.col("_d.decision")), F.lit("accept"))
-    edited = F.trim(F.col("_d.edited"))
+    edited = strip(F.col("_d.edited"))
     output = F.when((decision == "correct") & (edited != ""), edited).otherwise(F.col("cleaned"))
     return (line.where(F.col("_side") == 0)
             .select(*keys, t, row_id, F.col("raw").alias("input"), output.alias("output"),

@@ -141,7 +141,7 @@ def review_log(candidates: DataFrame, key: str = "user_id") -> DataFrame:
     """Read view of the candidate log: first decision wins, none means accept, skip drops."""
     first = candidates.groupBy(key, "event_id", "raw", "cleaned").agg(
         F.min_by("decision", "decided_ts").alias("d"), F.min_by("edited", "decided_ts").alias("x"))
-    decision, edit = F.coalesce("d", F.lit("accept")), F.trim("x")
+    decision, edit = F.coalesce("d", F.lit("accept")), t.strip(F.col("x"))
     output = F.when((decision == "correct") & (edit != ""), edit).otherwise(F.col("cleaned"))
     return first.where(decision != "skip").select(
         key, "event_id", F.col("raw").alias("input"), output.alias("output"),
