@@ -32,18 +32,18 @@ def debounce(df: DataFrame, keys: Sequence[str], t: str, row_id: str,
     chunk before it, or with no influence. Every chunk is folded once per possible entry;
     the chain of actual entries is then resolved on these small (entry, exit) tables, and
     a chunk without possible entries starts a new chain. At most ``chunk`` events are
-    accepted per chunk.
+    accepted per chunk. Rows with NULL keys are one key of their own.
     """
     keys = list(keys)
     span = gap_us * chunk
     at = F.expr(f"`{t}` div {span}L")
     spill = F.col(t) >= (at + 1) * span - gap_us
-    placed = df.select(*keys, t, row_id, F.explode(F.array_compact(F.array(
+    placed = df.select(F.struct(*keys).alias("_who"), t, row_id, F.explode(F.array_compact(F.array(
         F.struct(at.alias("c"), F.lit(False).alias("cand")),
         F.when(spill, F.struct((at + 1).alias("c"), F.lit(True).alias("cand")))))).alias("_p"))
     own = ~F.col("_p.cand")
     event = F.struct(F.col(t).alias("t"), F.col(row_id).alias("id"))
-    chunks = placed.groupBy(*keys, F.col("_p.c").alias("_slot")).agg(
+    chunks = placed.groupBy("_who", F.col("_p.c").alias("_slot")).agg(
         F.sort_array(F.collect_list(F.when(own, event))).alias("_ev"),
         F.collect_set(F.when(~own, F.col(t))).alias("_entries"),
     ).where(F.size("_ev") > 0)
@@ -55,10 +55,10 @@ def debounce(df: DataFrame, keys: Sequence[str], t: str, row_id: str,
         return F.aggregate("_ev", entry,
                            lambda last, x: F.when(accepts(last, x), x["t"]).otherwise(last))
 
-    exits = chunks.select(*keys, "_slot", F.transform(
+    exits = chunks.select("_who", "_slot", F.transform(
         F.concat(F.array(F.lit(None).cast("bigint")), F.col("_entries")),
         lambda e: F.struct(e.alias("entry"), leave(e).alias("exit"))).alias("_exits"))
-    entries = _resolve_chain(exits, keys)
+    entries = _resolve_chain(exits, ["_who"])
 
     def collect(state: Column, x: Column) -> Column:
         hit = accepts(state["last"], x)
@@ -68,8 +68,8 @@ def debounce(df: DataFrame, keys: Sequence[str], t: str, row_id: str,
             .alias("kept"))
 
     start = F.struct(F.col("_entry").alias("last"), F.slice("_ev", 1, 0).alias("kept"))
-    return (chunks.join(entries, [*keys, "_slot"])
-            .select(*keys, F.inline(F.aggregate("_ev", start, collect, lambda st: st["kept"])))
+    return (chunks.join(entries, ["_who", "_slot"])
+            .select("_who.*", F.inline(F.aggregate("_ev", start, collect, lambda st: st["kept"])))
             .withColumnsRenamed({"t": t, "id": row_id}))
 
 

@@ -15,6 +15,7 @@ from ..functions.text import prompt, words
 IGNORE = -100
 PAD_ID, EOS_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2, 3
 BATCH = 4
+SHARDS = 16
 HEAD_TOKENS = 50_000
 
 
@@ -99,14 +100,13 @@ def examples(encoded: DataFrame, max_len: int = 256, eos_id: int | None = EOS_ID
                       "labels")
 
 
-def batch_numbers(rows: DataFrame, seed: int, row_id: str = "pair_id", shards: int | None = None,
+def batch_numbers(rows: DataFrame, seed: int, row_id: str = "pair_id", shards: int = SHARDS,
                   batch: int = BATCH) -> DataFrame:
     """Random (shard, batch) per row, ``batch`` rows each; at most one short batch a shard.
 
-    Shards bound what one task sorts: about 50,000 rows each when not given.
+    Shards bound what one task sorts: raise them with the table. A row's shard depends on
+    its id and their number only, so adding rows moves no other row to another shard.
     """
-    if shards is None:
-        shards = max(1, -(-rows.count() // 50_000))
     dig = d.digest(seed, F.col(row_id), "batch")
     keyed = rows.select("*", d.index(dig, shards, 0).alias("shard"),
                         d.draw(dig, 1).alias("_draw"))
@@ -116,7 +116,7 @@ def batch_numbers(rows: DataFrame, seed: int, row_id: str = "pair_id", shards: i
 
 
 def padded_batches(rows: DataFrame, seed: int, pad_id: int = PAD_ID, row_id: str = "pair_id",
-                   shards: int | None = None, batch: int = BATCH) -> DataFrame:
+                   shards: int = SHARDS, batch: int = BATCH) -> DataFrame:
     """One row per batch with right-padded BIGINT matrices and the padded width."""
     numbered = batch_numbers(rows, seed, row_id, shards, batch)
     grouped = numbered.groupBy("shard", "batch").agg(

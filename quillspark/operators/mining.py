@@ -12,8 +12,9 @@ from ..functions import text as t
 from ..functions.draws import bind
 from ..functions.vocab import SPELLING_TARGETS
 from ..sources.tables import small_table
-from .quota import first_k, smallest_k
+from .quota import GROUP_LIMIT_MAX_K, first_k, materialise, smallest_k
 
+SPELLING_MAX_WORDS = 80  # fixed value: longest sentence of the spelling stage
 IDX_BITS = 20
 DOC_BITS = 40
 GROUPS = list(dict.fromkeys(g for g, _, _ in SPELLING_TARGETS))
@@ -90,8 +91,7 @@ def mine_corpus(sources: Sequence[DataFrame], target: int | None = None,
     found = first_occurrence(ranked_sources(sources, **gate))
     if target is None:
         return found
-    top = found.agg(F.max("ord")).first()[0]
-    return smallest_k(found, target, "ord", hi=max(top or 0, 1))
+    return smallest_k(materialise(found, "corpus"), target, "ord", lo=None)
 
 
 def unseen(batch: DataFrame, seen: DataFrame, text: str = "sentence") -> DataFrame:
@@ -143,10 +143,9 @@ def match_words(sentences: DataFrame, targets: DataFrame, text: str = "sentence"
 def spelling_sources(sentences: DataFrame, per_group: int) -> DataFrame:
     """First ``per_group`` sentences of every spelling group, in packed file order."""
     hits = spelling_matches(sentences)
-    if per_group <= 1000:
+    if per_group <= GROUP_LIMIT_MAX_K:
         return first_k(hits, per_group, [F.col("ord")], ["grp"])
-    top = hits.agg(F.max("ord")).first()[0]
-    return smallest_k(hits, per_group, "ord", ["grp"], hi=max(top or 0, 1))
+    return smallest_k(materialise(hits, "hits"), per_group, "ord", ["grp"], lo=None)
 
 
 def group_counts(hits: DataFrame) -> DataFrame:

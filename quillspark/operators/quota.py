@@ -12,6 +12,7 @@ from ..session import scratch_dir
 
 # Largest k that Spark's window group limit prunes map-side (its default threshold).
 GROUP_LIMIT_MAX_K = 1000
+SHARES = 64  # parts of a group that are ranked on their own for a larger k
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -26,7 +27,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def smallest_k(df: DataFrame, k: int, key: str, groups: Sequence[str] = (),
-               tie: Sequence[str] = (), lo: int = 0, hi: int = d.DRAW_SPAN - 1,
+               tie: Sequence[str] = (), lo: int | None = 0, hi: int | None = d.DRAW_SPAN - 1,
                buckets: int = 4096, max_cut_rows: int = 1_000_000,
                max_levels: int = 5) -> DataFrame:
     """The rows with the k smallest BIGINT keys per group; exact for any k and any skew.
@@ -35,9 +36,16 @@ def smallest_k(df: DataFrame, k: int, key: str, groups: Sequence[str] = (),
     the bucket that contains the k-th row. Lower buckets are kept whole; only the cut
     bucket is ranked. While a cut bucket is still large it is split again, so one task
     never sorts more than about ``max_cut_rows`` rows unless that many share one key.
-    Keys must lie in [lo, hi].
+    Keys must lie in [lo, hi]; if either is None both are measured first. Rows whose group
+    is NULL form a group of their own.
     """
     groups, tie = list(groups), list(tie)
+    if k <= 0:
+        return df.limit(0)
+    if lo is None or hi is None:
+        lo, hi = df.agg(F.min(key), F.max(key)).first()
+        if lo is None:
+            return df
     keep = _cut_by_group if groups else _cut_global
     return keep(df, k, key, groups, tie, lo, hi, buckets, max_cut_rows, max_levels)
 
@@ -73,22 +81,26 @@ def _cut_global(df, k, key, groups, tie, lo, hi, buckets, max_cut_rows, max_leve
 
 
 def _cut_by_group(df, k, key, groups, tie, lo, hi, buckets, max_cut_rows, max_levels):
-    """Grouped form: one cut row per group, joined back by the group."""
+    """Grouped form: one cut row per group, joined back by the group.
+
+    The group travels as a struct, which is never NULL itself, so NULL groups match in joins.
+    """
+    columns, df = df.columns, df.withColumn("_g", F.struct(*groups))
     kcol, cuts, width = F.col(key), None, hi - lo + 1
     for _ in range(max_levels):
         step = max(1, -(-width // buckets))
         if cuts is None:
-            hist = df.groupBy(*groups, _bucket(key, f"{lo}L", step).alias("_b"))
+            hist = df.groupBy("_g", _bucket(key, f"{lo}L", step).alias("_b"))
             base, need = F.lit(lo).cast("bigint"), F.lit(k).cast("bigint")
         else:
-            inside = df.join(cuts, groups).where(
+            inside = df.join(cuts, "_g").where(
                 (kcol >= F.col("_lo")) & (kcol < F.col("_hi")))
-            hist = inside.groupBy(*groups, "_lo", "_need",
+            hist = inside.groupBy("_g", "_lo", "_need",
                                   _bucket(key, "_lo", step).alias("_b"))
             base, need = F.col("_lo"), F.col("_need")
-        found = _found(hist.agg(F.count(F.lit(1)).alias("_n")), groups, need)
+        found = _found(hist.agg(F.count(F.lit(1)).alias("_n")), ["_g"], need)
         cuts = materialise(found.select(
-            *groups,
+            "_g",
             (base + F.col("_b") * step).alias("_lo"),
             (base + (F.col("_b") + 1) * step).alias("_hi"),
             (need - (F.col("_cum") - F.col("_n"))).alias("_need"),
@@ -98,20 +110,28 @@ def _cut_by_group(df, k, key, groups, tie, lo, hi, buckets, max_cut_rows, max_le
         worst = cuts.agg(F.max("_in_cut")).first()[0]
         if worst is None or worst <= max_cut_rows or step == 1:
             break
-    marked = df.join(cuts, groups, "left")
+    marked = df.join(cuts, "_g", "left")
     whole = marked.where(F.col("_lo").isNull() | (kcol < F.col("_lo")))
     cut = marked.where((kcol >= F.col("_lo")) & (kcol < F.col("_hi")))
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(key, *tie))
+    rank = F.row_number().over(Window.partitionBy("_g").orderBy(key, *tie))
     cut = cut.withColumn("_r", rank).where(F.col("_r") <= F.col("_need"))
-    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
+    return whole.select(*columns).unionByName(cut.select(*columns))
 
 
 def first_k(df: DataFrame, k: int, order: Sequence[Column], groups: Sequence[str]) -> DataFrame:
-    """First k rows per group for a small k: map-side pruned by the window group limit."""
+    """First k rows per group, for any k.
+
+    Small ks are pruned map-side by the window group limit. For larger ones shares of each
+    group are ranked first, so the last step sorts at most ``SHARES * k`` rows of a group.
+    """
+    def ranked(rows: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+
     if k > GROUP_LIMIT_MAX_K:
-        raise ValueError(f"k={k}: use smallest_k beyond {GROUP_LIMIT_MAX_K}")
-    w = Window.partitionBy(*groups).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+        share = F.pmod(F.spark_partition_id(), F.lit(SHARES))
+        df = ranked(df.withColumn("_share", share), *groups, "_share").drop("_share")
+    return ranked(df, *groups)
 
 
 def shuffled(df: DataFrame, seed: int, row_id: Column) -> DataFrame:
@@ -143,9 +163,11 @@ def split_exact(df: DataFrame, seed: int, row_id: Column, val_fraction: float,
     n = df.count()
     k = -int(-(n * val_fraction) // 1)
     keyed = df.withColumn("_draw", d.shuffle_key(seed, row_id, "split"))
-    val = smallest_k(keyed, k, "_draw", tie=tie).drop("_draw")
-    train = df.join(val.select(*tie), list(tie), "left_anti")
-    return train, val
+    at = F.struct("_draw", *tie)
+    last = smallest_k(keyed, k, "_draw", tie=tie).agg(F.max(at)).first()[0]
+    chosen = F.lit(False) if last is None else at <= F.struct(*[
+        F.lit(last[c]).cast(keyed.schema[c].dataType).alias(c) for c in ("_draw", *tie)])
+    return keyed.where(~chosen).drop("_draw"), keyed.where(chosen).drop("_draw")
 
 
 def with_index(df: DataFrame, key: str, out: str = "idx", cells: int = 65_536) -> DataFrame:

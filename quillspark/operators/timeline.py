@@ -20,17 +20,15 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
-def from_micros(us: Column) -> Column:
-    return F.timestamp_micros(us).cast("timestamp_ntz")
-
-
 class Timeline:
     """Events of ``keys`` ordered by ``order`` (first column: BIGINT micros)."""
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_us: int):
         self.keys, self.order = list(keys), list(order)
-        self.df = df.withColumn("_chunk", F.expr(f"`{order[0]}` div {chunk_us}L"))
-        self._part = [*self.keys, "_chunk"]
+        # A struct is never NULL itself, so rows with NULL keys match in the joins too.
+        self.df = df.withColumns({"_key": F.struct(*self.keys),
+                                  "_chunk": F.expr(f"`{order[0]}` div {chunk_us}L")})
+        self._part = ["_key", "_chunk"]
 
     def _pos(self) -> list[Column]:
         return [F.col(c) for c in self.order]
@@ -41,7 +39,7 @@ class Timeline:
 
     def _carried(self, summary: Column, carry, local: Column, out: str,
                  descending: bool = False) -> Timeline:
-        across = Window.partitionBy(*self.keys).orderBy(
+        across = Window.partitionBy("_key").orderBy(
             F.col("_chunk").desc() if descending else F.col("_chunk").asc())
         table = (self.df.groupBy(*self._part).agg(summary.alias("_s"))
                  .select(*self._part, carry(across).alias("_c")))
@@ -95,4 +93,4 @@ class Timeline:
         return self._carried(F.max(value), carry, F.greatest(local, F.col("_c")), out)
 
     def result(self) -> DataFrame:
-        return self.df.drop("_chunk")
+        return self.df.drop("_key", "_chunk")

@@ -29,6 +29,14 @@ def register(name: str, sql: str | None):
 PRIORITY = "CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END"
 
 
+def short_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus of the spelling stage, whose sentences have at most 80 words."""
+    return m.mine_corpus([docs(spark, sf)], max_words=m.SPELLING_MAX_WORDS)
+
+
+SHORT = k.corpus(8, m.SPELLING_MAX_WORDS)
+
+
 def three_sources(spark: SparkSession, sf: str) -> list[DataFrame]:
     base = docs(spark, sf, "source")
     src = F.col("source")
@@ -39,9 +47,7 @@ def three_sources(spark: SparkSession, sf: str) -> list[DataFrame]:
 @register("multi_source_corpus_s5", f"""WITH {k.corpus(priority=PRIORITY)}
  SELECT ord, sentence FROM corpus ORDER BY ord LIMIT {TARGET}""")
 def multi_source_corpus(spark, sf):
-    found = o.materialise(m.mine_corpus(three_sources(spark, sf)), "corpus")
-    top = found.agg(F.max("ord")).first()[0]
-    return o.smallest_k(found, TARGET, "ord", hi=max(top or 0, 1))
+    return m.mine_corpus(three_sources(spark, sf), TARGET)
 
 
 # --- joins -----------------------------------------------------------------------------
@@ -69,11 +75,11 @@ def targets(spark: SparkSession) -> DataFrame:
     return small_table(spark, SPELLING_TARGETS, "grp string, correct string, typo string")
 
 
-@register("word_match_j2", f"""WITH {k.corpus()} SELECT ord, grp, correct, typo FROM
+@register("word_match_j2", f"""WITH {SHORT} SELECT ord, grp, correct, typo FROM
  (SELECT ord, unnest(list_distinct(regexp_extract_all(sentence, '[\\pL\\pN_]+'))) AS correct
  FROM corpus) JOIN (VALUES {TARGET_VALUES}) v(grp, correct, typo) USING (correct)""")
 def word_match(spark, sf):
-    return m.match_words(corpus(spark, sf), targets(spark)).select("ord", "grp", "correct", "typo")
+    return m.match_words(short_corpus(spark, sf), targets(spark)).select("ord", "grp", "correct", "typo")
 
 
 @register("source_dedupe_j3", f"WITH {k.corpus(priority=PRIORITY)} SELECT ord, sentence FROM corpus")
@@ -90,19 +96,19 @@ def incremental_dedupe(spark, sf):
     return m.unseen(fresh, seen)
 
 
-@register("any_target_semi_j4", f"""WITH {k.corpus()} SELECT ord FROM corpus WHERE
+@register("any_target_semi_j4", f"""WITH {SHORT} SELECT ord FROM corpus WHERE
  list_has_any(regexp_extract_all(sentence, '[\\pL\\pN_]+'),
  {k.strings([c for _, c, _ in SPELLING_TARGETS])})""")
 def any_target_semi(spark, sf):
-    return corpus(spark, sf).where(m.target_word(F.col("sentence"))).select("ord")
+    return short_corpus(spark, sf).where(m.target_word(F.col("sentence"))).select("ord")
 
 
 # --- quotas and windows ------------------------------------------------------------------
 
-@register("first_per_group_w3", f"""WITH {k.corpus()}, {spelling_sql(5000, 43)}
+@register("first_per_group_w3", f"""WITH {SHORT}, {spelling_sql(5000, 43)}
  SELECT grp, ord FROM src""")
 def first_per_group(spark, sf):
-    return m.spelling_sources(corpus(spark, sf), 5000 // len(m.GROUPS) + 50).select("grp", "ord")
+    return m.spelling_sources(short_corpus(spark, sf), 5000 // len(m.GROUPS) + 50).select("grp", "ord")
 
 
 @register("large_group_quota_w3", f"""SELECT lang, source, doc_id, sent_idx FROM (WITH {k.good_sents()}
@@ -112,16 +118,13 @@ def large_group_quota(spark, sf):
     rows = m.good_sentences(docs(spark, sf, "lang", "source")).select(
         "lang", "source", "doc_id", "sent_idx", m.file_order().alias("ord"))
     rows = o.materialise(rows, "good")
-    top = rows.agg(F.max("ord")).first()[0]
-    return o.smallest_k(rows, 1500, "ord", ["lang"], hi=max(top or 0, 1)).drop("ord")
+    return o.smallest_k(rows, 1500, "ord", ["lang"], lo=None).drop("ord")
 
 
 @register("global_cap_w4", f"""WITH {k.corpus()} SELECT ord, sentence FROM corpus
  ORDER BY ord LIMIT {TARGET}""")
 def global_cap(spark, sf):
-    found = o.materialise(corpus(spark, sf), "corpus")
-    top = found.agg(F.max("ord")).first()[0]
-    return o.smallest_k(found, TARGET, "ord", hi=max(top or 0, 1))
+    return m.mine_corpus([docs(spark, sf)], TARGET)
 
 
 @register("cyclic_reuse_w5", f"""WITH {k.corpus()}, n AS (SELECT count(*) AS n FROM corpus),
@@ -175,7 +178,7 @@ def distinct_sentences(spark, sf):
         "ord", "sentence", "n_chars")
 
 
-GROUP_COUNT_SQL = f"""{k.corpus()}, hits AS (SELECT DISTINCT ord, grp FROM
+GROUP_COUNT_SQL = f"""{SHORT}, hits AS (SELECT DISTINCT ord, grp FROM
  (SELECT ord, unnest(regexp_extract_all(sentence, '[\\pL\\pN_]+')) AS correct FROM corpus)
  JOIN (VALUES {TARGET_VALUES}) v(grp, correct, typo) USING (correct)), counts AS (
  SELECT grp, count(ord) AS n FROM (SELECT DISTINCT grp FROM (VALUES {TARGET_VALUES})
@@ -184,12 +187,12 @@ GROUP_COUNT_SQL = f"""{k.corpus()}, hits AS (SELECT DISTINCT ord, grp FROM
 
 @register("group_source_counts_a9", f"WITH {GROUP_COUNT_SQL} SELECT grp, n FROM counts")
 def group_source_counts(spark, sf):
-    return m.group_counts(m.spelling_matches(corpus(spark, sf)))
+    return m.group_counts(m.spelling_matches(short_corpus(spark, sf)))
 
 
 @register("all_quotas_met_a10", f"WITH {GROUP_COUNT_SQL} SELECT bool_and(n >= 454) AS all_met FROM counts")
 def all_quotas_met(spark, sf):
-    return m.all_quotas_met(m.group_counts(m.spelling_matches(corpus(spark, sf))), 454)
+    return m.all_quotas_met(m.group_counts(m.spelling_matches(short_corpus(spark, sf))), 454)
 
 
 # --- pair sets -----------------------------------------------------------------------------
@@ -223,7 +226,7 @@ def mix_parts(spark: SparkSession, sf: str) -> list[DataFrame]:
     pid = F.col("pair_id")
     passed = g.pass_through_pairs(ids(spark, sf), SEED)
     return [
-        g.spelling_pairs(m.mine_corpus([docs(spark, sf)], max_words=80), 1100, 43),
+        g.spelling_pairs(short_corpus(spark, sf), 1100, 43),
         g.cardinal_pairs(ids(spark, sf), 300, 43),
         o.sample_n(passed, 200, 43, pid, ["pair_id"]),
     ]

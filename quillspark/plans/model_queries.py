@@ -41,7 +41,7 @@ def eval_rows(spark: SparkSession, sf: str) -> DataFrame:
                   t=t.collapse_spaces(F.col("text"))).drop("text")
     dg, tx = F.col("dig"), F.col("text")
     cased = d.bind(
-        base, case_id=F.col("conv_id") * 1000 + F.col("turn"),
+        base, case_id=rid,
         category=d.choice(CATEGORIES, dg, 1),
         text=F.when(d.gate(dg, 0.15), F.concat(F.lit("explain neural networks "), "t"))
         .when(d.gate(dg, 0.20), F.lit("")).otherwise(F.col("t")))
@@ -65,7 +65,7 @@ EVAL = f"""evals AS MATERIALIZED (SELECT case_id, category, text, CASE {k.index(
  WHEN 6 THEN {k.remove_punctuation('lower(text)')} ELSE concat_ws(' ', text, text, text) END
  AS output FROM (SELECT case_id, dig, {k.choice(CATEGORIES, 'dig', 1)} AS category,
  CASE WHEN {k.gate('dig', 0.15)} THEN 'explain neural networks ' || t
- WHEN {k.gate('dig', 0.20)} THEN '' ELSE t END AS text FROM (SELECT conv_id * 1000 + turn AS
+ WHEN {k.gate('dig', 0.20)} THEN '' ELSE t END AS text FROM (SELECT conv_id || ':' || turn AS
  case_id, {_DIG} AS dig, {k.collapse('text')} AS t FROM conversations)))"""
 
 
@@ -137,7 +137,7 @@ def verdict_summary(spark, sf):
     return e.summary(v.with_verdict(eval_rows(spark, sf)), ["category"])
 
 
-@register("case_output_join_j5", f"""WITH pairs AS (SELECT a.conv_id * 1000 + a.turn AS case_id,
+@register("case_output_join_j5", f"""WITH pairs AS (SELECT a.conv_id || ':' || a.turn AS case_id,
  'PROVOCATIVE' AS category, {k.collapse('a.text')} AS text, {k.collapse('b.text')} AS output
  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
  WHERE a.role = 'user'), {k.verdict('pairs')} SELECT case_id, flagged, reason FROM verdicts""")
@@ -148,7 +148,7 @@ def case_output_join(spark, sf):
         "conv_id", "turn", F.lit("PROVOCATIVE").alias("category"), text.alias("text"))
     outputs = every.select("conv_id", (F.col("turn") - 1).alias("turn"), text.alias("output"))
     return e.judged(cases, outputs, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), "flagged", "reason")
+        F.concat_ws(":", "conv_id", "turn").alias("case_id"), "flagged", "reason")
 
 
 SUITE = "(VALUES " + ", ".join(
@@ -174,12 +174,15 @@ def literal_suite(spark, sf):
         "source", "case_id", "category", "note", "shown_in", "shown_out")
 
 
-@register("case_variant_cross_j6", f"""WITH {VARIANTS} SELECT case_id,
- bool_or(flagged) FILTER (source = 'src0') AS src0, bool_or(flagged) FILTER (source = 'src1') AS src1,
- bool_or(flagged) FILTER (source = 'src2') AS src2 FROM verdicts GROUP BY case_id""")
+SHOWN = [f"src{i}" for i in range(20)]
+_SHOWN_SQL = ", ".join(f"bool_or(flagged) FILTER (source = '{n}') AS {n}" for n in SHOWN)
+
+
+@register("case_variant_cross_j6", f"""WITH {VARIANTS} SELECT case_id, {_SHOWN_SQL}
+ FROM verdicts GROUP BY case_id""")
 def case_variant_cross(spark, sf):
     rows = variant_rows(spark, sf).withColumnRenamed("source", "variant")
-    return e.compare_variants(rows, ["src0", "src1", "src2"])
+    return e.compare_variants(rows, SHOWN)
 
 
 @register("flagged_ids_a2", f"""WITH {VARIANTS} SELECT source, coalesce(string_agg('[' ||
@@ -202,13 +205,12 @@ def positional_zip(spark, sf):
 
 STAGE_SQL = """timings AS (SELECT CASE event_type WHEN 'click' THEN 'Whisper transcribe'
  WHEN 'view' THEN 'Formatter (fast)' ELSE 'Text injection' END AS stage, user_id AS iter,
- value AS ms FROM events WHERE event_type IN ('click', 'view', 'signup'))"""
+ value AS ms FROM events)"""
 
 
 def timings(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
-    return table(spark, sf, "events", "event_type", "user_id", "value").where(
-        kind.isin("click", "view", "signup")).select(
+    return table(spark, sf, "events", "event_type", "user_id", "value").select(
         F.when(kind == "click", "Whisper transcribe").when(kind == "view", "Formatter (fast)")
         .otherwise("Text injection").alias("stage"),
         F.col("user_id").alias("iter"), F.col("value").alias("ms"))
@@ -234,9 +236,9 @@ def iteration_totals(spark, sf):
 
 
 def _latency_sql(source: str, group: str, value: str) -> str:
-    return f"""SELECT {group}, count(*) AS n, round(avg({value}), 6) AS avg_ms,
+    return f"""SELECT {group}, count({value}) AS n, round(avg({value}), 6) AS avg_ms,
  min({value}) AS min_ms, max({value}) AS max_ms, round(median({value}), 6) AS p50_ms,
- list_sort(list({value}))[floor(0.95::DOUBLE * (count(*) - 1))::INT + 1] AS p95_ms
+ list_sort(list({value}))[floor(0.95::DOUBLE * (count({value}) - 1))::INT + 1] AS p95_ms
  FROM {source} GROUP BY {group}"""
 
 
@@ -352,8 +354,7 @@ def attention_mask(spark, sf):
 
 
 _BDIG = k.digest(42, "pair_id", "batch")
-BATCHES = f"""{EXAMPLES}, keyed AS (SELECT *, {k.index(_BDIG,
- 'greatest(1, ceil((SELECT count(*) FROM examples) / 50000))::BIGINT', 0)} AS shard,
+BATCHES = f"""{EXAMPLES}, keyed AS (SELECT *, {k.index(_BDIG, x.SHARDS, 0)} AS shard,
  {k.draw(_BDIG, 1)} AS dr FROM examples), numbered AS (SELECT *, row_number() OVER
  (PARTITION BY shard ORDER BY dr, pair_id) - 1 AS rn FROM keyed),
  widths AS (SELECT shard, rn // 4 AS batch, max(len(input_ids)) AS width FROM numbered GROUP BY ALL)"""

@@ -144,7 +144,7 @@ def stream_collect(spark, sf):
 
 
 # One file is one batch here; the early stop over several batches is covered by the tests.
-@register("stream_mining_st10", f"""WITH {k.corpus()}, {spelling_sql(5000, 43)}
+@register("stream_mining_st10", f"""WITH {k.corpus(8, 80)}, {spelling_sql(5000, 43)}
  SELECT grp, ord, sentence FROM src""")
 def stream_mining(spark, sf):
     rows = s.source(spark, f"{sf}/documents.parquet", 1).select("doc_id", "text")

@@ -160,11 +160,10 @@ def prompt_render(spark, sf):
 
 @register("empty_display_p13", f"""WITH {DIRTY} SELECT sid,
  CASE WHEN x = '' THEN 'EMPTY' ELSE x END AS shown FROM (SELECT sid,
- {k.collapse(k.strip_fillers("split_part(dirty, ' ', 1)"))} AS x FROM dirt)""")
+ {k.collapse(k.strip_fillers("dirty"))} AS x FROM dirt)""")
 def empty_display(spark, sf):
-    first = F.substring_index(D(), " ", 1)
     return dirty(spark, sf).select("sid", t.shown(
-        t.collapse_spaces(t.strip_fillers(first)), "EMPTY").alias("shown"))
+        t.collapse_spaces(t.strip_fillers(D())), "EMPTY").alias("shown"))
 
 
 @register("pause_label_p14", """SELECT event_id, CASE WHEN value * 10 < 300

@@ -86,7 +86,10 @@ class Toggle(Debounce):
 
 
 class HoldPairs(StatefulProcessor):
-    """Press/release edges to intervals; a release counts only while active."""
+    """Press/release edges to intervals; a release counts only while active.
+
+    An edge that comes after a newer one of its key was applied changes nothing any more.
+    """
 
     output = "user_id bigint, event_id bigint, start_us bigint, end_us bigint"
 
@@ -94,16 +97,19 @@ class HoldPairs(StatefulProcessor):
         self.gap_us = gap_us
 
     def init(self, handle) -> None:
-        self.held = _Value(handle, "held", "active boolean, start long, press long, release long",
-                           (False, None, None, None))
+        self.held = _Value(handle, "held", "active boolean, start long, press long, release long, seen long",
+                           (False, None, None, None, None))
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = _ordered(rows, "t", "event_id")
         if not len(pdf):
             return
-        active, start, press, release = self.held.get()
+        active, start, press, release, seen = self.held.get()
         out = []
         for t, event_id, edge in zip(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["edge"]):
+            if seen is not None and t < seen:
+                continue
+            seen = t
             if edge == "press":
                 active = True
                 if press is None or t - press >= self.gap_us:
@@ -114,7 +120,7 @@ class HoldPairs(StatefulProcessor):
                     release = t
                     out.append((key[0], event_id, start, t))
                     start = None
-        self.held.set(active, start, press, release)
+        self.held.set(active, start, press, release, seen)
         frame = pd.DataFrame(out, columns=["user_id", "event_id", "start_us", "end_us"])
         yield frame.astype({"start_us": "Int64"})
 
@@ -125,7 +131,8 @@ class HoldPairs(StatefulProcessor):
 class AutoReset(StatefulProcessor):
     """States as they arrive plus an ``idle`` row when ``done`` is not followed in time.
 
-    The event-time timer is set at the due moment and dropped by any newer state.
+    The event-time timer is set at the due moment and dropped by any newer state. A state
+    that comes after a newer one of its key is passed on and leaves the timer alone.
     """
 
     output = "user_id bigint, event_id bigint, state string, at_us bigint"
@@ -135,7 +142,7 @@ class AutoReset(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.due = _Value(handle, "due", "at long, event_id long", (None, None))
+        self.due = _Value(handle, "due", "at long, event_id long, seen long", (None, None, None))
 
     def _clear_timers(self) -> None:
         for expiry in list(self.handle.listTimers()):
@@ -148,24 +155,28 @@ class AutoReset(StatefulProcessor):
         pdf = _ordered(rows, "t", "event_id")
         if not len(pdf):
             return
-        due, source = self.due.get()
+        due, source, seen = self.due.get()
         out = []
         for t, event_id, state in zip(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["state"]):
+            if seen is not None and t < seen:
+                out.append((key[0], event_id, state, t))
+                continue
+            seen = t
             if due is not None and t > due:
                 out.append((key[0], source, "idle", due))
             due, source = (t + self.reset_us, event_id) if state == self.done else (None, None)
             out.append((key[0], event_id, state, t))
         self._clear_timers()
-        self.due.set(due, source)
+        self.due.set(due, source, seen)
         if due is not None:
             # Timers have millisecond resolution: the first whole one not before the moment.
             self.handle.registerTimer(-(-due // 1000))
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due, source = self.due.get()
+        due, source, seen = self.due.get()
         if due is not None:
-            self.due.set(None, None)
+            self.due.set(None, None, seen)
             yield self._frame([(key[0], source, "idle", due)])
 
     def close(self) -> None:

@@ -41,12 +41,14 @@ def rocksdb_state(spark: SparkSession):
 def source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files as a stream; the schema is taken from the files already there.
 
-    The trailing wildcard lets ``path`` be one file or a folder of files.
+    ``path`` may be one file or a folder of files. A stream takes a single file only as a
+    pattern, so the last character is written as a class of one: nothing else matches.
     """
+    path = path.rstrip("/")
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path.rstrip("/") + "*")
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_files(stream: DataFrame, label: str, fmt: str = "parquet",
@@ -189,7 +191,7 @@ def run_mining(stream: DataFrame, per_group: int, groups: Sequence[str] = tuple(
     def add(batch: DataFrame, batch_id: int) -> None:
         if full:
             return
-        found = m.good_sentences(batch).select(m.file_order().alias("ord"), "sentence")
+        found = m.good_sentences(batch, max_words=m.SPELLING_MAX_WORDS).select(m.file_order().alias("ord"), "sentence")
         hits = m.spelling_matches(m.first_occurrence(found)).select("grp", "ord", "sentence")
         if batch_id:
             old = spark.read.schema(schema).parquet(f"{out}/*")

@@ -141,3 +141,13 @@ def test_settings_changes(spark):
     got = ev.settings_changes(df, ["user_id"], "t", "event_id", 2).orderBy("t").collect()
     assert [(r.re_register, r.reload_rewriter, r.restart_needed) for r in got] == [
         (False, False, False), (False, False, False), (True, False, False), (False, True, False)]
+
+
+def test_null_keys_are_a_key(spark):
+    rows = [(u, t, e) for e, (u, t) in enumerate((u, t) for u in (None, 1) for t in range(0, 5000, 40))]
+    df = spark.createDataFrame(rows, "user_id long, t long, event_id long")
+    kept = {(r.user_id, r.t) for r in ev.debounce(df, ["user_id"], "t", "event_id", 150, 4).collect()}
+    assert {t for u, t in kept if u is None} == {t for u, t in kept if u == 1} == set(range(0, 5000, 160))
+    line = Timeline(df, ["user_id"], ["t", "event_id"], 700).previous(["t"], "_b").result()
+    got = {(r.user_id, r.t): r._b and r._b.t for r in line.collect()}
+    assert got == {(u, t): t - 40 if t else None for u, t, _ in rows}

@@ -98,3 +98,41 @@ def test_stage_and_case_statistics(spark):
                                    ("w", 1, 9.0, "")], "variant string, idx int, ms double, text string")
     row = s.first_vs_rest(calls, ["variant"]).collect()
     assert [(r.variant, r.first_ms, r.rest_avg_ms) for r in row] == [("v", 100.0, 6.0)]
+
+
+def test_quota_with_null_groups_at_any_k(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, None, "a", "b"]), rng.randrange(1 << 32)) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "id long, grp string, key long").repartition(6)
+    for k in (0, 3, 999, 1000, 1001, 5000):
+        want = set()
+        for grp in (None, "a", "b"):
+            want |= {i for _, i in sorted((key, i) for i, g, key in rows if g == grp)[:k]}
+        first = q.first_k(df, k, [F.col("key"), F.col("id")], ["grp"])
+        small = q.smallest_k(df, k, "key", ["grp"], ["id"], lo=None, buckets=16, max_cut_rows=50)
+        assert {r.id for r in first.collect()} == want == {r.id for r in small.collect()}
+
+
+def test_latency_of_null_groups_and_values(spark):
+    rows = [("a", float(i % 7919)) for i in range(30_000)] + [(None, 5.0), (None, 7.0), ("b", None)]
+    df = spark.createDataFrame(rows, "grp string, ms double").repartition(5)
+    for small in (10, 100_000):
+        got = {r.grp: r for r in s.latency_summary(df, ["grp"], small_group=small).collect()}
+        values = sorted(v for g, v in rows if g == "a")
+        assert (got["a"].p50_ms, got["a"].p95_ms) == (np.median(values), values[int(0.95 * (len(values) - 1))])
+        assert (got[None].n, got[None].p50_ms) == (2, 6.0)
+        assert (got["b"].n, got["b"].avg_ms, got["b"].p95_ms) == (0, None, None)
+
+
+def test_latency_does_not_shuffle_the_fact(spark):
+    df = spark.range(50_000).selectExpr("id % 3 AS grp", "cast(id AS double) AS ms")
+    plan = s.latency_summary(df, ["grp"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Range (") == 1
+
+
+def test_exact_split(spark):
+    df = spark.range(1000)
+    train, val = q.split_exact(df, 3, F.col("id"), 0.2, ["id"])
+    a, b = {r.id for r in train.collect()}, {r.id for r in val.collect()}
+    assert len(b) == 200 and not a & b and len(a | b) == 1000
+    assert q.split_exact(df, 3, F.col("id"), 0.0, ["id"])[1].count() == 0
