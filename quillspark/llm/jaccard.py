@@ -19,6 +19,8 @@ BITS = 1 << 23        # bits of the map of documents whose shingles are read aga
 PART_BYTES = 4 << 20  # text per part of the key space
 BLOCK_ROWS = 512      # sets, and
 BLOCK_TOKENS = 150_000  # shingles of one of the two blocks that a comparison holds
+CHAIN, WIDTH = 7, 9  # segments after a key's own that its sketch covers, and bits for each
+CHECK = 0.002         # cost of comparing two sketches, in keys
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,13 @@ class Scheme:
     segments by hash; segment i is allotted 1 (it must be equal) or 2 (it may differ by one
     shingle), and if the allotments add up to more than the number that may differ, linked
     sets agree in some segment.
+
+    More holds when the segments are laid on a ring: start behind the place where differences
+    less allotments, added up, were highest for the last time. From there, every run of segments
+    differs in less than its allotments add up to. So a key carries a sketch of the next
+    segments, one bit of parity per hash class of shingles, and two sets that share a key are
+    candidates only if the sketches differ by less than that. Sketches never differ by more
+    than the sets do, so no linked pair is lost.
     """
 
     num: int
@@ -55,8 +64,8 @@ def _allot(s: Scheme, band: int) -> tuple[int, int]:
     """(segments allotted 2, segments allotted 1) of least cost for the band.
 
     A set costs one key per segment, one per shingle of the segments allotted 2 (its
-    one-deletion neighbours), and one per set that agrees by chance, which happens where a
-    segment is empty on both sides or nearly so.
+    one-deletion neighbours), and a comparison of sketches per set that agrees by chance, which
+    happens where a segment is empty on both sides or nearly so.
     """
     size, largest = s.starts[band], s.starts[band + 1] - 1
     differ = 2 * largest * (s.den - s.num) // (s.den + s.num)
@@ -68,31 +77,84 @@ def _allot(s: Scheme, band: int) -> tuple[int, int]:
             continue
         fill = size / m
         chance = s.crowd * np.exp(-2 * fill) * (ones + twos * (1 + fill) ** 2)
-        cost = m + largest * twos / m + chance
+        cost = m + largest * twos / m + CHECK * chance
         if best is None or cost < best[0]:
             best = (cost, twos, ones)
     return best[1], best[2]
 
 
-def keys_of(tokens: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """Keys under which a set of distinct shingles is indexed, in its own band and the next."""
-    out, own = [], scheme.band(len(tokens))
+def keys_of(tokens: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which a set of distinct shingles is indexed, in its own band and the next, and
+    the sketch of the segments after each key's. A sketch's top bit tells that allotments of 2
+    are among those segments."""
+    keys, chains, own = [], [], scheme.band(len(tokens))
     place, value = mix64(tokens + np.uint64(1)), mix64(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    bit = np.uint64(1) << (value >> np.uint64(32)) % np.uint64(WIDTH)
     for band in (own, own + 1):
         twos, ones = scheme.allot(band)
         m = twos + ones
         seg = (place % np.uint64(m)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
-        total = np.zeros(m, np.uint64)
+        total, parity = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
         first = np.searchsorted(seg[order], np.arange(m))
         full = np.flatnonzero(np.r_[first[1:], len(seg)] > first)
         total[full] = np.add.reduceat(value[order], first[full])
+        parity[full] = np.bitwise_xor.reduceat(bit[order], first[full])
+        chain = np.zeros(m, np.uint64)
+        loose = np.arange(m) < twos
+        for step in range(1, min(CHAIN, m - 1) + 1):
+            chain |= np.roll(parity, -step) << np.uint64(WIDTH * (step - 1))
+            loose |= np.roll(np.arange(m) < twos, -step)
+        chain |= loose.astype(np.uint64) << np.uint64(63)
         base = mix64(np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 32))
-        out.append(mix64(total + base))
+        keys.append(mix64(total + base))
+        chains.append(chain)
         if twos:  # the first segments are those allotted 2: their sums less one shingle each
             near = seg < twos
-            out.append(mix64(total[seg[near]] - value[near] + base[seg[near]]))
-    return np.unique(np.concatenate(out)).view(np.int64)
+            keys.append(mix64(total[seg[near]] - value[near] + base[seg[near]]))
+            chains.append(chain[seg[near]])
+    return np.concatenate(keys), np.concatenate(chains)
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the sketches of two sets under one key allow them to be linked."""
+    differ, loose = x ^ y, (x >> np.uint64(63)).astype(np.int64)
+    good = np.ones(len(x), bool)
+    for step in range(CHAIN, 0, -1):  # with n segments after the key's: n, or 2n + 1 where loose
+        part = np.bitwise_count(differ & np.uint64((1 << WIDTH * step) - 1))
+        good &= part <= step + loose * (step + 1)
+    return good
+
+
+def meet(key: np.ndarray, chain: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Rows (a, b), a > b: links that connect the ids ``k`` of each key whose sketches are alike.
+
+    Ids with the same sketch hang on their smallest. The distinct sketches of a key are then
+    compared with each other; a pair that is connected already adds no row.
+    """
+    order = np.lexsort((k, chain, key))
+    key, chain, k = key[order], chain[order], k[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (chain[1:] != chain[:-1])]
+    root = k[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    out = [np.unique(np.stack([k, root], axis=1)[k != root], axis=0)]
+    key, chain, k = key[new], chain[new], k[new]
+    label, at, step = np.arange(len(key)), np.arange(len(key)), 0
+    while True:
+        step += 1
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            break
+        x, y = label[at], label[at + step]
+        while ((label[x] != x) | (label[y] != y)).any():
+            x, y = label[x], label[y]
+        label[at], label[at + step] = x, y
+        apart = np.flatnonzero(x != y)
+        good = apart[alike(chain[at[apart]], chain[at[apart] + step])]
+        a, b = k[at[good]], k[at[good] + step]
+        out.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)[a != b])
+        label[np.maximum(x, y)[good]] = np.minimum(x, y)[good]
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -113,7 +175,7 @@ def _class(tokens: np.ndarray) -> int:
 
 
 def _hung(rows: DataFrame, scheme: Scheme, size: int) -> DataFrame:
-    """(a, b): documents that share a key, each with the smallest that has it.
+    """(a, b): documents that share a key and have sketches alike, as links that connect them.
 
     Of equal sets a task indexes one. Keys travel in blocks of bytes, one per batch and part of
     the key space; a part stands for about PART_BYTES of text, so a task holds a bounded number.
@@ -125,17 +187,18 @@ def _hung(rows: DataFrame, scheme: Scheme, size: int) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in pieces(batches):
-            ids, keys = batch.column("id").to_numpy(), [np.zeros(0, np.int64)]
-            owner = [np.zeros(0, np.int64)]
+            ids, keys = batch.column("id").to_numpy(), [np.zeros(0, np.uint64)]
+            chains, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, tokens in zip(ids, shingle_sets(batch.column("text"), size)):
                 cls = _class(tokens) if len(tokens) else None
                 if cls is not None and cls not in seen:
                     seen.add(cls)
-                    keys.append(keys_of(tokens, scheme))
+                    for into, made in zip((keys, chains), keys_of(tokens, scheme)):
+                        into.append(made)
                     owner.append(np.full(len(keys[-1]), i, np.int64))
             if len(seen) > 500_000:
                 seen.clear()
-            key, k = np.concatenate(keys).view(np.uint64), np.concatenate(owner)
+            key, chain, k = np.concatenate(keys), np.concatenate(chains), np.concatenate(owner)
             part = (key % np.uint64(parts)).astype(np.int64)
             by = np.argsort(part, kind="stable")
             edge = np.searchsorted(part[by], np.arange(parts + 1))
@@ -146,7 +209,8 @@ def _hung(rows: DataFrame, scheme: Scheme, size: int) -> DataFrame:
                 low.append(int(k[i].min()))
                 wide = max(1, (int(k[i].max()) - low[-1]).bit_length() + 7 >> 3)
                 # 48 bits of the key besides the part; candidates are compared exactly later.
-                blobs.append(bytes([wide]) + planes(key[i] // np.uint64(parts), 6) + planes((k[i] - low[-1]).astype(np.int64), wide))
+                blobs.append(bytes([wide]) + planes(key[i] // np.uint64(parts), 6) + planes(chain[i], 8)
+                             + planes((k[i] - low[-1]).astype(np.int64), wide))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(full, pa.int64()), pa.array(np.diff(edge)[full], pa.int64()), pa.array(low, pa.int64()), pa.array(blobs, pa.binary())],
                 ["part", "n", "low", "blob"])
@@ -157,15 +221,12 @@ def _hung(rows: DataFrame, scheme: Scheme, size: int) -> DataFrame:
             for r in batch.to_pylist():
                 blobs.setdefault(r["part"], []).append((r["n"], r["low"], r["blob"]))
         while blobs:
-            key, k = [], []
+            key, chain, k = [], [], []
             for n, low, raw in blobs.popitem()[1]:
                 key.append(unplane(raw[1:6 * n + 1], n, 6, np.uint64))
-                k.append(low + unplane(raw[6 * n + 1:], n, raw[0], np.int64))
-            key, k = np.concatenate(key), np.concatenate(k)
-            order = np.lexsort((k, key))
-            key, k = key[order], k[order]
-            root = k[np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], np.arange(len(key)), 0))]
-            pairs = np.unique(np.stack([k, root], axis=1)[k != root], axis=0)
+                chain.append(unplane(raw[6 * n + 1:14 * n + 1], n, 8, np.uint64))
+                k.append(low + unplane(raw[14 * n + 1:], n, raw[0], np.int64))
+            pairs = meet(np.concatenate(key), np.concatenate(chain), np.concatenate(k))
             for a in range(0, len(pairs), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[a:a + 50_000, 0]), pa.array(pairs[a:a + 50_000, 1])], ["a", "b"])
 
@@ -179,8 +240,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: id, n_shingles, component_id (the smallest id reachable by links).
 
     1. Shingle sets; equal sets are one class from here on, so copies cost nothing more.
-    2. Each class's keys (see ``Scheme``), shuffled by key; documents met under one key hang on
-       the smallest of them. This gives groups of candidates, not pairs.
+    2. Each class's keys (see ``Scheme``), shuffled by key; documents that meet under one key with
+       sketches alike are connected. This gives groups of candidates, not pairs.
     3. Shingles of the candidates only are read again, and every pair inside a group is compared
        exactly; a large group is cut in blocks and each pair of blocks is a piece of work of its
        own. What comes out is one row per set at most, not one per pair.

@@ -245,3 +245,22 @@ def test_digest_columns(spark):
     ids = Tokenizer.from_file(FILE).encode(text, add_special_tokens=False).ids
     assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_keys_lose_no_linked_pair():
+    rng = np.random.default_rng(2)
+    for num, n in [(num, n) for num in (80, 90) for n in (1, 2, 5, 9, 30, 150, 700)]:
+        scheme, base = jaccard.Scheme(num, 100), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets = [np.unique(base)]
+        for _ in range(25):
+            cut = rng.permutation(n)[:rng.integers(0, n * (100 - num) // 200 + 2)]
+            more = rng.integers(0, 1 << 63, rng.integers(0, len(cut) + 1), dtype=np.uint64)
+            sets.append(np.unique(np.r_[np.delete(base, cut), more]))
+        keyed = [jaccard.keys_of(t, scheme) for t in sets]
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both and 100 * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                    key, chain = (np.concatenate([keyed[i][x], keyed[j][x]]) for x in (0, 1))
+                    ids = np.repeat([i, j], [len(keyed[i][0]), len(keyed[j][0])])
+                    assert jaccard.meet(key, chain, ids).tolist() == [[i, j]]
