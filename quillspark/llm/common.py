@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,6 +37,16 @@ def fold(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3, F.lit(0))
 
 
+def small_batches(spark: SparkSession, max_bytes: int = 4 << 20) -> None:
+    """Limit Arrow batches of the session to ``max_bytes``, unless a lower limit or one with a unit
+    (``16m``) is set: by row count alone, a batch of long texts takes tens of megabytes in the JVM
+    and again in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(name))
+    if now and not 0 < int(now[1]) <= max_bytes:
+        spark.conf.set(name, str(max_bytes))
+
+
 def pieces(batches: Iterable[pa.RecordBatch], text: str = "text",
            max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``max_bytes`` of text each, one row at least."""

@@ -12,11 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (bitmap, grams, mix64, pieces, planes, smallest_linked, stored, unplane,
+from .common import (bitmap, grams, mix64, pieces, planes, small_batches, smallest_linked, stored, unplane,
                      word_hashes, words)
 
 BITS = 1 << 23        # bits of the map of documents whose shingles are read again
 PART_BYTES = 4 << 20  # text per part of the key space
+PIECE_BYTES = 1 << 20  # text whose words a task holds at once
+HELD_KEYS = 400_000   # keys a task gathers before it sends them
 BLOCK_ROWS = 512      # sets, and
 BLOCK_TOKENS = 150_000  # shingles of one of the two blocks that a comparison holds
 CHAIN, WIDTH = 7, 9  # segments after a key's own that its sketch covers, and bits for each
@@ -184,36 +186,43 @@ def _hung(rows: DataFrame, scheme: Scheme, size: int) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
 
+    def pack(keys: list, chains: list, owner: list) -> pa.RecordBatch:
+        key, chain, k = np.concatenate(keys), np.concatenate(chains), np.concatenate(owner)
+        part = (key % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        edge = np.searchsorted(part[by], np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(edge))
+        low, blobs = [], []
+        for p in full:
+            i = by[edge[p]:edge[p + 1]]
+            low.append(int(k[i].min()))
+            wide = max(1, (int(k[i].max()) - low[-1]).bit_length() + 7 >> 3)
+            # 48 bits of the key besides the part; candidates are compared exactly later.
+            blobs.append(bytes([wide]) + planes(key[i] // np.uint64(parts), 6) + planes(chain[i], 8)
+                         + planes((k[i] - low[-1]).astype(np.int64), wide))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(full, pa.int64()), pa.array(np.diff(edge)[full], pa.int64()), pa.array(low, pa.int64()), pa.array(blobs, pa.binary())],
+            ["part", "n", "low", "blob"])
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in pieces(batches):
-            ids, keys = batch.column("id").to_numpy(), [np.zeros(0, np.uint64)]
-            chains, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, tokens in zip(ids, shingle_sets(batch.column("text"), size)):
+        held, n = ([], [], []), 0
+        for batch in pieces(batches, max_bytes=PIECE_BYTES):
+            for i, tokens in zip(batch.column("id").to_numpy(), shingle_sets(batch.column("text"), size)):
                 cls = _class(tokens) if len(tokens) else None
                 if cls is not None and cls not in seen:
                     seen.add(cls)
-                    for into, made in zip((keys, chains), keys_of(tokens, scheme)):
+                    key, chain = keys_of(tokens, scheme)
+                    for into, made in zip(held, (key, chain, np.full(len(key), i, np.int64))):
                         into.append(made)
-                    owner.append(np.full(len(keys[-1]), i, np.int64))
-            if len(seen) > 500_000:
+                    n += len(key)
+                if n >= HELD_KEYS:
+                    yield pack(*held)
+                    held, n = ([], [], []), 0
+            if len(seen) > 200_000:
                 seen.clear()
-            key, chain, k = np.concatenate(keys), np.concatenate(chains), np.concatenate(owner)
-            part = (key % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            edge = np.searchsorted(part[by], np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(edge))
-            low, blobs = [], []
-            for p in full:
-                i = by[edge[p]:edge[p + 1]]
-                low.append(int(k[i].min()))
-                wide = max(1, (int(k[i].max()) - low[-1]).bit_length() + 7 >> 3)
-                # 48 bits of the key besides the part; candidates are compared exactly later.
-                blobs.append(bytes([wide]) + planes(key[i] // np.uint64(parts), 6) + planes(chain[i], 8)
-                             + planes((k[i] - low[-1]).astype(np.int64), wide))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int64()), pa.array(np.diff(edge)[full], pa.int64()), pa.array(low, pa.int64()), pa.array(blobs, pa.binary())],
-                ["part", "n", "low", "blob"])
+        if n:
+            yield pack(*held)
 
     def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list] = {}
@@ -252,11 +261,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component if their texts are equal. Shingles and sets are compared by 64-bit hashes.
     """
     scheme, spark = Scheme(num, den), docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, max_bytes=PIECE_BYTES):
             found = [(len(t), _class(t) if len(t) else None) for t in shingle_sets(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())],
@@ -280,7 +290,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             at = whole.column("bit").to_numpy()
             keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
             some = whole.filter(pa.array(keep.astype(bool)))
-            for batch in pieces([some]):
+            for batch in pieces([some], max_bytes=PIECE_BYTES):
                 found = list(shingle_sets(batch.column("text"), size))
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, word_hashes, words
+from .common import pieces, small_batches, word_hashes, words
 
 STEP = 100_000  # words handled at a time inside a task
 
@@ -49,7 +49,7 @@ def word_table(docs: DataFrame, s: Settings, text_col: str = "text") -> np.ndarr
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, acc, met = index_vectors(s), np.zeros((s.classes, s.width)), np.zeros(s.classes, bool)
-        for batch in pieces(batches):
+        for batch in pieces(batches, max_bytes=1 << 20):
             starts, ids = _classes(batch.column("text"), s)
             doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             met[ids] = True
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     majority, 1 at a tie. The sample takes ids in hash order. With fewer than ten labels, or one
     kind only, every score is the smoothed share of label 1.
     """
+    small_batches(docs.sparkSession)
     chosen = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
               .dropna().groupBy("id").agg(F.when(F.avg("label") >= 0.5, 1.0).otherwise(0.0).alias("label"))
               .orderBy(F.xxhash64("id"), "id").limit(settings.max_labels))
@@ -159,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sent = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, max_bytes=1 << 20):
             x = pooled(batch.column("text"), sent.value, settings)
             vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(
                 pa.list_(pa.float32()))
@@ -187,7 +188,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in pieces(batches, text_col if carry else "text"):
+        for batch in pieces(batches, text_col if carry else "text", 1 << 20):
             text = batch.column(text_col if carry else "text")
             found = pa.array(m.network.score(pooled(text, m.table, m.settings)).astype(np.float64))
             if carry:
