@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, grams, pieces, planes, stored, unplane, word_hashes, words
+from .common import bitmap, grams, pieces, planes, small_batches, stored, unplane, word_hashes, words
 
 BITS = 1 << 23
 NONE = -(1 << 63)       # stands for a null id: smaller than any
@@ -204,6 +204,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null id counts as smaller than any, and rows that repeat an id do not count as smaller than
     each other. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NONE))
     rows = docs.select(key.alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
