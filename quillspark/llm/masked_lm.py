@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, word_hashes, words
+from .common import pieces, planes, small_batches, stored, unplane, word_hashes, words
 
 
 @dataclass(frozen=True)
 class Settings:
     groups: int = 32       # words are predicted in two steps: a group, then a word of the group;
-    members: int = 32      # the vocabulary has groups * members entries at any corpus size,
-    rare: int = 16         # of which the last ``rare`` stand for all other words, by hash
+    members: int = 32      # the network's softmax has groups * members entries at any corpus size,
+    rare: int = 16         # of which the last ``rare`` are classes of all other words, by hash
+    smooth: float = 0.5    # added to each word's count inside its class, and to that of "any unseen word"
     window: int = 2        # neighbours on each side
     width: int = 16
     hidden: int = 32
@@ -32,6 +33,7 @@ class Settings:
 
 
 SLICE = 4096  # numbers of the network in one row, when tasks' networks are averaged
+HELD = 1 << 20  # words of rare classes, or counts, that a task gathers before it sends them
 
 
 class Network:
@@ -61,11 +63,15 @@ class Network:
     def ids(self, texts: pa.Array, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start of each text's words, vocabulary entries)."""
         starts, codes, distinct = words(texts)
-        h, frequent = word_hashes(distinct), self.s.size - self.s.rare
+        entry = self.entries(word_hashes(distinct), order)
+        return starts, entry[codes] if len(codes) else np.zeros(0, np.int64)
+
+    def entries(self, h: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Vocabulary entries of words with these hashes."""
         at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
         hit = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
-        entry = np.where(hit, order[at] if len(order) else 0, frequent + (h % np.uint64(self.s.rare)).astype(np.int64))
-        return starts, entry[codes] if len(codes) else np.zeros(0, np.int64)
+        rare = self.s.size - self.s.rare + (h % np.uint64(self.s.rare)).astype(np.int64)
+        return np.where(hit, order[at] if len(order) else 0, rare)
 
     def contexts(self, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Entries around each word; beyond the text's ends the entry after the last."""
@@ -134,14 +140,13 @@ def _picked(x: np.ndarray, target: np.ndarray) -> np.ndarray:
 class Model:
     network: Network
     order: np.ndarray  # vocabulary entry of each known hash
+    counts: DataFrame  # (h, n) of every word, in the shared folder
+    tokens: np.ndarray  # how many words each rare class has,
+    types: np.ndarray   # and how many distinct ones
 
 
-def vocabulary(docs: DataFrame, s: Settings, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes of the most frequent words, their entries, count of every entry).
-
-    Words of all documents are counted, first within tasks. Entries are numbered by falling
-    frequency, so a group holds words about as frequent as each other. Equal counts go by hash.
-    """
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, n): the hash of every distinct word and its count, counted within tasks first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, max_bytes=16 << 20):
             _, codes, distinct = words(batch.column("text"))
@@ -149,9 +154,19 @@ def vocabulary(docs: DataFrame, s: Settings, text_col: str = "text") -> tuple[np
             yield pa.RecordBatch.from_arrays(
                 [pa.array(word_hashes(distinct).view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
+    return stored(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, n long")
+                  .groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
+
+
+def vocabulary(docs: DataFrame, s: Settings, text_col: str = "text",
+               counted: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of the most frequent words, their entries, count of every entry).
+
+    Entries are numbered by falling frequency, so a group holds words about as frequent as each
+    other. Equal counts go by hash.
+    """
     frequent = s.size - s.rare
-    counted = stored(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, n long")
-                     .groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
+    counted = count_words(docs, text_col) if counted is None else counted
     top = counted.orderBy(F.desc("n"), "h").limit(frequent).toArrow()  # bounded by the vocabulary
     total = counted.agg(F.sum("n")).first()[0] or 0
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
@@ -162,6 +177,23 @@ def vocabulary(docs: DataFrame, s: Settings, text_col: str = "text") -> tuple[np
     return h[by_hash], by_hash.astype(np.int64), counts
 
 
+def rare_totals(counted: DataFrame, s: Settings, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, distinct words) of each rare class."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = batch.column("h").to_numpy().view(np.uint64), batch.column("n").to_numpy()
+            other = ~np.isin(h, known)
+            cls = (h[other] % np.uint64(s.rare)).astype(np.int64)
+            tokens, types = np.zeros(s.rare, np.int64), np.bincount(cls, minlength=s.rare)
+            np.add.at(tokens, cls, n[other])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(s.rare)), pa.array(tokens), pa.array(types)], ["cls", "n", "k"])
+
+    out = np.zeros((2, s.rare))
+    for r in counted.mapInArrow(run, "cls long, n long, k long").groupBy("cls").agg(F.sum("n"), F.sum("k")).collect():
+        out[:, r[0]] = r[1:]
+    return out[0], out[1]
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> Model:
     """A network trained on every word of every document, once.
 
@@ -170,19 +202,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting
     trained on, slice by slice, in two steps. The driver holds one network.
     """
     s, sc = settings, docs.sparkSession.sparkContext
-    known, order, counts = vocabulary(docs, s, text_col)
-    model = Model(Network(s, known, counts), order)
+    counted = count_words(docs, text_col)
+    known, order, counts = vocabulary(docs, s, text_col, counted)
+    model = Model(Network(s, known, counts), order, counted, *rare_totals(counted, s, known))
     rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(s.rounds)).alias("round"), F.col(text_col).alias("text"))
     for r in range(s.rounds):
-        sent = sc.broadcast(model)
+        sent = sc.broadcast((model.network, model.order))
 
         def train(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
-            net, seen, t = sent.value.network, 0, 0
+            (net, order), seen, t = sent.value, 0, 0
             start = net.flat()
             m, v = {k: np.zeros_like(a) for k, a in net.p.items()}, {k: np.zeros_like(a) for k, a in net.p.items()}
             for batch in pieces(batches):
-                starts, ids = net.ids(batch.column("text"), sent.value.order)
+                starts, ids = net.ids(batch.column("text"), order)
                 around = net.contexts(starts, ids)
                 mixed = np.random.default_rng(s.seed + t).permutation(len(ids))
                 for a in range(0, len(ids), s.batch):
@@ -221,23 +254,19 @@ def _rows(i, task, n, x) -> pa.RecordBatch:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_prob, mean_log_prob): the sum over all words of the text of the log
-    probability of the word given ``window`` words before and after it.
+    probability of the word's vocabulary entry given ``window`` words before and after it: of the
+    word itself if it is one of the frequent ones, else of its class (``score_words`` scores words).
 
     Null and empty texts have 0 words, log_prob 0 and a null mean. Repeated rows are scored each.
     A very long text is scored in steps of fixed size. No shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.network, model.order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, step = sent.value.network, 20_000
+        net, order = sent.value
         for batch in pieces(batches):
-            starts, ids = net.ids(batch.column("text"), sent.value.order)
-            around = net.contexts(starts, ids)
-            each = np.concatenate([np.zeros(0)] + [net.log_prob(around[a:a + step], ids[a:a + step]).astype(np.float64)
-                                                   for a in range(0, len(ids), step)])
-            total = np.concatenate(([0.0], np.cumsum(each)))
-            n = np.diff(starts)
-            sums = total[starts[1:]] - total[starts[:-1]]
+            starts, ids = net.ids(batch.column("text"), order)
+            n, sums = np.diff(starts), _entry_sums(net, starts, ids)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(sums),
                  pa.array(sums / np.maximum(n, 1), mask=n == 0)], ["id", "n_words", "log_prob", "mean_log_prob"])
@@ -246,3 +275,169 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .mapInArrow(run, f"id {kind}, n_words long, log_prob double, mean_log_prob double")
             .withColumnRenamed("id", id_col))
+
+
+def _entry_sums(net: Network, starts: np.ndarray, ids: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """Per text the sum of the log probabilities of its entries."""
+    around = net.contexts(starts, ids)
+    return _sums(np.concatenate([np.zeros(0)] + [net.log_prob(around[a:a + step], ids[a:a + step]).astype(np.float64)
+                                                 for a in range(0, len(ids), step)]), starts)
+
+
+def _sums(each: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    total = np.concatenate(([0.0], np.cumsum(each)))
+    return total[starts[1:]] - total[starts[:-1]]
+
+
+def _cut(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parts that have any of these sorted hashes, where each begins, and the end): equal ranges of hashes."""
+    part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    full, first = np.unique(part, return_index=True)
+    return full, np.append(first, len(h))
+
+
+def score_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, log_prob, mean_log_prob) as ``score``, of words at any size of the vocabulary:
+    a rare word has log P(class | neighbours) + log P(word | class).
+
+    The second term is (n + smooth) / (tokens + smooth * (types + 1)) from the counts of all words
+    of the class; a word without a count has that of n = 0, so it is less likely than any counted one.
+
+    1. A task scores entries, numbers the distinct rare words of some MB of text (a batch) by hash,
+       and stores the batch's numbers and, by range of hashes, its distinct hashes.
+    2. Hashes and counts of one range meet in a task, which returns the terms in the order asked.
+    3. Batches meet their terms again and are added up per document.
+
+    What is sent is a hash and a term per distinct word of a batch, and its numbers once. No task
+    and no driver holds the counts of more than one range. Repeated rows are scored each.
+    """
+    spark, s = docs.sparkSession, model.network.s
+    small_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = spark.sparkContext.broadcast((model.network, model.order))
+    tokens, types = model.tokens, model.types
+    kind = docs.schema[id_col].dataType.simpleString()
+    ddl = f"batch long, part long, ids array<{kind}>, n array<long>, sums array<double>, ends array<long>, codes binary, blob binary"
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        net, order = sent.value
+        frequent, batch_no = s.size - s.rare, TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            h, codes = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
+            full, edge = _cut(h, parts)
+            ids = pa.concat_arrays([x[0] for x in held])
+            ends = np.cumsum(np.concatenate([x[4] for x in held])).astype(np.int64)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            lists = [one(ids), *(one(pa.array(a)) for a in (
+                np.concatenate([x[1] for x in held]).astype(np.int64), np.concatenate([x[2] for x in held]), ends))]
+            k = len(full)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([batch_no] * (k + 1), pa.int64()), pa.array([-1, *full], pa.int64()),
+                 *(pa.concat_arrays([x, pa.nulls(k, x.type)]) for x in lists),
+                 pa.array([planes(codes.astype(np.int32), 4)] + [None] * k, pa.binary()),
+                 pa.array([None] + [h[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())],
+                ["batch", "part", "ids", "n", "sums", "ends", "codes", "blob"])
+            held.clear()
+            return out
+
+        for batch in pieces(batches):
+            starts, codes, distinct = words(batch.column("text"))
+            h = word_hashes(distinct)
+            entry = net.entries(h, order)
+            ids = entry[codes] if len(codes) else np.zeros(0, np.int64)
+            rare = np.concatenate(([0], np.cumsum(ids >= frequent)))
+            asked = h[codes[ids >= frequent]] if len(codes) else np.zeros(0, np.uint64)
+            held.append((batch.column("id"), np.diff(starts), _entry_sums(net, starts, ids), asked, np.diff(rare[starts])))
+            size += len(asked) + batch.num_rows
+            if size > HELD:
+                yield flush()
+                batch_no, size = batch_no + 1, 0
+        if held:
+            yield flush()
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            h, n = (np.concatenate(x) for x in zip(*held))
+            at = np.argsort(h)
+            h, n, cls = h[at], n[at], (h[at] % np.uint64(s.rare)).astype(np.int64)
+            term = np.log((n + s.smooth) / (tokens + s.smooth * (types + 1))[cls]).astype(np.float32)
+            full, edge = _cut(h, parts)
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([-1] * len(full), pa.int64()), pa.array(full, pa.int64()),
+                 pa.array([h[a:b].tobytes() + term[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())],
+                ["batch", "part", "blob"])
+
+        for batch in batches:
+            held.append((batch.column("h").to_numpy().view(np.uint64), batch.column("n").to_numpy()))
+            if sum(len(h) for h, _ in held) > HELD:
+                yield flush()
+        if held:
+            yield flush()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unseen = np.log(s.smooth / (tokens + s.smooth * (types + 1))).astype(np.float32)
+        part, held, known, term = None, [], None, None
+        for rows in batches:
+            out: list[tuple] = []
+            for p, b, blob in zip(*(rows.column(c).to_pylist() for c in ("part", "batch", "blob"))):
+                if p != part:
+                    part, held, known = p, [], None
+                if b < 0:  # counts come before what is asked
+                    held.append(blob)
+                    continue
+                if known is None:
+                    known = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64, len(x) // 12) for x in held)])
+                    term = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32, offset=len(x) // 12 * 8) for x in held)])
+                    at, held = np.argsort(known), []
+                    known, term = known[at], term[at]
+                h = np.frombuffer(blob, np.uint64)
+                found = unseen[(h % np.uint64(s.rare)).astype(np.int64)]
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    found = np.where(known[at] == h, term[at], found)
+                out.append((b, p, found.tobytes()))
+            if out:
+                b, p, blob = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(p, pa.int64()), pa.array(blob, pa.binary())],
+                                                 ["batch", "part", "blob"])
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, terms = None, []
+
+        def finish() -> pa.RecordBatch:
+            ids, n, sums, ends, codes = row
+            codes = unplane(codes, len(codes) // 4, 4, np.int32)
+            term = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for x in terms)])
+            total = sums + _sums(term[codes].astype(np.float64), np.append(0, ends))
+            return pa.RecordBatch.from_arrays(
+                [ids, pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)],
+                ["id", "n_words", "log_prob", "mean_log_prob"])
+
+        for rows in batches:
+            for i, p in enumerate(rows.column("part").to_pylist()):
+                if p < 0:
+                    if row is not None:
+                        yield finish()
+                    lists = [rows.column(c)[i].values for c in ("ids", "n", "sums", "ends")]
+                    row, terms = (lists[0], *(x.to_numpy() for x in lists[1:]), rows.column("codes")[i].as_py()), []
+                else:
+                    terms.append(rows.column("blob")[i].as_py())
+        if row is not None:
+            yield finish()
+
+    entered = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(enter, ddl), "lm-entered")
+    asked = entered.where("part >= 0").select("batch", "part", "blob")
+    terms = (asked.unionAll(model.counts.mapInArrow(counts, "batch long, part long, blob binary"))
+             .repartition(parts, "part").sortWithinPartitions("part", "batch")
+             .mapInArrow(look, "batch long, part long, blob binary"))
+    both = entered.where("part < 0").drop("blob").unionByName(terms, allowMissingColumns=True)
+    return (both.repartition(parts, "batch").sortWithinPartitions("batch", "part")
+            .mapInArrow(leave, f"id {kind}, n_words long, log_prob double, mean_log_prob double")
+            .withColumnRenamed("id", id_col))

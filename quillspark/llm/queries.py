@@ -74,7 +74,7 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
-    return masked_lm.score(docs, masked_lm.fit(docs))
+    return masked_lm.score_words(docs, masked_lm.fit(docs))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,6 +233,41 @@ def test_lm_beats_word_frequencies(spark):
     assert got > (p * np.log(p)).sum() + 0.1
 
 
+def test_lm_scores_words_of_rare_classes(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(masked_lm, "HELD", 3000)  # several batches a task
+    docs = documents(spark, BIG, "doc_id", "text").where("doc_id < 300")
+    model = masked_lm.fit(docs)
+    s, known = model.network.s, set(model.network.known.tolist())
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    count, hashed = {}, {}
+    for _, t in rows:
+        for w in WORD.findall(t or ""):
+            h = hashed.setdefault(w, masked_lm.word_hashes([w.encode()]).item())
+            count[h] = count.get(h, 0) + 1
+    rare = {h: n for h, n in count.items() if h not in known}
+    below = [sum(n + 0.5 for h, n in rare.items() if h % s.rare == c) + 0.5 for c in range(s.rare)]
+    rng = random.Random(4)
+    more = [(-1, None), (-2, ""), (-3, "zqx " * 40), (-4, " ".join("".join(rng.choices("qxzjkv", k=9)) for _ in range(200))), rows[5], (None, rows[6][1])]
+    asked = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(5)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_words"])
+    got = sorted(masked_lm.score_words(asked, model).collect(), key=key)
+    entry = sorted(masked_lm.score(asked, model).collect(), key=key)
+    assert len(got) == len(entry) == len(rows) + len(more)
+    texts = dict(rows + more[:4] + more[5:])
+    for a, b in zip(got, entry):
+        want = b["log_prob"]
+        for w in WORD.findall(texts[a["doc_id"]] or ""):
+            h = hashed.get(w) or masked_lm.word_hashes([w.encode()]).item()
+            want += 0 if h in known else np.log((rare.get(h, 0) + 0.5) / below[h % s.rare])
+        assert (a["doc_id"], a["n_words"]) == (b["doc_id"], b["n_words"])
+        assert a["log_prob"] == pytest.approx(want, rel=1e-5, abs=1e-3)
+        assert a["mean_log_prob"] == (pytest.approx(want / a["n_words"], rel=1e-5) if a["n_words"] else None)
+    mean = {r["doc_id"]: r["mean_log_prob"] for r in got}
+    assert mean[-4] < min(v for i, v in mean.items() if v is not None and i not in (-3, -4))
+    assert masked_lm.score_words(odd, model).count() == len(ODD)
+    assert masked_lm.score_words(none, masked_lm.fit(none)).count() == 0
+
+
 def test_linked_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 700), (600, 700)], "a long, b long")
     got = {r["id"]: r["root"] for r in smallest_linked(links, "test").collect()}
