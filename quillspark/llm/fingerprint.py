@@ -15,6 +15,7 @@ SLOTS = 128       # sampled positions, one hexadecimal digit each
 PERIOD = 4096     # steps after which the shared random bits repeat
 BLOCK = 256       # steps between two looks at which walks have ended
 SEED = 17
+BLOCK_ROWS = 512  # fingerprints of one band's key in a block
 
 _rng = np.random.default_rng(SEED)
 # Whether the walk moves on after step j on a character of class c: the same for every text.
@@ -212,22 +213,84 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    bands: int = 16) -> DataFrame:
     """(id, fingerprint, class_id): documents joined by verified likeness of at least ``threshold``.
 
-    Each band samples digits of the fingerprint; fingerprints that agree in a band are compared
-    with the smallest there, and those alike enough are linked.
+    Each band samples digits of the fingerprint; of fingerprints that agree in a band every pair is
+    compared, and those alike enough are linked. Many in one band are cut in blocks, and each pair of
+    blocks is a piece of work of its own: the work of a band's key grows with the square of its rows,
+    what comes out is at most a row per fingerprint and piece.
     Equal fingerprints are one row from the start. Approximate: a pair at likeness 0.8 agrees
-    in one of the bands with probability 0.95.
+    in one of the bands, and is then compared, with probability 0.95. Null ids link with nothing.
     """
     marks = stored(fingerprint(docs, id_col, text_col), "prints")
     heads = marks.groupBy("fingerprint").agg(F.min(id_col).alias("head"))
+    kind = heads.schema["head"].dataType.simpleString()
     width = SLOTS // bands
-    rows = heads.where("fingerprint rlike '[0-9a-f]'").select("head", "fingerprint", F.explode(F.array(*[F.struct(
+    rows = heads.where("head is not null and fingerprint rlike '[0-9a-f]'").select("head", "fingerprint", F.explode(F.array(*[F.struct(
         F.lit(b).alias("band"), F.concat(*[F.substring("fingerprint", 1 + b + bands * i, 1) for i in range(width)]).alias("key"))
         for b in range(bands)])).alias("b")).select("head", "fingerprint", "b.*").where("not key rlike '^-*$'")
-    low = stored(rows.groupBy("band", "key").agg(F.min(F.struct("head", "fingerprint")).alias("low"), F.max("head").alias("top"))
-                 .where("low.head < top"), "print-bands")
-    joined = rows.join(low, ["band", "key"]).where(F.col("head") > F.col("low.head"))
-    good = joined.where(likeness(F.col("fingerprint"), F.col("low.fingerprint")) >= threshold)
-    roots = smallest_linked(good.select(F.col("head").alias("a"), F.col("low.head").alias("b")), "prints")
+    shape = stored(rows.groupBy("band", "key").agg(F.count("*").alias("rows")).where("rows > 1")
+                   .select("band", "key", F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks")), "print-bands")
+    zero = F.lit(0).cast("long")
+    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(zero.alias("x"), zero.alias("y")))).otherwise(
+        F.transform(F.filter(F.sequence(zero, F.col("blocks") - 1), lambda j: j != F.col("blk")),
+                    lambda j: F.struct(F.least(j, F.col("blk")).alias("x"), F.greatest(j, F.col("blk")).alias("y"))))
+    work = (rows.join(shape, ["band", "key"]).withColumn("blk", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")))
+            .withColumn("p", F.explode(pairs)).select("band", "key", "p.x", "p.y", "head", "fingerprint"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, prints, head_type = None, [], [], pa.int64()
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], head_type), pa.array([b for _, b in out], head_type)], ["a", "b"])
+            out.clear()
+            return made
+
+        for batch in batches:
+            head_type = batch.schema.field("head").type
+            for *k, i, mark in zip(*(batch.column(c).to_pylist() for c in ("band", "key", "x", "y", "head", "fingerprint"))):
+                if k != last:
+                    out += _linked(ids, prints, threshold)
+                    last, ids, prints = k, [], []
+                ids.append(i)
+                prints.append(mark)
+            if len(out) > 1000:
+                yield flush()
+        out += _linked(ids, prints, threshold)
+        yield flush()
+
+    good = (work.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y")
+            .mapInArrow(compare, f"a {kind}, b {kind}"))
+    roots = smallest_linked(good, "prints")
     named = heads.join(roots, heads["head"] == roots["id"], "left").select(
         "fingerprint", F.coalesce("root", "head").alias("class_id"))
     return marks.join(named, "fingerprint").select(id_col, "fingerprint", "class_id")
+
+
+def alike(prints: list[str], threshold: float) -> np.ndarray:
+    """(row, row): whether the ``likeness`` of two fingerprints is at least ``threshold``."""
+    raw = np.frombuffer("".join(prints).encode(), np.uint8).reshape(len(prints), SLOTS)
+    there = (raw != ord("-")).astype(np.float32)
+    both, same = there @ there.T, np.zeros((len(prints), len(prints)), np.float32)
+    for digit in b"0123456789abcdef":
+        has = (raw == digit).astype(np.float32)
+        same += has @ has.T
+    share = same.astype(np.float64) / np.maximum(both, 1).astype(np.float64)
+    score = np.where(both > 0, np.maximum(0.0, (share - 1 / 16) * (16 / 15)), 0.0)
+    return score >= threshold
+
+
+def _linked(ids: list, prints: list[str], threshold: float) -> list[tuple]:
+    """(id, smallest id of those it is linked to through others here), every pair compared."""
+    if len(ids) < 2:
+        return []
+    near, left, out = alike(prints, threshold), np.ones(len(ids), bool), []
+    for i in sorted(range(len(ids)), key=lambda i: ids[i]):
+        if left[i]:
+            group, edge = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+            edge[i] = True
+            while edge.any():
+                group |= edge
+                edge = near[edge].any(0) & ~group
+            left &= ~group
+            out += [(ids[j], ids[i]) for j in np.flatnonzero(group) if ids[j] != ids[i]]
+    return out

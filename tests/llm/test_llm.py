@@ -157,6 +157,40 @@ def test_fingerprints_tell_edits_from_strangers(spark):
     assert fingerprint.fingerprints(["abc" * 50] * 20)[3] == fingerprint.fingerprints(["abc" * 50])[0]
 
 
+def test_near_documents_of_a_template_family(spark, monkeypatch):
+    """A third of the rows share a template; pairs of near copies inside it are found all the same."""
+    rng = random.Random(8)
+    digits = "0123456789abcdef"
+    template = rng.choices(digits, k=128)
+
+    def changed(base, share):
+        return [rng.choice(digits) if rng.random() < share else c for c in base]
+    members = [changed(template, 0.25) for _ in range(1000)]
+    copies = [changed(m, 0.17) for m in members[-300:]]
+    trios = []  # b and c agree in band 0 only, where the smaller a, unlike both, stands before them
+    for _ in range(10):
+        a, b = rng.choices(digits, k=128), rng.choices(digits, k=128)
+        a[0::16] = b[0::16]
+        c = [digits[(digits.index(x) + 1) % 16] if 0 < k < 16 else x for k, x in enumerate(b)]
+        trios += [a, b, c]
+    prints = ["".join(p) for p in trios + members + copies + [rng.choices(digits, k=128) for _ in range(2600)]]
+    near = fingerprint.alike(prints, 0.8)
+    pairs = [(i, j) for i, j in zip(*np.nonzero(near)) if i < j]
+    share = (np.array([list(p) for p in prints[:40]])[:, None] == np.array([list(p) for p in prints[:40]])).mean(2)
+    assert (near[:40, :40] == (np.maximum(0, (share - 1 / 16) * 16 / 15) >= 0.8)).all()
+    monkeypatch.setattr(fingerprint, "fingerprint", lambda docs, id_col, text_col: docs.select(
+        id_col, F.length(text_col).cast("long").alias("n_chars"), F.col(text_col).alias("fingerprint")))
+    docs = spark.createDataFrame(list(enumerate(prints)), "doc_id long, text string").repartition(5)
+    found = []
+    for rows in (512, 3):  # whole keys, and keys cut in blocks
+        monkeypatch.setattr(fingerprint, "BLOCK_ROWS", rows)
+        got = {r["doc_id"]: r["class_id"] for r in fingerprint.near_documents(docs).collect()}
+        found.append(got)
+    recall = sum(got[i] == got[j] for i, j in pairs) / len(pairs)
+    assert found[0] == found[1] and len(pairs) >= 200 and recall > 0.97
+    assert all(got[i] == i and got[i + 1] == got[i + 2] == i + 1 for i in range(0, 30, 3))
+
+
 def test_loser_tree_and_passes(spark):
     runs = [sorted(random.Random(i).choices(range(50), k=i)) for i in range(9)]
     assert list(warc.LoserTree([iter([(x,) for x in r]) for r in runs])) == sorted((x,) for r in runs for x in r)
