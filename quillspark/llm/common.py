@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,18 @@ def small_batches(spark: SparkSession, max_bytes: int = 4 << 20) -> None:
         spark.conf.set(name, str(max_bytes))
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, max_bytes: int = 4 << 20) -> Iterator[None]:
+    """``small_batches`` for the jobs run inside; the session's own setting comes back after them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    small_batches(spark, max_bytes)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], text: str = "text",
            max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``max_bytes`` of text each, one row at least."""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..sources.tables import table
-from . import bpe, exact, fingerprint, jaccard, langid, masked_lm, mixing, quality, substring, warc
+from . import (bpe, exact, fingerprint, jaccard, langid, lexical, masked_lm, merkle, mixing, quality, substring, urls,
+               warc)
 from .common import documents, fold
 
 
@@ -77,6 +78,29 @@ def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm.score_words(docs, masked_lm.fit(docs))
 
 
+# The rules that the URL query applies.
+URL_RULES = (urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"),
+             urls.Rule("allow", "www.example.com", "/en/"), urls.Rule("block", "net", "/es/"),
+             urls.Rule("block", "net", "/fr/"))
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model learns from URLs that a rule decides and judges those that none does."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    model = urls.fit(urls.sample(urls.labelled_by_rules(pages, URL_RULES)))
+    return urls.judge(pages, URL_RULES, model)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, *merkle.FIELDS)
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(docs, tampered={"text": F.translate("text", urls.UPPER, urls.LOWER)}, where=third)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -143,10 +167,52 @@ k AS (SELECT t.doc_id, count(*) AS n, count(c.i) AS r, string_agg(x, ' ' ORDER B
 SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN k USING (doc_id)"""
 
+_RAISED = """{t} AS (SELECT 0 AS lvl, k, pos, h, count(*) OVER (PARTITION BY k) AS cnt FROM {src}
+    UNION ALL SELECT lvl + 1, k, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(cnt) + 7) // 8 FROM {t}
+    WHERE cnt > 1 GROUP BY lvl, k, pos // 8),
+{t}_s AS (SELECT lvl, k, pos, coalesce(string_agg(h, '') OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM {t} WHERE cnt > 1 WINDOW b AS (PARTITION BY lvl, k, pos // 8 ORDER BY pos))"""
+
+_CODED = "CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+_SMALL = f"translate(text, '{urls.UPPER}', '{urls.LOWER}')"
+_CRC = ("xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ord(d)::BIGINT), "
+        "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)")
+_LEAF = "sha256(" + " || ".join(_CODED.format(c=c) for c in merkle.FIELDS) + ")"
+_BAD = "sha256(" + " || ".join(_CODED.format(c=_SMALL if c == "text" else c) for c in merkle.FIELDS) + ")"
+
+_MERKLE_SQL = f"""WITH RECURSIVE leaf AS (SELECT doc_id, CASE WHEN lang IS NULL THEN 'n' ELSE 's' || lang END AS k,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, {_LEAF} AS h,
+    CASE WHEN {_CRC} % 3 = 0 THEN {_BAD} ELSE {_LEAF} END AS shown FROM documents),
+{_RAISED.format(t="t", src="leaf")},
+sub AS (SELECT k AS tree, '' AS k, row_number() OVER (ORDER BY k) - 1 AS pos, h FROM t WHERE cnt = 1),
+{_RAISED.format(t="u", src="sub")},
+steps AS (SELECT doc_id, lvl, l, r FROM leaf JOIN t_s ON leaf.k = t_s.k AND t_s.pos = leaf.pos // (8 ** lvl)::BIGINT
+    UNION ALL SELECT doc_id, 1000 + lvl, l, r FROM leaf JOIN sub ON leaf.k = sub.tree JOIN u_s ON u_s.pos = sub.pos // (8 ** lvl)::BIGINT),
+paths AS (SELECT doc_id, string_agg(l || r, '' ORDER BY lvl) AS proof, list(l || '|' || r ORDER BY lvl) AS path FROM steps GROUP BY doc_id),
+done AS (SELECT leaf.doc_id, leaf.h AS leaf, sub.h AS subroot, (SELECT h FROM u WHERE cnt = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce([shown] || coalesce(path, []), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+    FROM leaf JOIN sub ON leaf.k = sub.tree LEFT JOIN paths ON leaf.doc_id = paths.doc_id)
+SELECT *, folded_root = root AS verified FROM done"""
+
+_TERMS = (f"unnest(regexp_extract_all({_SMALL}, " + r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term")
+_LEXICAL_SQL = f"""WITH d AS (SELECT doc_id, {_TERMS} FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, g GROUP BY term, docs),
+i AS (SELECT item_id, {_TERMS} FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS q FROM i GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // l))))::BIGINT AS score
+    FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (doc_id), g GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20"""
+
 QUERIES = {
     "op1_quality": (op1_quality, None), "op2_mixing": (op2_mixing, _MIX_SQL), "op3_bpe": (op3_bpe, None),
     "op4_exact_dedup": (op4_exact_dedup, _EXACT_SQL), "op5_fingerprint": (op5_fingerprint, None),
     "op6_language": (op6_language, None), "op7_warc": (op7_warc, _WARC_SQL), "op8_jaccard": (op8_jaccard, None),
     "op9_substring": (op9_substring, _SUBSTRING_SQL), "op10_masked_lm": (op10_masked_lm, None),
+    "op11_urls": (op11_urls, None), "op12_merkle": (op12_merkle, _MERKLE_SQL), "op13_lexical": (op13_lexical, _LEXICAL_SQL),
     "pipeline": (pipeline, corpus_pipeline.ORACLE_SQL),
 }

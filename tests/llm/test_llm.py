@@ -47,7 +47,7 @@ def test_query_against_duckdb(spark, name):
 
 
 def test_pieces_of_the_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline") == list(range(1, 14))
 
 
 OPERATORS = {
