@@ -12,8 +12,8 @@ from ..session import scratch_dir
 from ..sources import files
 from ..streaming import streams as s
 from . import sqlkit as k
-from .event_queries import (DEBOUNCE, E, HISTORY_SQL, HOLD_SQL, RESET, REVIEW_SQL, SESSION_SQL,
-                            debounced, review_sides)
+from .event_queries import (DEBOUNCE, E, HISTORY_SQL, HOLD_SQL, RESET, REVIEW, REVIEW_SQL,
+                            SESSION_SQL, debounced, review_sides)
 from .stand_in import failing_rewriter
 from .text_queries import SEED, spelling_sql, turns
 
@@ -43,6 +43,8 @@ TURNS = (f"turns AS (SELECT conv_id, turn, "
          f"{k.insert_fillers('replace(text, chr(10), chr(32))', SEED, k.q(':').join(['conv_id || ', ' || turn']))} "
          f"AS text FROM conversations)")
 WATERMARK = f"(SELECT max(t) - {DELAY_US} FROM e)"
+# Rows that rules decide in order come out when the watermark, in whole milliseconds, has passed them.
+PASSED = f"(SELECT max(t) // 1000 * 1000 - {DELAY_US} FROM e)"
 
 
 # --- streaming ---------------------------------------------------------------------------
@@ -67,24 +69,24 @@ def _custom(out: DataFrame, label: str) -> DataFrame:
 
 
 @register("stream_debounce_st3", f"""WITH RECURSIVE {E}, {debounced('e', 'acc')}
- SELECT user_id, acc.t, event_id FROM acc JOIN e USING (user_id, t)""")
+ SELECT user_id, acc.t, event_id FROM acc JOIN e USING (user_id, t) WHERE acc.t <= {PASSED}""")
 def stream_debounce(spark, sf):
-    return _custom(s.debounce_stream(event_stream(spark, sf), DEBOUNCE), "debounce")
+    return _custom(s.debounce_stream(event_stream(spark, sf), DEBOUNCE, DELAY), "debounce")
 
 
 @register("stream_toggle_st4", f"""WITH RECURSIVE {E}, k AS (SELECT * FROM e
  WHERE event_type = 'click'), {debounced('k', 'acc')} SELECT user_id, acc.t, event_id,
  CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY acc.t) % 2 = 1 THEN 'start'
- ELSE 'stop' END AS action FROM acc JOIN k USING (user_id, t)""")
+ ELSE 'stop' END AS action FROM acc JOIN k USING (user_id, t) WHERE acc.t <= {PASSED}""")
 def stream_toggle(spark, sf):
-    presses = event_stream(spark, sf).where(F.col("event_type") == "click")
+    presses = s.watermarked(event_stream(spark, sf), DELAY, F.col("event_type") == "click")
     return _custom(s.toggle_stream(presses, DEBOUNCE), "toggle")
 
 
-@register("stream_hold_st5", f"{HOLD_SQL} SELECT * FROM holds")
+@register("stream_hold_st5", f"{HOLD_SQL} SELECT * FROM holds WHERE end_us <= {PASSED}")
 def stream_hold(spark, sf):
     kind = F.col("event_type")
-    edges = event_stream(spark, sf).where(kind.isin("click", "purchase")).withColumn(
+    edges = s.watermarked(event_stream(spark, sf), DELAY, kind.isin("click", "purchase")).withColumn(
         "edge", F.when(kind == "click", "press").otherwise("release"))
     return _custom(s.hold_stream(edges, DEBOUNCE), "hold")
 
@@ -93,33 +95,36 @@ def stream_hold(spark, sf):
  lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS nx FROM e)
  SELECT user_id, event_id, event_type AS state, t AS at_us FROM l
  UNION ALL SELECT user_id, event_id, 'idle', t + {RESET} FROM l WHERE event_type = 'purchase'
- AND (nx - t > {RESET} OR (nx IS NULL AND t + {RESET} <= {WATERMARK}))""")
+ AND (nx IS NULL OR nx - t > {RESET}) AND t + {RESET} <= {PASSED}""")
 def stream_auto_reset(spark, sf):
     rows = event_stream(spark, sf).withColumn("state", F.col("event_type"))
     return _custom(s.auto_reset_stream(rows, RESET, DELAY, "purchase"), "reset")
 
 
-def reviewed(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.col("event_type")
-    transcripts, decisions = review_sides(
-        s.watermarked(event_stream(spark, sf), DELAY, kind == "view"),
-        s.watermarked(event_stream(spark, sf), DELAY, kind == "signup"))
-    candidates = s.review_stream(
-        transcripts.select("user_id", "event_id", "ts", "raw", "cleaned"),
-        decisions.select(F.col("user_id").alias("decider"), F.col("ts").alias("decided_ts"),
-                         "decision", "edited"), "6 HOURS")
-    return s.review_log(s.run_to_files(candidates, "review"))
+def review_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows, kind = event_stream(spark, sf), F.col("event_type")
+    return review_sides(rows.where(kind == "view"), rows.where(kind == "signup"))
 
 
-STREAM_REVIEW = f"""{REVIEW_SQL}, wm AS (SELECT {WATERMARK} AS at),
- done AS (SELECT kept.* FROM kept LEFT JOIN m USING (event_id), wm
- WHERE m.decision IS NOT NULL OR kept.t + 21600000000 < wm.at)"""
+STREAM_REVIEW = f"""{REVIEW_SQL}, wm AS (SELECT max(t) // 1000 * 1000 - {DELAY_US} AS at FROM e
+ WHERE event_type IN ('view', 'signup')),
+ said AS (SELECT v.event_id, min(d.t) AS said FROM e v JOIN d ON d.user_id = v.user_id
+ AND d.t BETWEEN v.t AND v.t + {REVIEW} WHERE v.event_type = 'view' GROUP BY 1),
+ done AS (SELECT kept.* FROM kept LEFT JOIN said USING (event_id), wm
+ WHERE coalesce(said, kept.t + {REVIEW}) <= wm.at)"""
 
 
 @register("stream_review_st7", f"""WITH {STREAM_REVIEW} SELECT user_id, event_id, input, output,
  decision FROM done""")
 def stream_review(spark, sf):
-    return reviewed(spark, sf)
+    return _custom(s.review_stream(*review_inputs(spark, sf), REVIEW, DELAY), "review")
+
+
+@register("stream_review_log_st9", f"WITH {STREAM_REVIEW} SELECT input, output, true AS stamped FROM done")
+def stream_review_log(spark, sf):
+    stamp = F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$")
+    log = s.run_review(*review_inputs(spark, sf), REVIEW, DELAY)
+    return log.select("input", "output", stamp.alias("stamped"))
 
 
 @register("stream_history_st8", f"""WITH {E} SELECT user_id, event_id, t FROM
@@ -138,9 +143,8 @@ def history_sink(spark, sf):
  FROM turns""")
 def stream_collect(spark, sf):
     pairs = turn_stream(spark, sf).select(
-        F.col("text").alias("input"), t.clean(F.col("text")).alias("output"),
-        F.date_format(F.current_timestamp(), files.STAMP).alias("timestamp"))
-    return s.run_to_files(pairs, "collect", "json").select("input", "output")
+        F.col("text").alias("input"), t.clean(F.col("text")).alias("output"))
+    return s.run_to_files(s.collected(pairs), "collect", "json").select("input", "output")
 
 
 # One file is one batch here; the early stop over several batches is covered by the tests.

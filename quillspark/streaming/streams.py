@@ -14,9 +14,9 @@ from ..operators import mining as m
 from ..operators import routing as r
 from ..operators.quota import first_k
 from ..session import ROCKSDB, scratch_dir
-from ..sources.files import HistoryStore
+from ..sources.files import STAMP, HistoryStore
 from . import processors
-from .processors import AutoReset, BoundedHistory, Debounce, HoldPairs, Toggle
+from .processors import AutoReset, BoundedHistory, Debounce, HoldPairs, Review, Toggle
 
 # Python workers get the processors by value, so they need not import this package.
 cloudpickle.register_pickle_by_value(processors)
@@ -95,59 +95,78 @@ def _stateful(stream: DataFrame, key: str, processor, mode: str = "Append",
         timeMode=time_mode)
 
 
-def debounce_stream(stream: DataFrame, gap_us: int, key: str = "user_id") -> DataFrame:
-    return _stateful(stream.select(key, "t", "event_id"), key, Debounce(gap_us))
+def _in_order(stream: DataFrame, processor, delay: str | None, key: str, ts: str) -> DataFrame:
+    """The rows of each key handed to the processor by event time, as the watermark passes them.
 
+    Rows without a time or key order are left out; ``delay`` is None where the stream already
+    carries a watermark on ``ts``.
+    """
+    timed = stream if delay is None else stream.withWatermark(ts, delay)
+    kept = timed.where(F.col("t").isNotNull()).select(key, ts, "t", "event_id", *processor.fields)
+    return _stateful(kept, key, processor, time_mode="EventTime")
+
+
+def debounce_stream(stream: DataFrame, gap_us: int, delay: str | None = None, key: str = "user_id",
+                    ts: str = "ts") -> DataFrame:
+    """Accepted events, each as soon as the watermark has passed it."""
+    return _in_order(stream, Debounce(gap_us), delay, key, ts)
 
-def toggle_stream(stream: DataFrame, gap_us: int, key: str = "user_id") -> DataFrame:
-    return _stateful(stream.select(key, "t", "event_id"), key, Toggle(gap_us))
 
+def toggle_stream(stream: DataFrame, gap_us: int, delay: str | None = None, key: str = "user_id",
+                  ts: str = "ts") -> DataFrame:
+    """Accepted presses as start and stop."""
+    return _in_order(stream, Toggle(gap_us), delay, key, ts)
 
-def hold_stream(stream: DataFrame, gap_us: int, key: str = "user_id") -> DataFrame:
-    return _stateful(stream.select(key, "t", "event_id", "edge"), key, HoldPairs(gap_us))
 
+def hold_stream(stream: DataFrame, gap_us: int, delay: str | None = None, key: str = "user_id",
+                ts: str = "ts") -> DataFrame:
+    """Intervals of hold mode, when the watermark has passed their release."""
+    return _in_order(stream, HoldPairs(gap_us), delay, key, ts)
 
-def auto_reset_stream(stream: DataFrame, reset_us: int, delay: str, done: str = "done",
+
+def auto_reset_stream(stream: DataFrame, reset_us: int, delay: str | None, done: str = "done",
                       key: str = "user_id", ts: str = "ts") -> DataFrame:
-    timed = stream.withWatermark(ts, delay).select(key, ts, "t", "event_id", "state")
-    return _stateful(timed, key, AutoReset(reset_us, done), time_mode="EventTime")
+    """States as they arrive; ``idle`` rows when the watermark has passed their moment."""
+    return _in_order(stream, AutoReset(reset_us, done), delay, key, ts)
 
 
 def watermarked(stream: DataFrame, delay: str, keep: Column, ts: str = "ts") -> DataFrame:
     """The rows matching ``keep``, with a watermark that all rows advance.
 
-    Two filtered sides of one stream share their lower watermark, so a side without new
-    events would hold back the other. The condition reads the event time because the
-    optimizer would otherwise move it below the watermark.
+    The condition reads the event time because the optimizer would otherwise move it below the
+    watermark, and rows of other kinds would no longer advance it.
     """
     return stream.withWatermark(ts, delay).where(F.when(F.col(ts).isNotNull(), keep))
 
 
-def review_stream(transcripts: DataFrame, decisions: DataFrame, timeout: str,
-                  key: str = "user_id") -> DataFrame:
-    """Candidate (transcript, decision) rows; a transcript nobody decided on in time comes
-    out once, undecided, when the watermark has passed its timeout.
+def review_stream(transcripts: DataFrame, decisions: DataFrame, timeout_us: int, delay: str,
+                  key: str = "user_id", ts: str = "ts") -> DataFrame:
+    """Final pairs of reviewed transcripts: user_id, event_id, input, output, decision.
 
-    Both streams must carry a watermark, on ``ts`` and ``decided_ts``; see
-    :func:`watermarked` for two sides of one event stream.
+    Transcripts carry ``raw`` and ``cleaned``, decisions ``decision`` and ``edited``, both ``t`` and ``ts``.
+    Both sides are one stream, so either advances the watermark, and one state per key
+    decides each transcript once: with the first decision in time, when the watermark has passed
+    that, or by acceptance when it has passed the timeout.
     """
-    left, right = transcripts.alias("a"), decisions.alias("b")
-    in_time = F.expr(f"a.{key} = b.decider AND b.decided_ts >= a.ts "
-                     f"AND b.decided_ts <= a.ts + INTERVAL {timeout}")
-    return left.join(right, in_time, "left_outer").select(
-        f"a.{key}", "a.event_id", "a.ts", "a.raw", "a.cleaned",
-        "b.decision", "b.edited", "b.decided_ts")
-
-
-def review_log(candidates: DataFrame, key: str = "user_id") -> DataFrame:
-    """Read view of the candidate log: first decision wins, none means accept, skip drops."""
-    first = candidates.groupBy(key, "event_id", "raw", "cleaned").agg(
-        F.min_by("decision", "decided_ts").alias("d"), F.min_by("edited", "decided_ts").alias("x"))
-    decision, edit = F.coalesce("d", F.lit("accept")), t.strip(F.col("x"))
-    output = F.when((decision == "correct") & (edit != ""), edit).otherwise(F.col("cleaned"))
-    return first.where(decision != "skip").select(
-        key, "event_id", F.col("raw").alias("input"), output.alias("output"),
-        decision.alias("decision"))
+    text = F.lit(None).cast("string")
+    left = transcripts.select(key, ts, "t", "event_id", F.lit(0).alias("side"), "raw", "cleaned",
+                              text.alias("decision"), text.alias("edited"))
+    right = decisions.select(key, ts, "t", "event_id", F.lit(1).alias("side"), text.alias("raw"),
+                             text.alias("cleaned"), "decision", "edited")
+    return _in_order(left.unionByName(right), Review(timeout_us), delay, key, ts)
+
+
+def collected(pairs: DataFrame) -> DataFrame:
+    """Pairs with the time stamp of the log they are appended to."""
+    return pairs.select("input", "output", F.date_format(F.current_timestamp(), STAMP).alias("timestamp"))
+
+
+def run_review(transcripts: DataFrame, decisions: DataFrame, timeout_us: int, delay: str,
+               path: str | None = None) -> DataFrame:
+    """Review to the end of the available data, chained into the JSON-lines pair log; reads the log."""
+    with rocksdb_state(transcripts.sparkSession):
+        return run_to_files(collected(review_stream(transcripts, decisions, timeout_us, delay)),
+                            "review-log", "json", path)
 
 
 def run_history(stream: DataFrame, n: int, path: str | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from quillspark.functions import text as t
 from quillspark.operators import events as ev
 from quillspark.operators.timeline import micros
 from quillspark.plans.stand_in import failing_rewriter
+from quillspark.streaming import processors
 from quillspark.streaming import streams as s
 
 START = 1_700_000_000_000_000
@@ -39,33 +41,64 @@ def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_debounce_toggle_hold(spark, pieces):
-    batch = spark.read.parquet(pieces)
+@pytest.fixture(scope="module", params=["in order", "late"])
+def arrived(request, spark, pieces, tmp_path_factory):
+    """The events once in order and once up to 40 s late, spread over five files."""
+    if request.param == "in order":
+        return pieces
+    rng = random.Random(9)
+    rows = [tuple(r) for r in spark.read.parquet(pieces).drop("ts").collect()]
+    rows.sort(key=lambda r: r[4] + (rng.random() * 40e6 if r[1] < 99 else 0))
+    folder = str(tmp_path_factory.mktemp("late"))
+    for n in range(5):
+        spark.createDataFrame(rows[n * 241:(n + 1) * 241], SCHEMA).withColumn("ts", F.timestamp_micros("t")).coalesce(
+            1).write.mode("append").parquet(folder)
+    return folder
+
+
+def test_debounce_toggle_hold(spark, arrived):
+    batch = spark.read.parquet(arrived).where("user_id < 99")
     with s.rocksdb_state(spark):
-        got = s.run_to_files(s.debounce_stream(live(spark, pieces), ev.DEBOUNCE_US), "t-debounce")
+        got = s.run_to_files(s.debounce_stream(live(spark, arrived), ev.DEBOUNCE_US, "45 seconds"), "t-debounce")
         want = ev.debounce(batch, ["user_id"], "t", "event_id")
         assert rows_of(got) == rows_of(want.select("user_id", "t", "event_id"))
-        got = s.run_to_files(s.toggle_stream(live(spark, pieces), ev.DEBOUNCE_US), "t-toggle")
+        got = s.run_to_files(s.toggle_stream(live(spark, arrived), ev.DEBOUNCE_US, "45 seconds"), "t-toggle")
         want = ev.toggle_actions(batch, ["user_id"], "t", "event_id")
         assert rows_of(got) == rows_of(want.select("user_id", "t", "event_id", "action"))
         edges = F.col("state").isin("press", "release")
-        got = s.run_to_files(s.hold_stream(live(spark, pieces).where(edges).withColumnRenamed(
+        got = s.run_to_files(s.hold_stream(s.watermarked(live(spark, arrived), "45 seconds", edges).withColumnRenamed(
             "state", "edge"), ev.DEBOUNCE_US), "t-hold")
         want = ev.hold_intervals(batch.where(edges).withColumnRenamed("state", "edge"),
                                  ["user_id"], "t", "event_id")
-        assert {tuple(r) for r in got.collect()} == {
-            tuple(r) for r in want.select("user_id", "event_id", "start_us", "end_us").collect()}
+        assert sorted(map(str, rows_of_plain(got))) == sorted(map(str, rows_of_plain(
+            want.select("user_id", "event_id", "start_us", "end_us"))))
+
+
+def rows_of_plain(df):
+    return [tuple(r) for r in df.collect()]
 
 
-def test_auto_reset(spark, pieces):
+def test_auto_reset(spark, arrived):
     with s.rocksdb_state(spark):
-        got = s.run_to_files(s.auto_reset_stream(live(spark, pieces), ev.DONE_RESET_US, "2 seconds"),
+        got = s.run_to_files(s.auto_reset_stream(live(spark, arrived), ev.DONE_RESET_US, "45 seconds"),
                              "t-reset")
-    want = ev.state_timeline(spark.read.parquet(pieces), ["user_id"], "t", "event_id")
+    want = ev.state_timeline(spark.read.parquet(arrived), ["user_id"], "t", "event_id")
     assert rows_of(got) == rows_of(want.select("user_id", "event_id", "state", "at_us"))
     assert got.where("state = 'idle'").count() > 10
 
 
+def test_late_release_closes_its_press(spark, tmp_path):
+    """Presses at 1 s and 5 s, a release of 2 s in the next batch, then time passes."""
+    for part in ([(1, 7, "press", "", 1_000_000), (2, 7, "press", "", 5_000_000)], [(3, 7, "release", "", 2_000_000)],
+                 [(4, 8, "press", "", 60_000_000)]):
+        spark.createDataFrame(part, SCHEMA).withColumn("ts", F.timestamp_micros("t")).coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "in"))
+    edges = live(spark, str(tmp_path / "in")).withColumnRenamed("state", "edge")
+    with s.rocksdb_state(spark):
+        got = s.run_to_files(s.hold_stream(edges, ev.DEBOUNCE_US, "10 seconds"), "t-late")
+    assert rows_of(got) == [(7, 3, 1_000_000, 2_000_000)]
+
+
 def test_history(spark, pieces):
     want = rows_of(ev.last_n(spark.read.parquet(pieces), ["user_id"], "t", "event_id", 7)
                    .select("user_id", "event_id", "t"))
@@ -82,27 +115,101 @@ def test_sessions(spark, pieces):
         want.select("user_id", "start_us", "end_us", "n_events"))
 
 
-def test_review(spark, pieces):
-    def sides(left, right):
-        left = left.select(
-            "user_id", "event_id", "ts", "t", F.col("text").alias("raw"), F.lit("c").alias("cleaned"))
-        right = right.select(
-            "user_id", "event_id", "t", F.col("ts").alias("decided_ts"),
-            F.when(F.col("event_id") % 3 == 0, "skip").otherwise("correct").alias("decision"),
-            F.col("text").alias("edited"))
-        return left, right
-
-    state = F.col("state")
-    left, right = sides(s.watermarked(live(spark, pieces), "2 seconds", state == "done"),
-                        s.watermarked(live(spark, pieces), "2 seconds", state == "press"))
-    right = right.withColumnRenamed("user_id", "decider").drop("event_id", "t")
-    log = s.review_log(s.run_to_files(s.review_stream(
-        left.drop("t"), right, "2 SECONDS"), "t-review"))
-    batch = spark.read.parquet(pieces)
-    bl, br = sides(batch.where(state == "done"), batch.where(state == "press"))
-    want = ev.review_outcomes(bl, br, ["user_id"], "t", "event_id", 2 * ev.SECOND)
+def test_review(spark, arrived):
+    def sides(rows):
+        state = F.col("state")
+        left = rows.where(state == "done").withColumns({"raw": F.col("text"), "cleaned": F.lit("c")})
+        kind = F.when(F.col("event_id") % 3 == 0, "skip").when(F.col("event_id") % 3 == 1, "correct").otherwise("accept")
+        edit = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" \t"), "text", F.lit("\u00a0"))).otherwise("  ")
+        # The sentinel's press moves the watermark on.
+        return left, rows.where(state == "press").withColumns({"decision": kind, "edited": edit})
+
+    batch = spark.read.parquet(arrived)
+    want = ev.review_outcomes(*sides(batch), ["user_id"], "t", "event_id", 2 * ev.SECOND)
     names = ["user_id", "event_id", "input", "output", "decision"]
-    assert rows_of(log.select(*names)) == rows_of(want.select(*names))
+    with s.rocksdb_state(spark):
+        got = s.run_to_files(s.review_stream(*sides(live(spark, arrived)), 2 * ev.SECOND, "45 seconds"), "t-review")
+    assert rows_of(got.select(*names)) == rows_of(want.select(*names))
+    assert {r["decision"] for r in got.select("decision").distinct().collect()} == {"accept", "correct"}
+    log = s.run_review(*sides(live(spark, arrived)), 2 * ev.SECOND, "45 seconds")
+    assert rows_of(log.select("input", "output")) == rows_of(want.select("input", "output"))
+    assert log.where("timestamp IS NULL").isEmpty()
+
+
+class Store:
+    """State and timers of one key, in memory; counts the chunks that wait."""
+
+    def __init__(self):
+        self.maps, self.timers, self.reads = {}, set(), []
+
+    def getMapState(self, name, *_):
+        held, store = self.maps.setdefault(name, {}), self
+
+        class Map:
+            keys = staticmethod(lambda: list(held))
+            updateValue = staticmethod(lambda k, v: held.__setitem__(k, v))
+
+            @staticmethod
+            def getValue(k):
+                store.reads.append(k)
+                return held[k]
+            removeKey = staticmethod(lambda k: held.pop(k))
+        return Map
+
+    def getValueState(self, name, _):
+        held = self.maps.setdefault(name, [])
+
+        class Value:
+            exists = staticmethod(lambda: bool(held))
+            get = staticmethod(lambda: held[0])
+
+            @staticmethod
+            def update(v):
+                held[:] = [v]
+        return Value
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_backlog_is_released_in_order_chunk_by_chunk(seed, monkeypatch):
+    """A hot key's backlog of 3,000 rows, late by up to 200 ms: the outcome of the plain loop, one timer
+    at a time, and a chunk is opened only when the rows before it are done."""
+    monkeypatch.setattr(processors, "CHUNK_ROWS", 64)
+    rng, rows, now = random.Random(seed), [], START
+    for i in range(3000):
+        now += rng.choice([0, 1, 20, 90, 200]) * 1000
+        rows.append((now, i))
+    arrival = sorted(rows, key=lambda r: r[0] + rng.random() * 200_000)
+    rule, store = processors.Debounce(ev.DEBOUNCE_US), Store()
+    rule.init(store)
+    got = []
+    for at in range(0, len(arrival), 500):
+        part = pd.DataFrame(arrival[at:at + 500], columns=["t", "event_id"])
+        got += [f for f in rule.handleInputRows((1,), iter([part[:250], part[250:]]), None)]
+        seen = max(t for t, _ in arrival[:at + 500]) // 1000 - 200
+        while any(ms <= seen for ms in store.timers):
+            assert len(store.timers) == 1
+            store.timers.clear()
+            got += list(rule.handleExpiredTimer((1,), Clock(seen), None))
+    list(rule.handleInputRows((1,), iter([]), None))
+    got += list(rule.handleExpiredTimer((1,), Clock(now // 1000 + 1), None))
+    want, last = [], None
+    for t, i in sorted(rows):
+        if last is None or t - last >= ev.DEBOUNCE_US:
+            last = t
+            want.append((1, t, i))
+    assert [tuple(r) for f in got for r in f.itertuples(index=False)] == want
+    assert not store.maps["rows"] and all(len(f) <= processors.FRAME_ROWS + 1 for f in got)
 
 
 def test_clean_and_isolation(spark, pieces):
