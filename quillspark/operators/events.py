@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .quota import first_k
+from .debounce import debounce
+from .quota import first_k, materialise
 from .timeline import Timeline
 
 MS = 1_000
@@ -23,82 +24,10 @@ HISTORY_MAX = 50
 CHUNK_US = 3_600 * SECOND
 
 
-def debounce(df: DataFrame, keys: Sequence[str], t: str, row_id: str,
-             gap_us: int = DEBOUNCE_US, chunk: int = 64) -> DataFrame:
-    """Keep events at least ``gap_us`` after the last *accepted* event of their key.
-
-    The rule is sequential, so each key is cut into chunks of ``chunk`` gaps, folded in
-    parallel. A chunk can be entered in few ways only: by an event of the last gap of the
-    chunk before it, or with no influence. Every chunk is folded once per possible entry;
-    the chain of actual entries is then resolved on these small (entry, exit) tables, and
-    a chunk without possible entries starts a new chain. At most ``chunk`` events are
-    accepted per chunk. Rows with NULL keys are one key of their own.
-    """
-    keys = list(keys)
-    span = gap_us * chunk
-    at = F.expr(f"`{t}` div {span}L")
-    spill = F.col(t) >= (at + 1) * span - gap_us
-    placed = df.select(F.struct(*keys).alias("_who"), t, row_id, F.explode(F.array_compact(F.array(
-        F.struct(at.alias("c"), F.lit(False).alias("cand")),
-        F.when(spill, F.struct((at + 1).alias("c"), F.lit(True).alias("cand")))))).alias("_p"))
-    own = ~F.col("_p.cand")
-    event = F.struct(F.col(t).alias("t"), F.col(row_id).alias("id"))
-    chunks = placed.groupBy("_who", F.col("_p.c").alias("_slot")).agg(
-        F.sort_array(F.collect_list(F.when(own, event))).alias("_ev"),
-        F.collect_set(F.when(~own, F.col(t))).alias("_entries"),
-    ).where(F.size("_ev") > 0)
-
-    def accepts(last: Column, x: Column) -> Column:
-        return last.isNull() | (x["t"] - last >= gap_us)
-
-    def leave(entry: Column) -> Column:
-        return F.aggregate("_ev", entry,
-                           lambda last, x: F.when(accepts(last, x), x["t"]).otherwise(last))
-
-    exits = chunks.select("_who", "_slot", F.transform(
-        F.concat(F.array(F.lit(None).cast("bigint")), F.col("_entries")),
-        lambda e: F.struct(e.alias("entry"), leave(e).alias("exit"))).alias("_exits"))
-    entries = _resolve_chain(exits, ["_who"])
-
-    def collect(state: Column, x: Column) -> Column:
-        hit = accepts(state["last"], x)
-        return F.struct(
-            F.when(hit, x["t"]).otherwise(state["last"]).alias("last"),
-            F.when(hit, F.concat(state["kept"], F.array(x))).otherwise(state["kept"])
-            .alias("kept"))
-
-    start = F.struct(F.col("_entry").alias("last"), F.slice("_ev", 1, 0).alias("kept"))
-    return (chunks.join(entries, ["_who", "_slot"])
-            .select("_who.*", F.inline(F.aggregate("_ev", start, collect, lambda st: st["kept"])))
-            .withColumnsRenamed({"t": t, "id": row_id}))
-
-
-def _resolve_chain(exits: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, _slot, _entry): the event through which each chunk is really entered."""
-    fresh = (F.size("_exits") == 1).cast("bigint")
-    runs = Timeline(exits, keys, ["_slot"], 4096).running(fresh, "_run").result()
-    chain = F.sort_array(F.collect_list(F.struct("_slot", "_exits")))
-    chains = runs.groupBy(*keys, "_run").agg(chain.alias("_chain"))
-    none = F.lit(None).cast("bigint")
-
-    def step(state: Column, x: Column) -> Column:
-        # An exit that is no possible entry of this chunk has no influence on it.
-        taken = F.filter(x["_exits"], lambda e: e["entry"] == state["exit"])
-        known = F.size(taken) > 0
-        row = F.when(known, F.get(taken, F.lit(0))).otherwise(F.get(x["_exits"], F.lit(0)))
-        return F.struct(row["exit"].alias("exit"), F.concat(state["out"], F.array(F.struct(
-            x["_slot"].alias("_slot"), row["entry"].alias("_entry")))).alias("out"))
-
-    empty = F.array().cast("array<struct<_slot:bigint,_entry:bigint>>")
-    start = F.struct(none.alias("exit"), empty.alias("out"))
-    return chains.select(*keys, F.inline(
-        F.aggregate("_chain", start, step, lambda st: st["out"])))
-
-
 def toggle_actions(presses: DataFrame, keys: Sequence[str], t: str, row_id: str,
                    gap_us: int = DEBOUNCE_US, chunk_us: int = CHUNK_US) -> DataFrame:
     """Accepted presses alternate start / stop."""
-    accepted = debounce(presses, keys, t, row_id, gap_us)
+    accepted = materialise(debounce(presses, keys, t, row_id, gap_us), "toggle-accepted")
     counted = Timeline(accepted, keys, [t, row_id], chunk_us).running(
         F.lit(1).cast("bigint"), "_n").result()
     return counted.withColumn("action", F.when(F.col("_n") % 2 == 1, "start")
@@ -115,13 +44,14 @@ def hold_intervals(edges: DataFrame, keys: Sequence[str], t: str, row_id: str,
     press was debounced away has a NULL start.
     """
     keys = list(keys)
-    seen = Timeline(edges, keys, [t, row_id], chunk_us).previous([edge], "_before").result()
-    presses = edges.where(F.col(edge) == "press")
-    releases = seen.where((F.col(edge) == "release") & (F.col("_before")[edge] == "press"))
-    on = debounce(presses, keys, t, row_id, gap_us).withColumn("_kind", F.lit("press"))
-    off = debounce(releases, keys, t, row_id, gap_us).withColumn("_kind", F.lit("release"))
-    both = Timeline(on.unionByName(off), keys, [t, row_id], chunk_us).previous(
-        ["_kind", t], "_before").result()
+    seen = Timeline(edges.select(*keys, t, row_id, edge), keys, [t, row_id], chunk_us).previous(
+        [edge], "_before").result()
+    counted = materialise(seen.where(
+        (F.col(edge) == "press") | ((F.col(edge) == "release") & (F.col("_before")[edge] == "press")))
+        .select(*keys, t, row_id, F.col(edge).alias("_kind")), "hold-edges")
+    # Both clocks in one pass: the kind of edge is part of the key.
+    clocked = materialise(debounce(counted, [*keys, "_kind"], t, row_id, gap_us), "hold-clocked")
+    both = Timeline(clocked, keys, [t, row_id], chunk_us).previous(["_kind", t], "_before").result()
     began = F.when(F.col("_before._kind") == "press", F.col(f"_before.{t}"))
     return both.where(F.col("_kind") == "release").select(
         *keys, row_id, began.alias("start_us"), F.col(t).alias("end_us"))

@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import debounce
 from quillspark.operators import events as ev
 from quillspark.operators.timeline import Timeline
 
@@ -42,6 +45,50 @@ def test_debounce_dense_hot_key(spark):
         assert debounced(spark, times, gap=150, chunk=chunk) == fold(times, 150)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_exit_table_is_the_fold_of_every_entry(seed):
+    """For every entry time the table gives the last accepted time, however the rows come in batches."""
+    rng, gap = random.Random(seed), 100
+    times = sorted(rng.choice([rng.randrange(1000), rng.randrange(1000, 1040)]) + 1000 for _ in range(rng.choice([1, 3, 40, 300])))
+    table, at = debounce._Exits(gap), 0
+    while at < len(times):
+        to = at + rng.randrange(1, 60)
+        table.feed(np.array(times[at:to]))
+        at = to
+    rows = table.rows()
+    assert [u for u, _ in rows] == sorted({u for u, _ in rows})
+    for entry in [debounce._NEVER, *range(times[0] - 2 * gap, times[0] + 1)]:
+        last = entry
+        for t in times:
+            if t - last >= gap:
+                last = t
+        got = next(x for u, x in rows if u >= entry)
+        assert (entry if got is None else got) == last
+
+
+def test_debounce_of_a_hot_key_beside_small_ones(spark):
+    """A third of all rows in one key without a pause, NULL keys, equal times, rows without time; the plan
+    gathers no rows in lists, and tasks see sorted rows of chunks."""
+    rng, rows, t = random.Random(3), [], 0
+    for i in range(20_000):
+        t += rng.choice([0, 10, 40, 70, 120])
+        rows.append((1, t, i))
+    rows += [(rng.choice([None, *range(2, 400)]), rng.randrange(t), 20_000 + i) for i in range(40_000)]
+    df = frame(spark, rows + [(1, None, 99_999)])
+    got = ev.debounce(df, ["user_id"], "t", "event_id", 150, 4)
+    by_key = {}
+    for k, at, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        last = by_key.setdefault(k, [])
+        if not last or at - last[-1][0] >= 150:
+            last.append((at, i))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((k, *r)) for k, kept in by_key.items() for r in kept)
+    assert "collect_" not in got._jdf.queryExecution().toString()
+    slots = got.sparkSession.createDataFrame(rows, df.schema).where("user_id = 1").selectExpr("t div 600 AS s")
+    assert slots.groupBy("s").count().agg(F.max("count")).first()[0] < 100
+    every = ev.debounce(df, ["user_id"], "t", "event_id", 0)
+    assert every.count() == 60_000
+
+
 def test_toggle(spark):
     rows = [(1, t, i) for i, t in enumerate([1_000_000, 1_050_000, 2_000_000, 3_000_000])]
     got = ev.toggle_actions(frame(spark, rows), ["user_id"], "t", "event_id", chunk_us=500_000)
