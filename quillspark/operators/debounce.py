@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quota import materialise
@@ -159,20 +159,30 @@ def _composed(even: DataFrame, odd: DataFrame) -> DataFrame:
 
 
 def _entry_times(exits: DataFrame, gap: int) -> DataFrame:
-    """(_k, _slot, _entry) of the chunks that an accepted time before them influences."""
-    slots = exits.groupBy("_k", "_slot").agg(F.first("_first").alias("_first"), F.first("_last").alias("_last"))
-    line = Timeline(slots, ["_k"], ["_slot"], 4096).previous(["_last"], "_before")
+    """(_k, _slot, _entry) of the chunks that an accepted time before them influences.
+
+    After a pause of a gap, or after a chunk that all entries leave alike, the entry is known at once.
+    Only the runs of chunks between such places are composed.
+    """
+    slots = exits.groupBy("_k", "_slot").agg(
+        F.first("_first").alias("_first"), F.first("_last").alias("_last"),
+        F.when(F.count("*") == 1, F.max("_x")).alias("_only"))
+    before = Timeline(slots, ["_k"], ["_slot"], 4096).previous(["_last", "_only"], "_before").result()
     fresh = F.col("_before").isNull() | (F.col("_first") - F.col("_before._last") >= gap)
-    line.df = line.df.withColumn("_fresh", fresh)
-    line.running(F.lit(1).cast("bigint"), "_n").running_max(F.when(F.col("_fresh"), F.col("_n")), "_run")
-    placed = materialise(line.result().select("_k", "_slot", "_run", (F.col("_n") - F.col("_run")).alias("_j")), "debounce-slots")
-    # Chunks without influence from before need no entry; runs of one chunk end here.
-    long_runs = placed.where("_j > 0").select("_k", "_run").distinct()
-    chain = materialise(placed.join(long_runs, ["_k", "_run"], "left_semi"), "debounce-runs")
-    longest = chain.agg(F.max("_j")).first()[0]
-    if longest is None:
-        return chain.select("_k", "_slot", F.col("_j").alias("_entry"))
-    level = materialise(exits.join(chain, ["_k", "_slot"]).select(*_CHAIN, "_u", "_x"), "debounce-level")
+    placed = materialise(before.select("_k", "_slot", F.when(fresh, F.lit(_NEVER)).otherwise(
+        F.col("_before._only")).alias("_known")), "debounce-slots")
+    known = placed.where(F.col("_known") > _NEVER).select("_k", "_slot", F.col("_known").alias("_entry"))
+    if placed.where("_known IS NULL").isEmpty():
+        return known
+    # Only keys with an unknown entry go on: their chunks are numbered from the last known one.
+    some = placed.join(placed.where("_known IS NULL").select("_k").distinct(), "_k", "left_semi")
+    runs = Timeline(some, ["_k"], ["_slot"], 4096).running(F.lit(1).cast("bigint"), "_n").running_max(
+        F.when(F.col("_known").isNotNull(), F.col("_n")), "_run").result()
+    runs = runs.select("_k", "_slot", "_known", "_run", (F.col("_n") - F.col("_run")).alias("_j"))
+    level = materialise(exits.join(runs, ["_k", "_slot"]), "debounce-runs")
+    chain = level.select("_k", "_slot", "_known", "_run", "_j").distinct()
+    longest = level.agg(F.max("_j")).first()[0]
+    level = level.select(*_CHAIN, "_u", "_x")
     levels, blocks = [], longest + 1
     while blocks > 1:
         levels.append(level)
@@ -180,8 +190,7 @@ def _entry_times(exits: DataFrame, gap: int) -> DataFrame:
         blocks = -(-blocks // 2)
         if blocks > 1:
             level = materialise(_composed(halved.where("NOT _right"), halved.where("_right")), "debounce-level")
-    entered = chain.select("_k", "_run").distinct().select("_k", "_run", F.lit(0).cast("bigint").alias("_j"),
-                                                           F.lit(_NEVER).alias("_entry"))
+    entered = chain.where("_j = 0").select(*_CHAIN, F.col("_known").alias("_entry"))
     for level in reversed(levels):
         # Of each pair the left block is entered like the pair, the right one through the left's exit.
         left = entered.withColumn("_j", F.col("_j") * 2)
@@ -189,25 +198,33 @@ def _entry_times(exits: DataFrame, gap: int) -> DataFrame:
                   .agg(F.min(F.struct("_u", "_x")).alias("_hit"))
                   .select("_k", "_run", (F.col("_j") + 1).alias("_j"), F.coalesce("_hit._x", "_entry").alias("_entry")))
         right = passed.join(level.select(*_CHAIN).distinct(), _CHAIN, "left_semi")
-        entered = materialise(left.unionAll(right), "debounce-entered")
-    return chain.join(entered, _CHAIN).where("_j > 0").select("_k", "_slot", "_entry")
+        entered = left.unionAll(right)
+        if level is not levels[0]:
+            entered = materialise(entered, "debounce-entered")
+    return chain.join(entered, _CHAIN).where("_j > 0").select("_k", "_slot", "_entry").unionAll(known)
+
+
+def _key(keys: list[str]) -> Column:
+    """One string for the keys: each with its length, or a mark for NULL."""
+    texts = [F.col(k).cast("string") for k in keys]
+    return F.concat(F.lit(""), *[F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in texts])
 
 
 def debounce(df: DataFrame, keys: Sequence[str], t: str, row_id: str, gap_us: int,
-             chunk: int = 64) -> DataFrame:
+             chunk: int = 1024) -> DataFrame:
     """Keep events at least ``gap_us`` after the last *accepted* event of their key.
 
     Of events at one moment the one with the smallest id counts as first. Rows with NULL keys are one key
     of their own, rows without a time are left out. Chunks are ``chunk`` gaps long and pass through tasks as sorted
     rows, so a key of any length spreads over as many tasks as it has chunks. Tasks hold the
-    chains of one gap at most. The composition of exit tables takes twice as many rounds as
-    the longest run of chunks without a pause of a gap has binary digits.
+    chains of one gap at most. The composition of exit tables takes twice as many rounds as the
+    longest run of chunks that keep their entries apart has binary digits.
     """
     if gap_us <= 0:
         return df.where(F.col(t).isNotNull()).select(*keys, t, row_id)
     keys, span = list(keys), gap_us * chunk
     rows = df.where(F.col(t).isNotNull()).select(
-        *keys, t, row_id, F.to_json(F.struct(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keys)])).alias("_k"),
+        *keys, t, row_id, _key(keys).alias("_k"),
         F.expr(f"`{t}` div {span}L").alias("_slot"), F.col(t).alias("_t"))
     # Of equal times only one can be accepted, and tables need no more than the times.
     sorted_times = rows.select("_k", "_slot", "_t").repartition("_k", "_slot").sortWithinPartitions("_k", "_slot", "_t")

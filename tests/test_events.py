@@ -37,7 +37,7 @@ def test_debounce_fixtures(spark):
 
 def test_debounce_dense_hot_key(spark):
     rng = random.Random(5)
-    for chunk in (1, 2, 7):
+    for chunk in (1, 2, 7, 64):
         t, times = 0, []
         for _ in range(3000):
             t += rng.choice([1, 3, 20, 90, 140, 400]) if rng.random() < 0.99 else 5000
