@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import STAGES
 from ..sources.tables import small_table
-from .quota import materialise
+from .ranks import LIMIT, order_statistics
 
 TOKEN_CAP = 150
 TARGET_MS = 400
-ACCURACY = 10_000
-SMALL_GROUP = 100_000
-BROADCAST_BYTES = 8 << 20
 
 
 def stage_stats(timings: DataFrame, stages: Sequence[str] = tuple(STAGES)) -> DataFrame:
@@ -33,65 +30,17 @@ def with_totals(timings: DataFrame) -> DataFrame:
         total.select(F.lit("TOTAL").alias("stage"), "iter", "ms"))
 
 
-def latency_summary(df: DataFrame, groups: Sequence[str], value: str = "ms",
-                    small_group: int = SMALL_GROUP) -> DataFrame:
+def latency_summary(df: DataFrame, groups: Sequence[str], value: str = "ms", limit: int = LIMIT) -> DataFrame:
     """n, mean, median, p95, min, max per group, all exact.
 
-    The p95 is the order statistic at ``int(0.95 * (n - 1))``. Pass one finds, with a
-    map-side combined quantile sketch of guaranteed rank error, a narrow value bracket
-    around each wanted rank; pass two counts the rows below it and ranks only the distinct
-    values inside. A group with a third of all rows therefore ranks a few ten-thousandths
-    of them. Groups up to ``small_group`` rows are ranked directly. The brackets are
-    broadcast if their measured size allows it. NULL groups are groups; NULL values are not
-    counted, and a group without values has n = 0 and NULL figures.
+    The p95 is the order statistic at ``int(0.95 * (n - 1))``; see :func:`order_statistics` for the passes and
+    for NULLs. No window ranks more than ``limit`` values of a group and rank.
     """
-    v, slack = F.col("_v"), 4 / ACCURACY
-    probs = [0.5 - slack, 0.5 + slack, 0.95 - slack, 0.95 + slack]
-    rows = df.select(F.struct(*groups).alias("_g"), F.col(value).alias("_v"))
-    first = rows.groupBy("_g").agg(
-        F.count("_v").alias("n"), F.avg("_v").alias("avg_ms"),
-        F.min("_v").alias("min_ms"), F.max("_v").alias("max_ms"),
-        F.percentile_approx("_v", probs, ACCURACY).alias("_q"))
-    small = F.col("n") <= max(small_group, ACCURACY)  # below that the slack is under a rank
     n1 = F.col("n") - 1
-    first = materialise(first.select(
-        "_g", "n", "avg_ms", "min_ms", "max_ms",
-        *[F.when(small, F.col("min_ms")).otherwise(F.get("_q", F.lit(2 * i))).alias(f"_lo{i}")
-          for i in (0, 1)],
-        *[F.when(small, F.col("max_ms")).otherwise(F.get("_q", F.lit(2 * i + 1))).alias(f"_hi{i}")
-          for i in (0, 1)],
-        F.floor(n1 / 2).alias("_r0"), F.ceil(n1 / 2).alias("_r1"),
-        F.floor(F.lit(0.95) * n1).alias("_r2")), "latency-groups")
-    ranks = ["_r0", "_r1", "_r2"]
-    bounds = first.select("_g", "_lo0", "_hi0", "_lo1", "_hi1", *ranks)
-    n_groups, widest = first.agg(F.count(F.lit(1)), F.max(F.length(F.to_json("_g")))).first()
-    if n_groups * (4 * (widest or 0) + 128) <= BROADCAST_BYTES:
-        bounds = F.broadcast(bounds)
-    within = [v.between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in (0, 1)]
-    cells = rows.where(v.isNotNull()).join(bounds, "_g").groupBy(
-        "_g", *ranks, F.when(within[0] | within[1], v).alias("_x"),
-        *[within[i].alias(f"_in{i}") for i in (0, 1)],
-        *[(v < F.col(f"_lo{i}")).alias(f"_low{i}") for i in (0, 1)],
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    whole = Window.partitionBy("_g")
-
-    def counted(flag: str) -> Column:
-        return F.when(F.col(flag), F.col("_c")).otherwise(0)
-
-    ranked = cells.select(
-        "_g", *ranks, "_x", *[counted(f"_in{i}").alias(f"_c{i}") for i in (0, 1)],
-        *[(F.sum(counted(f"_low{i}")).over(whole)
-           + F.sum(counted(f"_in{i}")).over(whole.orderBy("_x"))).alias(f"_u{i}") for i in (0, 1)])
-
-    def at(rank: str, i: int) -> Column:
-        upper = F.col(f"_u{i}")
-        hit = (F.col(rank) < upper) & (F.col(rank) >= upper - F.col(f"_c{i}"))
-        return F.max(F.when(hit, F.col("_x")))
-
-    picked = ranked.groupBy("_g").agg(
-        ((at("_r0", 0) + at("_r1", 0)) / 2).alias("p50_ms"), at("_r2", 1).alias("p95_ms"))
-    return first.join(picked, "_g", "left").select(
-        "_g.*", "n", "avg_ms", "min_ms", "max_ms", "p50_ms", "p95_ms")
+    picked = order_statistics(
+        df, groups, value, {"_p0": (0.5, F.floor(n1 / 2)), "_p1": (0.5, F.ceil(n1 / 2)), "p95_ms": (0.95, F.floor(F.lit(0.95) * n1))},
+        {"avg_ms": F.avg("_v"), "min_ms": F.min("_v"), "max_ms": F.max("_v")}, limit)
+    return picked.select("_g.*", "n", "avg_ms", "min_ms", "max_ms", ((F.col("_p0") + F.col("_p1")) / 2).alias("p50_ms"), "p95_ms")
 
 
 def token_stats(df: DataFrame, groups: Sequence[str], tokens: str = "n_tok",

@@ -252,7 +252,7 @@ def latency_summary(spark, sf):
 def skewed_percentile(spark, sf):
     rows = table(spark, sf, "lineitem", "l_returnflag", "l_extendedprice")
     return rounded(s.latency_summary(rows, ["l_returnflag"], "l_extendedprice",
-                                     small_group=10_000), "avg_ms", "p50_ms")
+                                     limit=10_000), "avg_ms", "p50_ms")
 
 
 @register("token_stats_a5", """SELECT event_type, round(avg_tok, 6) AS avg_tok, max_tok,

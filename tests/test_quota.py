@@ -1,10 +1,13 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import mining as m
 from quillspark.operators import quota as q
+from quillspark.operators import ranks
 from quillspark.operators import stats as s
 
 
@@ -81,7 +84,7 @@ def test_latency_bracket_path(spark):
     rng = np.random.default_rng(3)
     xs = np.concatenate([rng.exponential(10, 30_001), np.full(9000, 7.25)]).round(3)
     df = spark.createDataFrame([("h", float(x)) for x in xs], "grp string, ms double").repartition(8)
-    got = s.latency_summary(df, ["grp"], small_group=10).first()
+    got = s.latency_summary(df, ["grp"], limit=10).first()
     assert got.p50_ms == float(np.median(xs)) and got.p95_ms == p95(xs.tolist())
     assert got.n == len(xs) and got.max_ms == xs.max()
 
@@ -117,7 +120,7 @@ def test_latency_of_null_groups_and_values(spark):
     rows = [("a", float(i % 7919)) for i in range(30_000)] + [(None, 5.0), (None, 7.0), ("b", None)]
     df = spark.createDataFrame(rows, "grp string, ms double").repartition(5)
     for small in (10, 100_000):
-        got = {r.grp: r for r in s.latency_summary(df, ["grp"], small_group=small).collect()}
+        got = {r.grp: r for r in s.latency_summary(df, ["grp"], limit=small).collect()}
         values = sorted(v for g, v in rows if g == "a")
         assert (got["a"].p50_ms, got["a"].p95_ms) == (np.median(values), values[int(0.95 * (len(values) - 1))])
         assert (got[None].n, got[None].p50_ms) == (2, 6.0)
@@ -130,6 +133,36 @@ def test_latency_does_not_shuffle_the_fact(spark):
     assert "BroadcastHashJoin" in plan and plan.count("Range (") == 1
 
 
+@pytest.mark.parametrize("kind", ["smooth", "orders", "ties", "ends"])
+def test_brackets_are_cut_until_a_window_is_bounded(spark, kind, monkeypatch):
+    """Groups far above the limit: ranks as in plain sorting, and no bracket keeps more than the limit."""
+    rng = np.random.default_rng(8)
+    draw = {"smooth": lambda n: rng.normal(0, 50, n), "orders": lambda n: 10.0 ** rng.uniform(-300, 300, n) * rng.choice([-1, 1], n),
+            "ties": lambda n: rng.choice([1.0, 1.5, 2.0, 1e9], n), "ends": lambda n: np.where(rng.random(n) < 0.5, -1.7e308, 1.7e308)}[kind]
+    groups = {g: draw(n) for g, n in (("hot", 60_000), (None, 21_000), ("small", 30))}
+    df = spark.createDataFrame(pd.DataFrame([(g, float(v)) for g, values in groups.items() for v in values], columns=["grp", "ms"])).repartition(6)
+    levels, write = [], ranks.materialise
+
+    def spied(frame, label):
+        out = write(frame, label)
+        if label == "ranks-level":
+            levels.append(out)
+        return out
+
+    monkeypatch.setattr(ranks, "materialise", spied)
+    n1 = F.col("n") - 1
+    wanted = {"a": (0.5, F.floor(n1 / 2)), "b": (0.5, F.ceil(n1 / 2)), "c": (0.95, F.floor(F.lit(0.95) * n1)),
+              "least": (0.0, F.lit(0)), "most": (1.0, n1)}
+    got = {r["_g"][0]: r for r in ranks.order_statistics(df, ["grp"], "ms", wanted, limit=20, buckets=16).collect()}
+    for g, values in groups.items():
+        ordered, n = sorted(values.tolist()), len(values)
+        at = [(n - 1) // 2, -(-(n - 1) // 2), int(0.95 * (n - 1)), 0, n - 1]
+        assert [got[g][k] for k in wanted] == [ordered[i] for i in at]
+    assert levels or kind in ("ties", "ends")
+    for i in range(len(wanted) if levels else 0):
+        assert levels[-1].where(f"_m{i} > 20 AND _lo{i} < _hi{i}").isEmpty()
+
+
 def test_exact_split(spark):
     df = spark.range(1000)
     train, val = q.split_exact(df, 3, F.col("id"), 0.2, ["id"])
