@@ -1,4 +1,11 @@
-"""Masked pseudo-likelihood: every word predicted from its neighbours on both sides."""
+"""Masked pseudo-likelihood: every word predicted from its neighbours on both sides.
+
+The network gives, for a word and its neighbours, the logarithm of how much likelier the word is there than
+anywhere: it is trained to tell the words of the corpus from words drawn by frequency (noise-contrastive
+estimation). A word's log probability is that plus the logarithm of its share of the corpus, from the
+counts of all words. Frequent words have vectors of their own, all others share a hashed table,
+both as neighbours and as the word predicted.
+"""
 
 from __future__ import annotations
 
@@ -10,139 +17,185 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, planes, small_batches, stored, unplane, word_hashes, words
+from .common import batch_bytes, pieces, planes, stored, unplane, word_hashes, words
 
 
 @dataclass(frozen=True)
 class Settings:
-    groups: int = 32       # words are predicted in two steps: a group, then a word of the group;
-    members: int = 32      # the network's softmax has groups * members entries at any corpus size,
-    rare: int = 16         # of which the last ``rare`` are classes of all other words, by hash
-    smooth: float = 0.5    # added to each word's count inside its class, and to that of "any unseen word"
+    own: int = 4096        # most frequent words, each with vectors of its own
+    hashed: int = 4096     # rows that all other words share, by hash
+    smooth: float = 0.5    # added to each word's count, and to that of "any unseen word"
     window: int = 2        # neighbours on each side
     width: int = 16
     hidden: int = 32
     rounds: int = 3        # each document is trained on in one of them
-    batch: int = 2048
-    rate: float = 3e-3
+    batch: int = 4096
+    block: int = 256       # words of a batch that share their noise words,
+    noise: int = 24        # of which there are so many
+    rate: float = 0.1
     seed: int = 5
 
     @property
-    def size(self) -> int:
-        return self.groups * self.members
+    def rows(self) -> int:
+        return self.own + self.hashed
 
 
-SLICE = 4096  # numbers of the network in one row, when tasks' networks are averaged
+SLICE = 512  # rows of the table in one message, when tasks' networks are averaged
 HELD = 1 << 20  # words of rare classes, or counts, that a task gathers before it sends them
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
 class Network:
-    """Word vectors of the neighbours side by side, a tanh layer, and two softmaxes."""
+    """Word vectors of the neighbours side by side, a tanh layer, and a vector and bias per word.
+
+    ``table`` has a row per own or shared entry: its vector as a neighbour, then as the word
+    predicted, then its bias. The row after the last stands for what lies beyond the text.
+    """
 
-    def __init__(self, s: Settings, known: np.ndarray, counts: np.ndarray):
-        """known: sorted hashes of the frequent words; counts: of each vocabulary entry."""
+    def __init__(self, s: Settings, known: np.ndarray):
+        """known: sorted hashes of the frequent words, which are the first rows in this order."""
         rng = np.random.default_rng(s.seed)
         self.s, self.known = s, known
-        per_group = counts.reshape(s.groups, s.members) + 1.0
-        self.p = {"e": rng.normal(0, 0.3, (s.size + 1, s.width)),
-                  "w": rng.normal(0, 1 / np.sqrt(2 * s.window * s.width), (2 * s.window * s.width, s.hidden)),
-                  "b": np.zeros(s.hidden), "g": np.zeros((s.hidden, s.groups)), "o": np.zeros((s.hidden, s.size)),
-                  "gb": np.log(per_group.sum(1) / per_group.sum()),
-                  "ob": np.log(per_group / per_group.sum(1, keepdims=True)).ravel()}
-        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([v.ravel() for v in self.p.values()])
-
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for k, v in self.p.items():
-            self.p[k] = flat[at:at + v.size].reshape(v.shape).astype(np.float32)
-            at += v.size
-
-    def ids(self, texts: pa.Array, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start of each text's words, vocabulary entries)."""
-        starts, codes, distinct = words(texts)
-        entry = self.entries(word_hashes(distinct), order)
-        return starts, entry[codes] if len(codes) else np.zeros(0, np.int64)
-
-    def entries(self, h: np.ndarray, order: np.ndarray) -> np.ndarray:
-        """Vocabulary entries of words with these hashes."""
+        inner = 2 * s.window * s.width
+        self.table = np.zeros((s.rows + 1, s.width + s.hidden + 1), np.float32)
+        self.table[:, :s.width] = rng.normal(0, 0.3, (s.rows + 1, s.width))
+        self.layer = np.concatenate([rng.normal(0, inner ** -0.5, (inner, s.hidden)), np.zeros((1, s.hidden))]).astype(np.float32)
+
+    def entries(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(table rows of words with these hashes, which of them are frequent words)."""
         at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
         hit = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
-        rare = self.s.size - self.s.rare + (h % np.uint64(self.s.rare)).astype(np.int64)
-        return np.where(hit, order[at] if len(order) else 0, rare)
+        return np.where(hit, at, self.s.own + (h % np.uint64(self.s.hashed)).astype(np.int64)), hit
 
     def contexts(self, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Entries around each word; beyond the text's ends the entry after the last."""
         s, n = self.s, len(ids)
-        doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        out = np.full((n, 2 * s.window), s.size, np.int64)
+        doc = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
+        out = np.full((n, 2 * s.window), s.rows, np.int32)
         for c, off in enumerate([k for k in range(-s.window, s.window + 1) if k]):
             lo, hi = max(0, -off), min(n, n - off)
             if lo < hi:
                 same = doc[lo:hi] == doc[lo + off:hi + off]
-                out[lo:hi, c] = np.where(same, ids[lo + off:hi + off], s.size)
-        return out
-
-    def _forward(self, around: np.ndarray, ids: np.ndarray):
-        """Layers and logits of words sorted by group, and where each group's words begin."""
-        p, s, n = self.p, self.s, len(ids)
-        x = p["e"][around].reshape(n, -1)
-        h = np.tanh(x @ p["w"] + p["b"])
-        group = h @ p["g"] + p["gb"]
-        edge = np.searchsorted(ids, np.arange(s.groups + 1) * s.members)
-        member = np.empty((n, s.members), np.float32)
-        for k in np.flatnonzero(np.diff(edge)):
-            i, part = slice(edge[k], edge[k + 1]), slice(k * s.members, (k + 1) * s.members)
-            np.matmul(h[i], p["o"][:, part], out=member[i])
-            member[i] += p["ob"][part]
-        return x, h, group, member, edge
-
-    def log_prob(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        order = np.argsort(ids, kind="stable")
-        _, _, group, member, _ = self._forward(around[order], ids[order])
-        out = np.empty(len(ids), np.float32)
-        out[order] = _picked(group, ids[order] // self.s.members) + _picked(member, ids[order] % self.s.members)
+                out[lo:hi, c] = np.where(same, ids[lo + off:hi + off], s.rows)
         return out
 
-    def gradients(self, around: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
-        order = np.argsort(ids, kind="stable")
-        around, ids = around[order], ids[order]
-        p, s, n = self.p, self.s, len(ids)
-        x, h, dg, dm, edge = self._forward(around, ids)
-        for d, target in ((dg, ids // s.members), (dm, ids % s.members)):
-            d -= d.max(1, keepdims=True)
-            np.exp(d, out=d)
-            d /= d.sum(1, keepdims=True) * n
-            d[np.arange(n), target] -= np.float32(1 / n)
-        grads = {"g": h.T @ dg, "gb": dg.sum(0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
-        dh = dg @ p["g"].T
-        for k in np.flatnonzero(np.diff(edge)):
-            i, part = slice(edge[k], edge[k + 1]), slice(k * s.members, (k + 1) * s.members)
-            grads["o"][:, part] = h[i].T @ dm[i]
-            grads["ob"][part] = dm[i].sum(0)
-            dh[i] += dm[i] @ p["o"][:, part].T
+    def _hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = self.table[:, :self.s.width][around].reshape(len(around), -1)
+        return x, np.tanh(x @ self.layer[:-1] + self.layer[-1])
+
+    def gains(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Log of how much likelier each word is between these neighbours than anywhere."""
+        _, h = self._hidden(around)
+        out = self.table[ids, self.s.width:]
+        return np.einsum("ij,ij->i", h, out[:, :-1]) + out[:, -1]
+
+    def loss(self, around: np.ndarray, ids: np.ndarray, noise: np.ndarray) -> float:
+        """Summed loss of words against the noise words of their block (block, noise)."""
+        _, h = self._hidden(around)
+        out, other = self.table[ids, self.s.width:], self.table[noise, self.s.width:]
+        lift = np.log(noise.shape[1])
+        own = (h * out[:, :-1]).sum(1) + out[:, -1] - lift
+        fake = (h.reshape(len(noise), -1, self.s.hidden) @ other[:, :, :-1].transpose(0, 2, 1)) + other[:, None, :, -1] - lift
+        return float(np.logaddexp(0, -own).sum() + np.logaddexp(0, fake).sum())
+
+    def gradients(self, around: np.ndarray, ids: np.ndarray, noise: np.ndarray):
+        """(gradient of the layer; rows and gradients of the neighbours', of the words' vectors)."""
+        s, n, blocks = self.s, len(ids), len(noise)
+        x, h = self._hidden(around)
+        out, other = self.table[ids, s.width:], self.table[noise, s.width:]
+        lift = np.float32(np.log(noise.shape[1]))
+        own = _sigmoid(np.einsum("ij,ij->i", h, out[:, :-1]) + out[:, -1] - lift) - 1
+        hb = h.reshape(blocks, -1, s.hidden)
+        fake = _sigmoid(hb @ other[:, :, :-1].transpose(0, 2, 1) + other[:, None, :, -1] - lift)
+        dh = own[:, None] * out[:, :-1] + (fake @ other[:, :, :-1]).reshape(n, s.hidden)
+        d_own = np.empty((n, s.hidden + 1), np.float32)
+        np.multiply(own[:, None], h, out=d_own[:, :-1])
+        d_own[:, -1] = own
+        d_fake = np.concatenate([fake.transpose(0, 2, 1) @ hb, fake.sum(1)[:, :, None]], axis=2)
         dh *= 1 - h * h
-        dx = (dh @ p["w"].T).reshape(-1, s.width)
-        flat = around.ravel()
-        grads["e"] = np.stack([np.bincount(flat, dx[:, k], s.size + 1) for k in range(s.width)], axis=1)
-        return grads | {"w": x.T @ dh, "b": dh.sum(0)}
-
-
-def _picked(x: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row's target."""
-    top = x.max(1)
-    return x[np.arange(len(x)), target] - top - np.log(np.exp(x - top[:, None]).sum(1))
+        layer = np.concatenate([x.T @ dh, dh.sum(0, keepdims=True)])
+        dx = (dh @ self.layer[:-1].T).reshape(-1, s.width)
+        return layer, (around.ravel(), dx), (np.concatenate([ids, noise.ravel()]), np.concatenate([d_own, d_fake.reshape(-1, s.hidden + 1)]))
+
+
+def summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, their summed gradients)."""
+    order = np.argsort(rows, kind="stable")
+    ranked = rows[order]
+    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    return ranked[first], np.add.reduceat(grads[order], first, axis=0)
+
+
+class Trainer:
+    """Adagrad on a network: of the table, only the rows that a batch touches change."""
+
+    def __init__(self, net: Network):
+        self.net, self.rng = net, np.random.default_rng(net.s.seed)
+        self.squares, self.layer_squares = np.zeros_like(net.table), np.zeros_like(net.layer)
+        self.touched, self.seen = np.zeros(len(net.table), np.float32), 0
+
+    def _rows(self, columns: slice, rows: np.ndarray, grads: np.ndarray) -> None:
+        rows, grads = summed(rows, grads)
+        grads = grads.astype(np.float32)
+        self.squares[rows, columns] += grads * grads
+        self.net.table[rows, columns] -= np.float32(self.net.s.rate) * grads / (np.sqrt(self.squares[rows, columns]) + np.float32(1e-6))
+        self.touched[rows] += 1
+
+    def feed(self, starts: np.ndarray, ids: np.ndarray) -> None:
+        """Train on every word of some texts; noise words are drawn from the same texts."""
+        s, net = self.net.s, self.net
+        around = net.contexts(starts, ids)
+        mixed = self.rng.permutation(len(ids))
+        for a in range(0, len(ids), s.batch):
+            i = mixed[a:a + s.batch]
+            blocks = max(1, len(i) // s.block)
+            for part in (i[:len(i) // blocks * blocks], i[len(i) // blocks * blocks:]):
+                if not len(part):
+                    continue
+                some = blocks if len(part) % blocks == 0 else 1
+                noise = ids[self.rng.integers(0, len(ids), (some, s.noise))]
+                layer, near, words_ = net.gradients(around[part], ids[part], noise)
+                self.layer_squares += layer * layer
+                net.layer -= np.float32(s.rate) * layer / (np.sqrt(self.layer_squares) + np.float32(1e-6))
+                self._rows(slice(0, s.width), *near)
+                self._rows(slice(s.width, None), *words_)
+                self.seen += len(part)
+
+    def slices(self, task: int) -> pa.RecordBatch:
+        """The network as messages; a row weighs by how often this task has changed it."""
+        table, layer = self.net.table, self.net.layer
+        cut = [(a // SLICE, self.touched[a:a + SLICE], table[a:a + SLICE]) for a in range(0, len(table), SLICE)]
+        cut.append((-1, np.full(len(layer), self.seen, np.float32), layer))
+        return _messages([(i, task, w.astype(np.float64), x.astype(np.float64)) for i, w, x in cut if w.any()])
+
+
+def _messages(rows: list[tuple]) -> pa.RecordBatch:
+    i, task, w, x = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(i, pa.int32()), pa.array(task, pa.int32()), pa.array([a.astype(np.float32).tobytes() for a in w], pa.binary()),
+         pa.array([a.astype(np.float32).tobytes() for a in x], pa.binary())], ["i", "task", "w", "x"])
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """Messages about the same rows as one: each row's mean by weight."""
+    total = weight = None
+    for w, x in zip(table.column("w").to_pylist(), table.column("x").to_pylist()):
+        w = np.frombuffer(w, np.float32).astype(np.float64)
+        x = np.frombuffer(x, np.float32).reshape(len(w), -1) * w[:, None]
+        total, weight = (x, w) if total is None else (total + x, weight + w)
+    return pa.Table.from_batches([_messages([(table.column("i")[0].as_py(), table.column("task")[0].as_py(), weight,
+                                              total / np.maximum(weight, 1e-9)[:, None])])])
 
 
 @dataclass
 class Model:
     network: Network
-    order: np.ndarray  # vocabulary entry of each known hash
-    counts: DataFrame  # (h, n) of every word, in the shared folder
-    tokens: np.ndarray  # how many words each rare class has,
-    types: np.ndarray   # and how many distinct ones
+    shares: np.ndarray  # log share of the corpus of each frequent word,
+    total: float        # and what the smoothed counts of all words are divided by
+    counts: DataFrame   # (h, n) of every word, in the shared folder
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -158,130 +211,68 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
                   .groupBy("h").agg(F.sum("n").alias("n")), "lm-counts")
 
 
-def vocabulary(docs: DataFrame, s: Settings, text_col: str = "text",
-               counted: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes of the most frequent words, their entries, count of every entry).
+def frequent(counted: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
+    """(sorted hashes of the most frequent words, their log shares, the sum of all smoothed counts).
 
-    Entries are numbered by falling frequency, so a group holds words about as frequent as each
-    other. Equal counts go by hash.
+    Equal counts go by hash. The list is bounded by ``own``; all other words are joined by hash.
     """
-    frequent = s.size - s.rare
-    counted = count_words(docs, text_col) if counted is None else counted
-    top = counted.orderBy(F.desc("n"), "h").limit(frequent).toArrow()  # bounded by the vocabulary
-    total = counted.agg(F.sum("n")).first()[0] or 0
+    top = counted.orderBy(F.desc("n"), "h").limit(s.own).toArrow()
+    tokens, types = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total = tokens + s.smooth * (types + 1)
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    counts = np.zeros(s.size)
-    counts[:len(n)] = n
-    counts[frequent:] = (total - n.sum()) / s.rare
     by_hash = np.argsort(h)
-    return h[by_hash], by_hash.astype(np.int64), counts
-
-
-def rare_totals(counted: DataFrame, s: Settings, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, distinct words) of each rare class."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, n = batch.column("h").to_numpy().view(np.uint64), batch.column("n").to_numpy()
-            other = ~np.isin(h, known)
-            cls = (h[other] % np.uint64(s.rare)).astype(np.int64)
-            tokens, types = np.zeros(s.rare, np.int64), np.bincount(cls, minlength=s.rare)
-            np.add.at(tokens, cls, n[other])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(s.rare)), pa.array(tokens), pa.array(types)], ["cls", "n", "k"])
-
-    out = np.zeros((2, s.rare))
-    for r in counted.mapInArrow(run, "cls long, n long, k long").groupBy("cls").agg(F.sum("n"), F.sum("k")).collect():
-        out[:, r[0]] = r[1:]
-    return out[0], out[1]
+    return h[by_hash], np.log((n[by_hash] + s.smooth) / total), total
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> Model:
-    """A network trained on every word of every document, once.
+    """A network trained on every word of every document, once, and the counts of all words.
 
-    Documents are dealt to ``rounds`` by hash of their id. In a round each task starts from the
-    same network, trains on its share and hands on its own; they are averaged by words
-    trained on, slice by slice, in two steps. The driver holds one network.
+    Documents are dealt to ``rounds`` by hash of their id. In a round each task starts from the same
+    network, trains on its share and hands on its own; rows of the table are averaged by how
+    often tasks have changed them, in two steps. The driver holds one network. Null and empty texts have
+    no words; of an empty table the network is the untrained one.
     """
     s, sc = settings, docs.sparkSession.sparkContext
     counted = count_words(docs, text_col)
-    known, order, counts = vocabulary(docs, s, text_col, counted)
-    model = Model(Network(s, known, counts), order, counted, *rare_totals(counted, s, known))
+    known, shares, total = frequent(counted, s)
+    model = Model(Network(s, known), shares, total, counted)
     rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(s.rounds)).alias("round"), F.col(text_col).alias("text"))
+    ddl = "i int, task int, w binary, x binary"
     for r in range(s.rounds):
-        sent = sc.broadcast((model.network, model.order))
+        sent = sc.broadcast(model.network)
 
         def train(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
-            (net, order), seen, t = sent.value, 0, 0
-            start = net.flat()
-            m, v = {k: np.zeros_like(a) for k, a in net.p.items()}, {k: np.zeros_like(a) for k, a in net.p.items()}
+            net = sent.value
+            start = net.table, net.layer
+            net.table, net.layer = net.table.copy(), net.layer.copy()
+            trainer = Trainer(net)
             for batch in pieces(batches):
-                starts, ids = net.ids(batch.column("text"), order)
-                around = net.contexts(starts, ids)
-                mixed = np.random.default_rng(s.seed + t).permutation(len(ids))
-                for a in range(0, len(ids), s.batch):
-                    i, t = mixed[a:a + s.batch], t + 1
-                    rate = s.rate * np.sqrt(1 - 0.99 ** t) / (1 - 0.9 ** t)
-                    for k, g in net.gradients(around[i], ids[i]).items():
-                        m[k] = 0.9 * m[k] + np.float32(0.1) * g
-                        v[k] = 0.99 * v[k] + np.float32(0.01) * g * g
-                        net.p[k] = (net.p[k] - rate * m[k] / (np.sqrt(v[k]) + 1e-6)).astype(np.float32)
-                    seen += len(i)
-            if seen:
-                flat = net.flat()
-                cut = [flat[a:a + SLICE].astype(np.float64).tobytes() for a in range(0, len(flat), SLICE)]
-                task = TaskContext.get().partitionId() % 64
-                yield _rows(range(len(cut)), [task] * len(cut), [float(seen)] * len(cut), cut)
-            net.load(start)  # the worker may run another task with the same broadcast
-
-        def mean(table: pa.Table) -> pa.Table:
-            n = table.column("n").to_numpy()
-            x = sum(np.frombuffer(b, np.float64) * w for b, w in zip(table.column("x").to_pylist(), n)) / n.sum()
-            return pa.Table.from_batches([_rows([table.column("i")[0].as_py()], [table.column("task")[0].as_py()], [float(n.sum())], [x.tobytes()])])
-
-        ddl = "i int, task int, n double, x binary"
+                starts, codes, distinct = words(batch.column("text"))
+                if len(codes):
+                    trainer.feed(starts, net.entries(word_hashes(distinct))[0][codes])
+            if trainer.seen:
+                yield trainer.slices(TaskContext.get().partitionId() % 64)
+            net.table, net.layer = start  # the worker may run another task with the same broadcast
+
         own = rows.where(F.col("round") == r).select("text").mapInArrow(train, ddl)
-        merged = own.groupBy("i", "task").applyInArrow(mean, ddl).groupBy("i").applyInArrow(mean, ddl)
-        got = merged.orderBy("i").collect()  # one network
-        if got:
-            model.network.load(np.concatenate([np.frombuffer(x["x"], np.float64) for x in got]))
+        merged = own.groupBy("i", "task").applyInArrow(_mean, ddl).groupBy("i").applyInArrow(_mean, ddl)
+        net = model.network
+        for part in merged.collect():  # one network
+            w, x = np.frombuffer(part["w"], np.float32), np.frombuffer(part["x"], np.float32)
+            if part["i"] < 0:
+                net.layer = x.reshape(net.layer.shape).copy()
+            else:
+                at = slice(part["i"] * SLICE, part["i"] * SLICE + len(w))
+                net.table[at][w > 0] = x.reshape(len(w), -1)[w > 0]
     return model
 
 
-def _rows(i, task, n, x) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(i), pa.int32()), pa.array(task, pa.int32()), pa.array(n, pa.float64()),
-                                       pa.array(x, pa.binary())], ["i", "task", "n", "x"])
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, log_prob, mean_log_prob): the sum over all words of the text of the log
-    probability of the word's vocabulary entry given ``window`` words before and after it: of the
-    word itself if it is one of the frequent ones, else of its class (``score_words`` scores words).
-
-    Null and empty texts have 0 words, log_prob 0 and a null mean. Repeated rows are scored each.
-    A very long text is scored in steps of fixed size. No shuffle.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast((model.network, model.order))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, order = sent.value
-        for batch in pieces(batches):
-            starts, ids = net.ids(batch.column("text"), order)
-            n, sums = np.diff(starts), _entry_sums(net, starts, ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n.astype(np.int64)), pa.array(sums),
-                 pa.array(sums / np.maximum(n, 1), mask=n == 0)], ["id", "n_words", "log_prob", "mean_log_prob"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"id {kind}, n_words long, log_prob double, mean_log_prob double")
-            .withColumnRenamed("id", id_col))
-
-
-def _entry_sums(net: Network, starts: np.ndarray, ids: np.ndarray, step: int = 20_000) -> np.ndarray:
-    """Per text the sum of the log probabilities of its entries."""
+def _gain_sums(net: Network, starts: np.ndarray, ids: np.ndarray, base: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """Per text the sum of its words' gains and of ``base``."""
     around = net.contexts(starts, ids)
-    return _sums(np.concatenate([np.zeros(0)] + [net.log_prob(around[a:a + step], ids[a:a + step]).astype(np.float64)
-                                                 for a in range(0, len(ids), step)]), starts)
+    parts = [net.gains(around[a:a + step], ids[a:a + step]) + base[a:a + step] for a in range(0, len(ids), step)]
+    return _sums(np.concatenate([np.zeros(0), *parts]), starts)
 
 
 def _sums(each: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -296,33 +287,33 @@ def _cut(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return full, np.append(first, len(h))
 
 
-def score_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, log_prob, mean_log_prob) as ``score``, of words at any size of the vocabulary:
-    a rare word has log P(class | neighbours) + log P(word | class).
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, log_prob, mean_log_prob): the sum over all words of the text of their log probability
+    given ``window`` words before and after, and its mean.
 
-    The second term is (n + smooth) / (tokens + smooth * (types + 1)) from the counts of all words
-    of the class; a word without a count has that of n = 0, so it is less likely than any counted one.
+    Each is the log share of the word, (n + smooth) / (all counts, smoothed), plus the network's gain from the
+    neighbours; the network is trained towards probabilities, but not forced to sum to one. A word without
+    a count has that of n = 0. Null and empty texts have 0 words, log_prob 0 and a null mean. Repeated rows
+    are scored each, a very long text in steps of fixed size; other columns are not read.
 
-    1. A task scores entries, numbers the distinct rare words of some MB of text (a batch) by hash,
+    1. A task sums what it knows, numbers the distinct rare words of some MB of text (a batch) by hash,
        and stores the batch's numbers and, by range of hashes, its distinct hashes.
-    2. Hashes and counts of one range meet in a task, which returns the terms in the order asked.
-    3. Batches meet their terms again and are added up per document.
+    2. Hashes and counts of one range meet in a task, which returns the log shares in the order asked.
+    3. Batches meet their shares again and are added up per document.
 
-    What is sent is a hash and a term per distinct word of a batch, and its numbers once. No task
-    and no driver holds the counts of more than one range. Repeated rows are scored each.
+    What is sent is a hash and a share per distinct rare word of a batch, and its numbers once. No task
+    and no driver holds the counts of more than one range.
     """
     spark, s = docs.sparkSession, model.network.s
-    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = spark.sparkContext.broadcast((model.network, model.order))
-    tokens, types = model.tokens, model.types
+    sent = spark.sparkContext.broadcast((model.network, model.shares))
+    total = model.total
     kind = docs.schema[id_col].dataType.simpleString()
     ddl = f"batch long, part long, ids array<{kind}>, n array<long>, sums array<double>, ends array<long>, codes binary, blob binary"
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        net, order = sent.value
-        frequent, batch_no = s.size - s.rare, TaskContext.get().partitionId() << 32
+        (net, shares), batch_no = sent.value, TaskContext.get().partitionId() << 32
         held: list[tuple] = []
         size = 0
 
@@ -347,11 +338,16 @@ def score_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for batch in pieces(batches):
             starts, codes, distinct = words(batch.column("text"))
             h = word_hashes(distinct)
-            entry = net.entries(h, order)
-            ids = entry[codes] if len(codes) else np.zeros(0, np.int64)
-            rare = np.concatenate(([0], np.cumsum(ids >= frequent)))
-            asked = h[codes[ids >= frequent]] if len(codes) else np.zeros(0, np.uint64)
-            held.append((batch.column("id"), np.diff(starts), _entry_sums(net, starts, ids), asked, np.diff(rare[starts])))
+            entry, hit = net.entries(h)
+            base = np.zeros(len(h))
+            base[hit] = shares[entry[hit]]
+            if not len(codes):
+                codes = np.zeros(0, np.int64)
+            other = ~hit[codes]
+            rare = np.concatenate(([0], np.cumsum(other)))
+            held.append((batch.column("id"), np.diff(starts), _gain_sums(net, starts, entry[codes], base[codes]),
+                         h[codes[other]], np.diff(rare[starts])))
+            asked = held[-1][3]
             size += len(asked) + batch.num_rows
             if size > HELD:
                 yield flush()
@@ -365,8 +361,7 @@ def score_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         def flush() -> pa.RecordBatch:
             h, n = (np.concatenate(x) for x in zip(*held))
             at = np.argsort(h)
-            h, n, cls = h[at], n[at], (h[at] % np.uint64(s.rare)).astype(np.int64)
-            term = np.log((n + s.smooth) / (tokens + s.smooth * (types + 1))[cls]).astype(np.float32)
+            h, term = h[at], np.log((n[at] + s.smooth) / total).astype(np.float32)
             full, edge = _cut(h, parts)
             held.clear()
             return pa.RecordBatch.from_arrays(
@@ -382,7 +377,7 @@ def score_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             yield flush()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unseen = np.log(s.smooth / (tokens + s.smooth * (types + 1))).astype(np.float32)
+        unseen = np.float32(np.log(s.smooth / total))
         part, held, known, term = None, [], None, None
         for rows in batches:
             out: list[tuple] = []
@@ -398,7 +393,7 @@ def score_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                     at, held = np.argsort(known), []
                     known, term = known[at], term[at]
                 h = np.frombuffer(blob, np.uint64)
-                found = unseen[(h % np.uint64(s.rare)).astype(np.int64)]
+                found = np.full(len(h), unseen)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     found = np.where(known[at] == h, term[at], found)
@@ -432,12 +427,13 @@ def score_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         if row is not None:
             yield finish()
 
-    entered = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(enter, ddl), "lm-entered")
-    asked = entered.where("part >= 0").select("batch", "part", "blob")
-    terms = (asked.unionAll(model.counts.mapInArrow(counts, "batch long, part long, blob binary"))
-             .repartition(parts, "part").sortWithinPartitions("part", "batch")
-             .mapInArrow(look, "batch long, part long, blob binary"))
-    both = entered.where("part < 0").drop("blob").unionByName(terms, allowMissingColumns=True)
-    return (both.repartition(parts, "batch").sortWithinPartitions("batch", "part")
-            .mapInArrow(leave, f"id {kind}, n_words long, log_prob double, mean_log_prob double")
-            .withColumnRenamed("id", id_col))
+    with batch_bytes(spark):
+        entered = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(enter, ddl), "lm-entered")
+        asked = entered.where("part >= 0").select("batch", "part", "blob")
+        terms = (asked.unionAll(model.counts.mapInArrow(counts, "batch long, part long, blob binary"))
+                 .repartition(parts, "part").sortWithinPartitions("part", "batch")
+                 .mapInArrow(look, "batch long, part long, blob binary"))
+        both = entered.where("part < 0").drop("blob").unionByName(terms, allowMissingColumns=True)
+        scored = stored(both.repartition(parts, "batch").sortWithinPartitions("batch", "part")
+                        .mapInArrow(leave, f"id {kind}, n_words long, log_prob double, mean_log_prob double"), "lm-scored")
+    return scored.withColumnRenamed("id", id_col)

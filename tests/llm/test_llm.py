@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -260,46 +261,114 @@ def test_substring_against_brute_force(spark):
 
 def test_lm_beats_word_frequencies(spark):
     docs = documents(spark, BIG, "doc_id", "text")
-    model = masked_lm.fit(docs, settings=masked_lm.Settings(batch=256))
+    model = masked_lm.fit(docs, settings=masked_lm.Settings(batch=512, block=64))
     got = masked_lm.score(docs, model).agg(F.sum("log_prob") / F.sum("n_words")).first()[0]
-    _, _, counts = masked_lm.vocabulary(docs, model.network.s)
-    p = counts[counts > 0] / counts.sum()
-    assert got > (p * np.log(p)).sum() + 0.1
+    n = np.array([r["n"] for r in model.counts.collect()])
+    assert got > (n * np.log((n + 0.5) / model.total)).sum() / n.sum() + 0.1
 
 
-def test_lm_scores_words_of_rare_classes(spark, odd, none, monkeypatch):
+def test_lm_gains_are_near_probabilities(spark):
+    """Summed over all words of a small vocabulary, the probabilities at most places are near one."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(30)]
+    follow = {w: rng.sample(words, 3) for w in words}
+    texts = []
+    for _ in range(400):
+        t = [rng.choice(words)]
+        while len(t) < 100:
+            t.append(rng.choice(follow[t[-1]]))
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    s = masked_lm.Settings(own=20, hashed=64, rounds=2, batch=512, block=32)
+    model = masked_lm.fit(docs, settings=s)
+    net, n = model.network, {r["h"] % (1 << 64): r["n"] for r in model.counts.collect()}
+    h = masked_lm.word_hashes([w.encode() for w in words])
+    rows, _ = net.entries(h)
+    share = np.log([(n[x] + s.smooth) / model.total for x in h.tolist()])
+    place = {w: i for i, w in enumerate(words)}
+    sums, right = [], []
+    for t in texts[:20]:
+        ids = rows[[place[w] for w in t.split()]]
+        around = net.contexts(np.array([0, len(ids)]), ids)
+        for i in range(5, 95, 9):
+            p = np.exp(share + net.gains(np.repeat(around[i:i + 1], len(rows), axis=0), rows))
+            sums.append(p.sum())
+            right.append(p[place[t.split()[i]]])
+    assert 0.7 < np.median(sums) < 1.4 and np.mean(right) > 0.1
+
+
+def test_lm_gradients():
+    s = masked_lm.Settings(own=6, hashed=5, width=3, hidden=4, noise=2)
+    rng = np.random.default_rng(2)
+    net = masked_lm.Network(s, np.zeros(0, np.uint64))
+    net.table = rng.normal(0, 0.5, net.table.shape)
+    net.layer = rng.normal(0, 0.5, net.layer.shape)
+    around, ids, noise = rng.integers(0, s.rows + 1, (8, 4)), rng.integers(0, s.rows, 8), rng.integers(0, s.rows, (2, 2))
+    layer, near, out = net.gradients(around, ids, noise)
+    table = np.zeros_like(net.table)
+    for columns, (rows, grads) in ((slice(0, s.width), near), (slice(s.width, None), out)):
+        rows, grads = masked_lm.summed(rows, grads)
+        table[rows, columns] += grads
+    for values, grads in ((net.table, table), (net.layer, layer)):
+        for at in zip(*(rng.integers(0, n, 40) for n in values.shape)):
+            kept, step = values[at], 1e-5
+            values[at] = kept + step
+            up = net.loss(around, ids, noise)
+            values[at] = kept - step
+            down = net.loss(around, ids, noise)
+            values[at] = kept
+            assert grads[at] == pytest.approx((up - down) / 2 / step, abs=1e-4)
+
+
+def plain_log_prob(text, model, n):
+    """The score of a text word by word."""
+    net, s = model.network, model.network.s
+    known = {h: i for i, h in enumerate(net.known.tolist())}
+    hashes = [masked_lm.word_hashes([w.encode()]).item() for w in WORD.findall(text or "")]
+    rows = [known[h] if h in known else s.own + h % s.hashed for h in hashes]
+    total = 0.0
+    for i, (h, row) in enumerate(zip(hashes, rows)):
+        near = [rows[i + k] if 0 <= i + k < len(rows) else s.rows for k in range(-s.window, s.window + 1) if k]
+        x = np.concatenate([net.table[r, :s.width] for r in near]).astype(float)
+        hidden = np.tanh(x @ net.layer[:-1] + net.layer[-1])
+        out = net.table[row, s.width:].astype(float)
+        total += hidden @ out[:-1] + out[-1] + np.log((n.get(h, 0) + s.smooth) / model.total)
+    return len(rows), total
+
+
+def test_lm_scores_against_plain_python(spark, odd, none, monkeypatch):
     monkeypatch.setattr(masked_lm, "HELD", 3000)  # several batches a task
     docs = documents(spark, BIG, "doc_id", "text").where("doc_id < 300")
-    model = masked_lm.fit(docs)
-    s, known = model.network.s, set(model.network.known.tolist())
+    model = masked_lm.fit(docs, settings=masked_lm.Settings(own=500, hashed=300))
+    n = {r["h"] % (1 << 64): r["n"] for r in model.counts.collect()}
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    count, hashed = {}, {}
-    for _, t in rows:
-        for w in WORD.findall(t or ""):
-            h = hashed.setdefault(w, masked_lm.word_hashes([w.encode()]).item())
-            count[h] = count.get(h, 0) + 1
-    rare = {h: n for h, n in count.items() if h not in known}
-    below = [sum(n + 0.5 for h, n in rare.items() if h % s.rare == c) + 0.5 for c in range(s.rare)]
     rng = random.Random(4)
     more = [(-1, None), (-2, ""), (-3, "zqx " * 40), (-4, " ".join("".join(rng.choices("qxzjkv", k=9)) for _ in range(200))), rows[5], (None, rows[6][1])]
     asked = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(5)
-    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_words"])
-    got = sorted(masked_lm.score_words(asked, model).collect(), key=key)
-    entry = sorted(masked_lm.score(asked, model).collect(), key=key)
-    assert len(got) == len(entry) == len(rows) + len(more)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = masked_lm.score(asked, model).collect()
+    assert len(got) == len(rows) + len(more) and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
     texts = dict(rows + more[:4] + more[5:])
-    for a, b in zip(got, entry):
-        want = b["log_prob"]
-        for w in WORD.findall(texts[a["doc_id"]] or ""):
-            h = hashed.get(w) or masked_lm.word_hashes([w.encode()]).item()
-            want += 0 if h in known else np.log((rare.get(h, 0) + 0.5) / below[h % s.rare])
-        assert (a["doc_id"], a["n_words"]) == (b["doc_id"], b["n_words"])
-        assert a["log_prob"] == pytest.approx(want, rel=1e-5, abs=1e-3)
-        assert a["mean_log_prob"] == (pytest.approx(want / a["n_words"], rel=1e-5) if a["n_words"] else None)
+    for r in got:
+        words, want = plain_log_prob(texts[r["doc_id"]], model, n)
+        assert r["n_words"] == words and r["log_prob"] == pytest.approx(want, rel=1e-4, abs=1e-2)
+        assert r["mean_log_prob"] == (pytest.approx(want / words, rel=1e-4) if words else None)
     mean = {r["doc_id"]: r["mean_log_prob"] for r in got}
     assert mean[-4] < min(v for i, v in mean.items() if v is not None and i not in (-3, -4))
-    assert masked_lm.score_words(odd, model).count() == len(ODD)
-    assert masked_lm.score_words(none, masked_lm.fit(none)).count() == 0
+    assert masked_lm.score(odd, model).count() == len(ODD)
+    assert masked_lm.score(none, masked_lm.fit(none)).count() == 0
+
+
+def test_lm_scores_a_rare_word_by_its_neighbours(spark):
+    """The same unseen word between other neighbours has another score; the neighbours' order counts too."""
+    docs = documents(spark, SF, "doc_id", "text")
+    model = masked_lm.fit(docs, settings=masked_lm.Settings(own=50, batch=256, block=32))
+    common = [w for w, _ in Counter(w for r in docs.collect() for w in WORD.findall(r["text"] or "")).most_common(4)]
+    row = lambda words: masked_lm.Network.entries(model.network, masked_lm.word_hashes([w.encode() for w in words]))
+    rows, hit = row(["qqzzunseen", *common])
+    assert not hit[0] and hit[1:].all()
+    gains = [model.network.gains(np.array([[rows[a], rows[b], rows[b], rows[a]]]), rows[:1])[0] for a, b in ((1, 2), (2, 1), (3, 4))]
+    assert len({round(float(g), 6) for g in gains}) == 3
 
 
 def test_linked_components(spark):
