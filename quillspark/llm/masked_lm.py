@@ -29,7 +29,7 @@ class Settings:
     width: int = 16
     hidden: int = 32
     rounds: int = 3        # each document is trained on in one of them
-    batch: int = 4096
+    batch: int = 16384
     block: int = 256       # words of a batch that share their noise words,
     noise: int = 24        # of which there are so many
     rate: float = 0.1
@@ -51,8 +51,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Word vectors of the neighbours side by side, a tanh layer, and a vector and bias per word.
 
-    ``table`` has a row per own or shared entry: its vector as a neighbour, then as the word
-    predicted, then its bias. The row after the last stands for what lies beyond the text.
+    ``near`` has an entry's vector as a neighbour, ``out`` that as the word predicted, and its bias.
+    The entry after the last stands for what lies beyond the text.
     """
 
     def __init__(self, s: Settings, known: np.ndarray):
@@ -60,8 +60,8 @@ class Network:
         rng = np.random.default_rng(s.seed)
         self.s, self.known = s, known
         inner = 2 * s.window * s.width
-        self.table = np.zeros((s.rows + 1, s.width + s.hidden + 1), np.float32)
-        self.table[:, :s.width] = rng.normal(0, 0.3, (s.rows + 1, s.width))
+        self.near = rng.normal(0, 0.3, (s.rows + 1, s.width)).astype(np.float32)
+        self.out = np.zeros((s.rows + 1, s.hidden + 1), np.float32)
         self.layer = np.concatenate([rng.normal(0, inner ** -0.5, (inner, s.hidden)), np.zeros((1, s.hidden))]).astype(np.float32)
 
     def entries(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,19 +83,19 @@ class Network:
         return out
 
     def _hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.table[:, :self.s.width][around].reshape(len(around), -1)
+        x = self.near.take(around, axis=0).reshape(len(around), -1)
         return x, np.tanh(x @ self.layer[:-1] + self.layer[-1])
 
     def gains(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Log of how much likelier each word is between these neighbours than anywhere."""
         _, h = self._hidden(around)
-        out = self.table[ids, self.s.width:]
+        out = self.out.take(ids, axis=0)
         return np.einsum("ij,ij->i", h, out[:, :-1]) + out[:, -1]
 
     def loss(self, around: np.ndarray, ids: np.ndarray, noise: np.ndarray) -> float:
         """Summed loss of words against the noise words of their block (block, noise)."""
         _, h = self._hidden(around)
-        out, other = self.table[ids, self.s.width:], self.table[noise, self.s.width:]
+        out, other = self.out.take(ids, axis=0), self.out.take(noise, axis=0)
         lift = np.log(noise.shape[1])
         own = (h * out[:, :-1]).sum(1) + out[:, -1] - lift
         fake = (h.reshape(len(noise), -1, self.s.hidden) @ other[:, :, :-1].transpose(0, 2, 1)) + other[:, None, :, -1] - lift
@@ -105,7 +105,7 @@ class Network:
         """(gradient of the layer; rows and gradients of the neighbours', of the words' vectors)."""
         s, n, blocks = self.s, len(ids), len(noise)
         x, h = self._hidden(around)
-        out, other = self.table[ids, s.width:], self.table[noise, s.width:]
+        out, other = self.out.take(ids, axis=0), self.out.take(noise, axis=0)
         lift = np.float32(np.log(noise.shape[1]))
         own = _sigmoid(np.einsum("ij,ij->i", h, out[:, :-1]) + out[:, -1] - lift) - 1
         hb = h.reshape(blocks, -1, s.hidden)
@@ -123,25 +123,29 @@ class Network:
 
 def summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct rows, their summed gradients)."""
-    order = np.argsort(rows, kind="stable")
+    small = rows.astype(np.uint16) if rows.max() < 1 << 16 else rows  # numpy sorts short numbers by digits
+    order = np.argsort(small, kind="stable")
     ranked = rows[order]
     first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    return ranked[first], np.add.reduceat(grads[order], first, axis=0)
+    return ranked[first], np.add.reduceat(grads.take(order, axis=0), first, axis=0)
 
 
 class Trainer:
-    """Adagrad on a network: of the table, only the rows that a batch touches change."""
+    """Adagrad on a network: of the vectors only those that a batch touches change, with one
+    sum of squares for each."""
 
     def __init__(self, net: Network):
-        self.net, self.rng = net, np.random.default_rng(net.s.seed)
-        self.squares, self.layer_squares = np.zeros_like(net.table), np.zeros_like(net.layer)
-        self.touched, self.seen = np.zeros(len(net.table), np.float32), 0
+        self.net, self.rng, self.seen = net, np.random.default_rng(net.s.seed), 0
+        self.layer_squares = np.zeros_like(net.layer)
+        self.squares = {id(x): np.zeros(len(x), np.float32) for x in (net.near, net.out)}
+        self.touched = np.zeros(len(net.near), np.float32)
 
-    def _rows(self, columns: slice, rows: np.ndarray, grads: np.ndarray) -> None:
+    def _rows(self, vectors: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
         rows, grads = summed(rows, grads)
-        grads = grads.astype(np.float32)
-        self.squares[rows, columns] += grads * grads
-        self.net.table[rows, columns] -= np.float32(self.net.s.rate) * grads / (np.sqrt(self.squares[rows, columns]) + np.float32(1e-6))
+        squares = self.squares[id(vectors)]
+        squares[rows] += np.einsum("ij,ij->i", grads, grads) / grads.shape[1]
+        grads *= (-self.net.s.rate / (np.sqrt(squares[rows]) + 1e-6)).astype(np.float32)[:, None]
+        vectors[rows] += grads
         self.touched[rows] += 1
 
     def feed(self, starts: np.ndarray, ids: np.ndarray) -> None:
@@ -160,13 +164,13 @@ class Trainer:
                 layer, near, words_ = net.gradients(around[part], ids[part], noise)
                 self.layer_squares += layer * layer
                 net.layer -= np.float32(s.rate) * layer / (np.sqrt(self.layer_squares) + np.float32(1e-6))
-                self._rows(slice(0, s.width), *near)
-                self._rows(slice(s.width, None), *words_)
+                self._rows(net.near, *near)
+                self._rows(net.out, *words_)
                 self.seen += len(part)
 
     def slices(self, task: int) -> pa.RecordBatch:
         """The network as messages; a row weighs by how often this task has changed it."""
-        table, layer = self.net.table, self.net.layer
+        table, layer = np.concatenate([self.net.near, self.net.out], axis=1), self.net.layer
         cut = [(a // SLICE, self.touched[a:a + SLICE], table[a:a + SLICE]) for a in range(0, len(table), SLICE)]
         cut.append((-1, np.full(len(layer), self.seen, np.float32), layer))
         return _messages([(i, task, w.astype(np.float64), x.astype(np.float64)) for i, w, x in cut if w.any()])
@@ -244,8 +248,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting
         def train(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
             net = sent.value
-            start = net.table, net.layer
-            net.table, net.layer = net.table.copy(), net.layer.copy()
+            start = net.near, net.out, net.layer
+            net.near, net.out, net.layer = (x.copy() for x in start)
             trainer = Trainer(net)
             for batch in pieces(batches):
                 starts, codes, distinct = words(batch.column("text"))
@@ -253,7 +257,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting
                     trainer.feed(starts, net.entries(word_hashes(distinct))[0][codes])
             if trainer.seen:
                 yield trainer.slices(TaskContext.get().partitionId() % 64)
-            net.table, net.layer = start  # the worker may run another task with the same broadcast
+            net.near, net.out, net.layer = start  # the worker may run another task with the same broadcast
 
         own = rows.where(F.col("round") == r).select("text").mapInArrow(train, ddl)
         merged = own.groupBy("i", "task").applyInArrow(_mean, ddl).groupBy("i").applyInArrow(_mean, ddl)
@@ -264,7 +268,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting
                 net.layer = x.reshape(net.layer.shape).copy()
             else:
                 at = slice(part["i"] * SLICE, part["i"] * SLICE + len(w))
-                net.table[at][w > 0] = x.reshape(len(w), -1)[w > 0]
+                x = x.reshape(len(w), -1)[w > 0]
+                net.near[at][w > 0], net.out[at][w > 0] = x[:, :s.width], x[:, s.width:]
     return model
 
 

@@ -301,15 +301,15 @@ def test_lm_gradients():
     s = masked_lm.Settings(own=6, hashed=5, width=3, hidden=4, noise=2)
     rng = np.random.default_rng(2)
     net = masked_lm.Network(s, np.zeros(0, np.uint64))
-    net.table = rng.normal(0, 0.5, net.table.shape)
+    net.near, net.out = rng.normal(0, 0.5, net.near.shape), rng.normal(0, 0.5, net.out.shape)
     net.layer = rng.normal(0, 0.5, net.layer.shape)
     around, ids, noise = rng.integers(0, s.rows + 1, (8, 4)), rng.integers(0, s.rows, 8), rng.integers(0, s.rows, (2, 2))
     layer, near, out = net.gradients(around, ids, noise)
-    table = np.zeros_like(net.table)
-    for columns, (rows, grads) in ((slice(0, s.width), near), (slice(s.width, None), out)):
+    whole = [np.zeros_like(net.near), np.zeros_like(net.out)]
+    for table, (rows, grads) in zip(whole, (near, out)):
         rows, grads = masked_lm.summed(rows, grads)
-        table[rows, columns] += grads
-    for values, grads in ((net.table, table), (net.layer, layer)):
+        table[rows] += grads
+    for values, grads in ((net.near, whole[0]), (net.out, whole[1]), (net.layer, layer)):
         for at in zip(*(rng.integers(0, n, 40) for n in values.shape)):
             kept, step = values[at], 1e-5
             values[at] = kept + step
@@ -329,9 +329,9 @@ def plain_log_prob(text, model, n):
     total = 0.0
     for i, (h, row) in enumerate(zip(hashes, rows)):
         near = [rows[i + k] if 0 <= i + k < len(rows) else s.rows for k in range(-s.window, s.window + 1) if k]
-        x = np.concatenate([net.table[r, :s.width] for r in near]).astype(float)
+        x = np.concatenate([net.near[r] for r in near]).astype(float)
         hidden = np.tanh(x @ net.layer[:-1] + net.layer[-1])
-        out = net.table[row, s.width:].astype(float)
+        out = net.out[row].astype(float)
         total += hidden @ out[:-1] + out[-1] + np.log((n.get(h, 0) + s.smooth) / model.total)
     return len(rows), total
 
