@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from .common import SPACES, WORD, stored
 
 STRIDE = 1_000_000_007  # a prime: block * STRIDE + start is a permutation modulo any smaller count
@@ -171,7 +172,8 @@ def take_words(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     passes = passes.withColumn("_runs", F.filter("takes", lambda t: t["times"] >= F.col("_pass")))
     passes = passes.withColumn("_n", F.aggregate(
         "_runs", F.lit(0).cast("long"), lambda a, t: a + t["to_word"] - t["from_word"]))
-    passes = passes.where("_n > 0").withColumn("_words", F.when(F.col("_n") < F.col("size"), tokens))
+    # Bound, so the text is split once and not again for every run of blocks.
+    passes = draws.bind(passes.where("_n > 0"), _words=F.when(F.col("_n") < F.col("size"), tokens))
     cut = F.array_join(F.flatten(F.transform(
         "_runs", lambda t: F.slice("_words", (t["from_word"] + 1).cast("int"),
                                    (t["to_word"] - t["from_word"]).cast("int")))), " ")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -402,3 +403,16 @@ def test_keys_lose_no_linked_pair():
                     key, chain = (np.concatenate([keyed[i][x], keyed[j][x]]) for x in (0, 1))
                     ids = np.repeat([i, j], [len(keyed[i][0]), len(keyed[j][0])])
                     assert jaccard.meet(key, chain, ids).tolist() == [[i, j]]
+
+
+def test_mixed_words_take_time_in_proportion_to_the_text(spark):
+    """The text is split outside the function over its runs of blocks, so once and not per run."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40_000)), "a"), (2, "x y z", "b")],
+                                 "doc_id long, text string, source string")
+    mixed = mixing.take_words(docs)
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.splitlines() if "split(" in line]
+    assert lines and all("Generate inline" in line and "lambda" not in line.split("split(")[0].rsplit("_words", 1)[-1] for line in lines)
+    start = time.time()
+    words = mixed.where("doc_id = 1").select(F.explode(F.split("text", " "))).count()
+    assert words > 10_000 and time.time() - start < 30
