@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import draws as d
 from ..functions.text import prompt, words
+from .quota import materialise
 
 IGNORE = -100
 PAD_ID, EOS_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2, 3
@@ -47,14 +48,17 @@ def encode(pairs: DataFrame, vocab: DataFrame, row_id: str = "pair_id") -> DataF
     """Default tokenizer: prompt and completion ids through a vocabulary table.
 
     The ``HEAD_TOKENS`` most frequent tokens are broadcast: a bounded table that resolves
-    every hot token map-side. Only the rare rest is joined by a shuffle on the token.
+    every hot token map-side. Only the rare rest is joined by a shuffle on the token. NULL
+    texts count as empty; pairs of equal id, NULL ids too, are encoded each.
     """
-    parts = pairs.select(row_id, F.posexplode(F.concat(
-        F.transform(words(prompt(F.col("input"))), lambda w: F.struct(
+    numbered = materialise(pairs.select(row_id, "input", "output").withColumn(
+        "_row", F.monotonically_increasing_id()), "encode-pairs")
+    parts = numbered.select(row_id, "_row", F.posexplode(F.concat(
+        F.transform(words(prompt(F.coalesce("input", F.lit("")))), lambda w: F.struct(
             F.lit(0).alias("part"), w.alias("token"))),
-        F.transform(words(F.col("output")), lambda w: F.struct(
+        F.transform(words(F.coalesce("output", F.lit(""))), lambda w: F.struct(
             F.lit(1).alias("part"), w.alias("token"))))).alias("pos", "_t"))
-    parts = parts.select(row_id, "pos", "_t.part", "_t.token")
+    parts = parts.select(row_id, "_row", "pos", "_t.part", "_t.token")
     ids = vocab.select("token", "token_id")
     common = F.col("token_id") < FIRST_ID + HEAD_TOKENS
     tried = parts.join(F.broadcast(ids.where(common)), "token", "left")
@@ -63,7 +67,7 @@ def encode(pairs: DataFrame, vocab: DataFrame, row_id: str = "pair_id") -> DataF
         ids.where(~common), "token", "left")
     ordered = F.sort_array(F.collect_list(F.struct(
         "pos", "part", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id"))))
-    rows = found.unionByName(rest).groupBy(row_id).agg(ordered.alias("_o"))
+    rows = found.unionByName(rest).groupBy(row_id, "_row").agg(ordered.alias("_o"))
 
     def side(part: int) -> Column:
         return F.transform(F.filter("_o", lambda x: x["part"] == part), lambda x: x["id"])

@@ -170,24 +170,26 @@ def split_exact(df: DataFrame, seed: int, row_id: Column, val_fraction: float,
     return keyed.where(~chosen).drop("_draw"), keyed.where(chosen).drop("_draw")
 
 
-def with_index(df: DataFrame, key: str, out: str = "idx", cells: int = 65_536) -> DataFrame:
-    """Position of each row in the order of a unique BIGINT key, from 0.
+def with_index(df: DataFrame, key: str, out: str = "idx", bound: int = 1_000_000) -> DataFrame:
+    """Position of each row in the order of ``key``, from 0; NULL keys come first.
 
-    Equal-width cells are counted, prefix-summed (one row per cell) and ranked inside, so
-    no task ever sorts the whole table.
+    Rows are dealt over ranges of the key, cut at sampled points so that a range has about ``bound``
+    rows whatever the spread of the keys, and sorted there; a row's position is its place in the range plus
+    the prefix sum of the ranges before, one row each. Equal keys get positions beside each other.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(out, F.lit(None).cast("bigint"))
-    step = max(1, -(-(high - low + 1) // cells))
-    placed = df.withColumn("_cell", _bucket(key, f"{low}L", step))
-    counts = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = counts.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_cell").orderBy(key)) - 1
-    return placed.join(offsets, "_cell").withColumn(out, F.col("_off") + local).drop(
-        "_cell", "_off")
+    spark = df.sparkSession
+    rows = materialise(df, "index-rows")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // bound))
+    ranged = (rows.repartitionByRange(parts, key).sortWithinPartitions(key)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    ranged = materialise(ranged, "index-ranges")
+    counts = ranged.groupBy("_pid").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    # One row per range: of a checked size up to many billions of rows.
+    offsets = F.broadcast(offsets) if parts <= 100_000 else offsets
+    return ranged.join(offsets, "_pid").withColumn(out, F.col("_at") + F.col("_off")).drop("_pid", "_at", "_off")
 
 
 def cyclic(attempts: DataFrame, attempt: str, items: DataFrame, key: str) -> DataFrame:

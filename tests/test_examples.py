@@ -50,3 +50,10 @@ def test_padded_batches(spark):
         for ids, mask, lab in zip(r.input_ids, r.attention_mask, r.labels):
             n = sum(mask)
             assert ids[n:] == [x.PAD_ID] * (r.width - n) and lab[n:] == [x.IGNORE] * (r.width - n)
+
+
+def test_null_texts_and_repeated_ids_are_encoded_each(spark):
+    rows = [("1", None, "the cat"), ("2", "the cat", None), ("3", "the cat", "sat."), ("3", "the cat", "sat."), (None, None, None)]
+    odd = spark.createDataFrame(rows, "pair_id string, input string, output string").repartition(3)
+    got = sorted(((r["pair_id"] or "", len(r["prompt_ids"]), len(r["completion_ids"])) for r in x.encode(odd, vocab(spark)).collect()))
+    assert got == [("", 2, 0), ("1", 2, 2), ("2", 4, 0), ("3", 4, 1), ("3", 4, 1)]

@@ -50,7 +50,7 @@ def test_sample_split_index(spark):
     train, val = q.split_exact(df, 42, F.col("id"), 0.2, ["id"])
     assert (train.count(), val.count()) == (800, 200) and train.intersect(val).count() == 0
     keys = spark.createDataFrame([(x,) for x in (5, -3, 900, 17, 10**12)], "key long")
-    got = {r.key: r.idx for r in q.with_index(keys, "key", cells=3).collect()}
+    got = {r.key: r.idx for r in q.with_index(keys, "key", bound=3).collect()}
     assert got == {-3: 0, 5: 1, 17: 2, 900: 3, 10**12: 4}
 
 
@@ -169,3 +169,16 @@ def test_exact_split(spark):
     a, b = {r.id for r in train.collect()}, {r.id for r in val.collect()}
     assert len(b) == 200 and not a & b and len(a | b) == 1000
     assert q.split_exact(df, 3, F.col("id"), 0.0, ["id"])[1].count() == 0
+
+
+def test_index_of_null_and_uneven_keys(spark, monkeypatch):
+    """NULL keys first; two far clusters of keys are dealt over many ranges, none of them much above the bound."""
+    kept, write = {}, q.materialise
+    monkeypatch.setattr(q, "materialise", lambda df, label: kept.update({label: write(df, label)}) or kept[label])
+    keys = spark.range(20_000).selectExpr("CASE WHEN id < 10000 THEN id ELSE id + 1000000000000 END AS key").unionAll(
+        spark.createDataFrame([(None,)] * 3, "key long"))
+    got = q.with_index(keys, "key", bound=1000).collect()
+    assert sorted(r["idx"] for r in got if r["key"] is None) == [0, 1, 2] and len(got) == 20_003
+    assert [r["key"] for r in sorted(got, key=lambda r: r["idx"])[3:]] == [*range(10_000), *range(10**12 + 10_000, 10**12 + 20_000)]
+    assert kept["index-ranges"].groupBy("_pid").count().agg(F.max("count")).first()[0] < 3000
+    assert q.with_index(keys.limit(0), "key").count() == 0
