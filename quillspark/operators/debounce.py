@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .quota import materialise
 from .timeline import Timeline
 
+DEBOUNCE_US = 150_000  # fixed value: production time constant in microseconds
 _NEVER = -(1 << 62)  # entered without influence
 _ALWAYS = 1 << 62    # threshold of the row for entries that block the whole chunk
 _CHAIN = ["_k", "_run", "_j"]
@@ -210,7 +211,7 @@ def _key(keys: list[str]) -> Column:
     return F.concat(F.lit(""), *[F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in texts])
 
 
-def debounce(df: DataFrame, keys: Sequence[str], t: str, row_id: str, gap_us: int,
+def debounce(df: DataFrame, keys: Sequence[str], t: str, row_id: str, gap_us: int = DEBOUNCE_US,
              chunk: int = 1024) -> DataFrame:
     """Keep events at least ``gap_us`` after the last *accepted* event of their key.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .debounce import debounce
+from .debounce import DEBOUNCE_US, debounce
 from .quota import first_k, materialise
 from .timeline import Timeline
 
@@ -16,7 +16,6 @@ MS = 1_000
 SECOND = 1_000_000
 
 # Production time constants in microseconds.
-DEBOUNCE_US = 150 * MS
 SILENCE_US = 400 * MS
 DONE_RESET_US = 1_500 * MS
 REVIEW_US = 15 * SECOND
