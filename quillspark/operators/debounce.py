@@ -168,7 +168,7 @@ def _entry_times(exits: DataFrame, gap: int) -> DataFrame:
     slots = exits.groupBy("_k", "_slot").agg(
         F.first("_first").alias("_first"), F.first("_last").alias("_last"),
         F.when(F.count("*") == 1, F.max("_x")).alias("_only"))
-    before = Timeline(slots, ["_k"], ["_slot"], 4096).previous(["_last", "_only"], "_before").result()
+    before = Timeline(slots, ["_k"], ["_slot"], 4096, max_rows=None).previous(["_last", "_only"], "_before").result()
     fresh = F.col("_before").isNull() | (F.col("_first") - F.col("_before._last") >= gap)
     placed = materialise(before.select("_k", "_slot", F.when(fresh, F.lit(_NEVER)).otherwise(
         F.col("_before._only")).alias("_known")), "debounce-slots")
@@ -177,7 +177,7 @@ def _entry_times(exits: DataFrame, gap: int) -> DataFrame:
         return known
     # Only keys with an unknown entry go on: their chunks are numbered from the last known one.
     some = placed.join(placed.where("_known IS NULL").select("_k").distinct(), "_k", "left_semi")
-    runs = Timeline(some, ["_k"], ["_slot"], 4096).running(F.lit(1).cast("bigint"), "_n").running_max(
+    runs = Timeline(some, ["_k"], ["_slot"], 4096, max_rows=None).running(F.lit(1).cast("bigint"), "_n").running_max(
         F.when(F.col("_known").isNotNull(), F.col("_n")), "_run").result()
     runs = runs.select("_k", "_slot", "_known", "_run", (F.col("_n") - F.col("_run")).alias("_j"))
     level = materialise(exits.join(runs, ["_k", "_slot"]), "debounce-runs")

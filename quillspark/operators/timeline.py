@@ -3,7 +3,8 @@
 ``Window.partitionBy(user)`` puts all events of a user on one task. Here every key is cut
 into time chunks: a window runs inside (key, chunk), and what must cross a chunk border is
 read from a summary with one row per (key, chunk). A key with a third of all rows is thus
-spread over as many tasks as it has chunks.
+spread over as many tasks as it has chunks. A burst that fills one chunk is cut again by row
+count, so no window holds more than a bounded number of rows however the times are spread.
 """
 
 from __future__ import annotations
@@ -13,6 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quota import materialise
+
+CHUNK_ROWS = 1_000_000  # rows of one (key, chunk), at most
+MAX_CUTS = 4            # times the ranges of bursts are halved until all are within the bound
+
 
 def micros(ts: str | Column) -> Column:
     """BIGINT microseconds of a timestamp; zone-less values are read in the session zone."""
@@ -21,14 +27,44 @@ def micros(ts: str | Column) -> Column:
 
 
 class Timeline:
-    """Events of ``keys`` ordered by ``order`` (first column: BIGINT micros)."""
+    """Events of ``keys`` ordered by ``order`` (first column: BIGINT micros).
+
+    Chunks are ``chunk_us`` long. Where one holds more than ``max_rows`` rows of a key it is cut
+    into ranges of the whole order, at sampled points. Rows that agree in the whole order stay in one
+    range, so the bound needs an order that tells rows apart, as one that ends in a row id does.
+    ``max_rows=None`` skips the count, for callers whose chunks are bounded by construction. Rows
+    with a NULL time are a chunk of their own, before all others.
+    """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_us: int):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_us: int,
+                 max_rows: int | None = CHUNK_ROWS):
         self.keys, self.order = list(keys), list(order)
-        # A struct is never NULL itself, so rows with NULL keys match in the joins too.
-        self.df = df.withColumns({"_key": F.struct(*self.keys),
-                                  "_chunk": F.expr(f"`{order[0]}` div {chunk_us}L")})
+        # Structs are never NULL themselves, so rows with NULL keys or times match in the joins too.
+        self.df = df.withColumns({"_key": F.struct(*self.keys), "_chunk": F.struct(
+            F.expr(f"`{order[0]}` div {chunk_us}L").alias("at"), F.lit(0).alias("cut"))})
         self._part = ["_key", "_chunk"]
+        if max_rows is not None:
+            self._cut_bursts(max_rows)
+
+    def _cut_bursts(self, max_rows: int) -> None:
+        """Give the rows of too large chunks the number of their range as second part of the chunk."""
+        heavy = self.df.groupBy(*self._part).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+        rows = heavy.agg(F.sum("_n")).first()[0]
+        if rows is None:
+            return
+        heavy = materialise(heavy, "timeline-heavy")
+        burst = materialise(self.df.join(heavy.select(*self._part), self._part, "left_semi"), "timeline-burst")
+        ranges = 2 * -(-rows // max_rows)
+        for _ in range(MAX_CUTS):
+            cut = burst.repartitionByRange(ranges, *self._part, *self.order).withColumn(
+                "_chunk", F.struct(F.col("_chunk.at").alias("at"), F.spark_partition_id().alias("cut")))
+            cut = materialise(cut, "timeline-cut")
+            largest = cut.groupBy(*self._part).count().agg(F.max("count")).first()[0]
+            if largest <= max_rows:
+                break
+            ranges *= 2
+        calm = self.df.join(heavy.select(*self._part), self._part, "left_anti")
+        self.df = calm.unionByName(cut)
 
     def _pos(self) -> list[Column]:
         return [F.col(c) for c in self.order]

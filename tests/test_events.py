@@ -140,6 +140,40 @@ def test_timeline_matches_plain_windows(spark):
             assert got[i].c == pos + 1
 
 
+def test_burst_in_one_chunk_is_cut_by_rows(spark):
+    """All events of a key in one hour, a third of them at one microsecond, and a NULL time."""
+    rng = random.Random(4)
+    times = [rng.choice([77, rng.randrange(5000), rng.randrange(5000)]) for _ in range(6000)]
+    rows = [(i % 20 and 1, t, i) for i, t in enumerate(times)] + [(1, None, 6000), (None, 3, 6001)]
+    line = Timeline(frame(spark, rows), ["user_id"], ["t", "event_id"], ev.CHUNK_US, max_rows=500)
+    assert line.df.groupBy("_key", "_chunk").count().agg(F.max("count")).first()[0] <= 500
+    line.previous(["event_id"], "p").following(["event_id"], "n", where=F.col("event_id") % 97 == 0)
+    line.running(F.lit(1), "c").running_max(F.when(F.col("event_id") % 5 == 0, F.col("event_id")), "m")
+    got = {r.event_id: r for r in line.result().collect()}
+    assert len(got) == len(rows)
+    for user in (0, 1, None):
+        own = sorted(((-1 if t is None else t), i) for u, t, i in rows if u == user)
+        before, top = None, None
+        for pos, (_, i) in enumerate(own):
+            assert (got[i].p and got[i].p.event_id) == before and got[i].c == pos + 1
+            before, top = i, max(top or 0, i) if i % 5 == 0 else top
+            assert got[i].m == top
+        after = None
+        for _, i in reversed(own):
+            assert (got[i].n and got[i].n.event_id) == after
+            after = i if i % 97 == 0 else after
+
+
+def test_sessions_of_a_burst(spark, monkeypatch):
+    """The operators above the timeline give the same rows when every chunk is cut."""
+    rng = random.Random(6)
+    df = frame(spark, [(1, rng.randrange(200_000), i) for i in range(900)])
+    whole = sorted(map(tuple, ev.sessions(df, ["user_id"], "t", "event_id", 900).collect()))
+    monkeypatch.setattr(Timeline.__init__, "__defaults__", (100,))
+    assert sorted(map(tuple, ev.sessions(df, ["user_id"], "t", "event_id", 900).collect())) == whole
+    assert len(whole) > 5
+
+
 def test_sessions(spark):
     rows = [(1, t * MS, t) for t in (0, 300, 650, 1100, 1400)]
     got = ev.sessions(frame(spark, rows), ["user_id"], "t", "event_id", chunk_us=500 * MS)
