@@ -116,18 +116,26 @@ def real_text_pairs(sentences: DataFrame, need: int, seed: int, row_id: str = "o
     """``need`` pairs from real sentences, reusing sentences round by round if too few.
 
     A round is one pass over the corpus with fresh draws; the next round runs only if the
-    pairs so far do not fill the quota. Only counts reach the driver.
+    pairs so far do not fill the quota. The pairs of a round with the smallest draws count, and a
+    draw is cheap: the sentences are corrupted by rising bands of the draw, the first a little
+    wider than the need, and a further band only if too few of it were usable. The result is that
+    of corrupting all. Only counts reach the driver.
     """
-    out, missing = [], need
+    out, missing, total = [], need, sentences.count()
     for r in range(max_rounds):
         pid = F.concat_ws(":", F.lit("real"), F.lit(str(r)), row_id)
-        made = d.bind(sentences, input=c.corrupt_full(F.col("sentence"), seed, pid)).select(
-            pid.alias("pair_id"), F.lit("real").alias("category"), "input",
-            F.col("sentence").alias("output"),
-            d.shuffle_key(seed, pid, "round").alias("_draw"),
-        ).where(t.has_signal(F.col("input"), F.col("output")))
-        made = materialise(made, "real-round")
-        got = made.count()
+        keyed = d.bind(sentences, pair_id=pid).withColumn("_draw", d.shuffle_key(seed, F.col("pair_id"), "round"))
+        bands, got, upto = [], 0, 0
+        while not bands or (got < missing and upto < d.DRAW_SPAN):
+            start, rate = upto, max(got, 1) / (total * upto / d.DRAW_SPAN) if upto else 1.0
+            upto = band_end(start, missing - got, rate, total)
+            band = keyed.where((F.col("_draw") >= start) & (F.col("_draw") < upto))
+            made = d.bind(band, input=c.corrupt_full(F.col("sentence"), seed, F.col("pair_id"))).select(
+                "pair_id", F.lit("real").alias("category"), "input", F.col("sentence").alias("output"), "_draw",
+            ).where(t.has_signal(F.col("input"), F.col("output")))
+            bands.append(materialise(made, "real-round"))
+            got += bands[-1].count()
+        made = reduce(DataFrame.unionByName, bands)
         if got > missing:
             made = smallest_k(made, missing, "_draw", tie=["pair_id"])
         out.append(made.drop("_draw"))
@@ -137,6 +145,18 @@ def real_text_pairs(sentences: DataFrame, need: int, seed: int, row_id: str = "o
     return reduce(DataFrame.unionByName, out)
 
 
+def band_end(start: int, missing: int, rate: float, total: int) -> int:
+    """End of the band of draws from ``start`` in which ``missing`` usable rows are expected, with a margin.
+
+    The margin is a twentieth and four standard deviations of the count.
+    """
+    want = 1.05 * missing / rate
+    want += 4 * want ** 0.5
+    if want >= total * (1 - start / d.DRAW_SPAN):
+        return d.DRAW_SPAN
+    return start + -int(-want / total * d.DRAW_SPAN // 1)
+
+
 def spelling_pairs(sentences: DataFrame, target: int, seed: int) -> DataFrame:
     """Pairs whose input carries a targeted misspelling, ``target // 11`` per group."""
     quota = target // len(GROUPS)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.draws import bind
 from ..functions.vocab import SPELLING_TARGETS
 from ..sources.tables import small_table
-from .quota import GROUP_LIMIT_MAX_K, first_k, materialise, smallest_k
+from .quota import GROUP_LIMIT_MAX_K, first_k, materialise, smallest_k, with_index
 
 SPELLING_MAX_WORDS = 80  # fixed value: longest sentence of the spelling stage
 IDX_BITS = 20
@@ -94,6 +96,55 @@ def mine_corpus(sources: Sequence[DataFrame], target: int | None = None,
     return smallest_k(materialise(found, "corpus"), target, "ord", lo=None)
 
 
+REPORT = "priority int, status string, n_new long, error string"
+
+
+def mine_sources(spark: SparkSession, sources: Sequence[Callable[[], DataFrame]], target: int | None = None,
+                 doc: str = "doc_id", text: str = "text", **gate: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct good sentences of any number of sources in priority order, and a report on the sources.
+
+    Each source is a function that opens it. Sources are read one after another: a later one
+    contributes the sentences that no earlier one has, and is not opened once ``target`` is met. A
+    source that cannot be opened or read to its end contributes nothing and the next one takes over.
+    Rows are (priority, ``doc``, sent_idx, sentence); the last source read is cut by the order of
+    (``doc``, sent_idx), so ids may be of any type that has an order, negative or NULL (first) too.
+
+    The report has a row per source: its priority, ``read``, ``failed`` or ``not needed``, the number
+    of new sentences and the error. NULL and empty texts have no sentences. Without a readable
+    source the corpus is empty and has a BIGINT ``doc``.
+    """
+    parts: list[DataFrame] = []
+    report: list[tuple] = []
+    total = 0
+    for priority, read in enumerate(sources):
+        if target is not None and total >= target:
+            report.append((priority, "not needed", 0, None))
+            continue
+        try:
+            found = first_occurrence(good_sentences(read().select(doc, text), text, **gate).select(
+                F.struct(F.col(doc).alias("doc"), F.col("sent_idx").alias("idx")).alias("_place"), "sentence"), "_place")
+            # Written once, so a source that breaks halfway is known as failed before any row of it counts.
+            fresh = materialise(found, "source")
+        except (PySparkException, Py4JJavaError, OSError) as exc:
+            report.append((priority, "failed", 0, str(exc).split("\n", 1)[0]))
+            continue
+        if parts:
+            fresh = materialise(unseen(fresh, reduce(DataFrame.unionByName, [p.select("sentence") for p in parts])),
+                                "source-new")
+        n = fresh.count()
+        if target is not None and total + n > target:
+            n = target - total
+            fresh = with_index(fresh, "_place", "_idx").where(F.col("_idx") < n).drop("_idx")
+        parts.append(fresh.withColumn("priority", F.lit(priority)))
+        total += n
+        report.append((priority, "read", n, None))
+    told = small_table(spark, report, REPORT) if report else spark.createDataFrame([], REPORT)
+    if not parts:
+        return spark.createDataFrame([], f"priority int, {doc} bigint, sent_idx int, sentence string"), told
+    corpus = reduce(DataFrame.unionByName, parts)
+    return corpus.select("priority", F.col("_place.doc").alias(doc), F.col("_place.idx").alias("sent_idx"), "sentence"), told
+
+
 def unseen(batch: DataFrame, seen: DataFrame, text: str = "sentence") -> DataFrame:
     """Incremental form of the dedupe: rows whose text was not collected before."""
     return batch.join(seen.select(text), text, "left_anti")

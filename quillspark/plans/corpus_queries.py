@@ -47,7 +47,9 @@ def three_sources(spark: SparkSession, sf: str) -> list[DataFrame]:
 @register("multi_source_corpus_s5", f"""WITH {k.corpus(priority=PRIORITY)}
  SELECT ord, sentence FROM corpus ORDER BY ord LIMIT {TARGET}""")
 def multi_source_corpus(spark, sf):
-    return m.mine_corpus(three_sources(spark, sf), TARGET)
+    readers = [lambda df=df: df for df in three_sources(spark, sf)]
+    found, _ = m.mine_sources(spark, readers, TARGET)
+    return found.select(m.file_order(F.col("priority")).alias("ord"), "sentence")
 
 
 # --- joins -----------------------------------------------------------------------------

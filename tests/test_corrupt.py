@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import corrupt as c
+from quillspark.functions import draws as d
+from quillspark.functions import text as t
 from quillspark.functions import vocab as v
 from quillspark.operators import generate as g
 from quillspark.operators import mining as m
@@ -110,6 +112,16 @@ def test_generators(spark):
     assert 0.42 < counted / 3000 < 0.54
 
 
+def test_bands_corrupt_little_more_than_the_need():
+    for need in (2_000, 50_000, 10_000_000):
+        assert need <= g.band_end(0, need, 1.0, 10 ** 9) * 10 ** 9 / d.DRAW_SPAN < 1.3 * need
+    # A second band takes what the measured rate says is missing, and never more than the rest.
+    half = d.DRAW_SPAN // 2
+    assert half < g.band_end(half, 1_000, 0.5, 100_000) < d.DRAW_SPAN
+    assert g.band_end(half, 60_000, 1.0, 100_000) == d.DRAW_SPAN
+    assert g.band_end(0, 5, 1.0, 0) == d.DRAW_SPAN
+
+
 def test_pair_builders(spark):
     docs = table(spark, SF, "documents", "doc_id", "text")
     corpus = m.mine_corpus([docs])
@@ -117,6 +129,15 @@ def test_pair_builders(spark):
     real = g.real_text_pairs(corpus, n + 50, 42)
     assert real.count() == n + 50 and real.select("pair_id").distinct().count() == n + 50
     assert real.where("trim(input) = trim(output)").count() == 0
+    # A part of a round is the part with the smallest draws of all usable pairs of the round.
+    pid = F.concat_ws(":", F.lit("real"), F.lit("0"), "ord")
+    every = d.bind(corpus, input=c.corrupt_full(F.col("sentence"), 42, pid)).where(
+        t.has_signal(F.col("input"), F.col("sentence"))).select(
+        pid.alias("pair_id"), d.shuffle_key(42, pid, "round").alias("draw")).orderBy("draw", "pair_id")
+    some = {r.pair_id for r in g.real_text_pairs(corpus, n // 3, 42).collect()}
+    assert some == {r.pair_id for r in every.limit(n // 3).collect()}
+    assert g.real_text_pairs(corpus, 0, 42).isEmpty()
+    assert g.real_text_pairs(corpus.limit(0), 5, 42).isEmpty()
     card = g.cardinal_pairs(spark.range(200), 200, 43)
     assert card.count() == 200
     made = spark.createDataFrame([(i, f"We believed the weird friend number {i} until now because of it.")

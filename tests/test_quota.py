@@ -69,6 +69,60 @@ def test_source_priority_and_quota(spark):
     assert m.mine_corpus([first, second], 2).count() == 2
 
 
+SENTENCE = "This sentence has surely more than eight plain words number {}."
+
+
+def test_nine_sources_any_ids_and_one_unreadable(spark, tmp_path):
+    """Nine sources against a plain loop: negative, huge and NULL ids, a missing and a broken source."""
+    def docs(p):
+        ids = [None, -(1 << 62), -p, 0, (1 << 60) + p]
+        return [(i, " ".join(SENTENCE.format(f"{p % 3}x{n % 4}y{p if n > 2 else 0}") for n in range(k, k + 3)))
+                for k, i in enumerate(ids)] + [(7, None), (8, "")]
+
+    def source(p):
+        def read():
+            if p == 3:
+                return spark.read.parquet(str(tmp_path / "missing"))
+            df = spark.createDataFrame(docs(p), "doc_id long, text string").repartition(3)
+            if p == 5:  # opens, but breaks while it is read
+                df = df.withColumn("text", F.when(F.col("doc_id") == 0, F.raise_error(F.lit("broken")))
+                                   .otherwise(F.col("text")))
+            return df
+        return read
+
+    want, seen = [], set()
+    for p in range(9):
+        for i, text in sorted(docs(p), key=lambda r: (r[0] is not None, r[0] or 0)) if p not in (3, 5) else ():
+            for at, s in enumerate((text or "").replace(". ", ".|").split("|")):
+                if s and s not in seen:
+                    seen.add(s)
+                    want.append((p, i, at, s))
+    found, report = m.mine_sources(spark, [source(p) for p in range(9)])
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    states = [r.status for r in report.orderBy("priority").collect()]
+    assert [p for p, s in enumerate(states) if s == "failed"] == [3, 5]
+    for cut in (1, len(want) // 2, len(want) + 5):
+        some, told = m.mine_sources(spark, [source(p) for p in range(9)], cut)
+        assert sorted(map(str, map(tuple, some.collect()))) == sorted(map(str, want[:cut]))
+        assert told.agg(F.sum("n_new")).first()[0] == min(cut, len(want))
+    assert told.where("status = 'not needed'").isEmpty()
+
+
+def test_sources_with_text_ids_stop_when_the_target_is_met(spark):
+    def opened(*names):
+        return lambda: spark.createDataFrame([(n, SENTENCE.format(n)) for n in names], "doc_id string, text string")
+
+    def never():
+        raise AssertionError("opened")
+
+    found, report = m.mine_sources(spark, [opened("b", "a"), opened("c", "a", "B"), never], 3)
+    assert sorted((r.priority, r.doc_id) for r in found.collect()) == [(0, "a"), (0, "b"), (1, "B")]
+    assert [(r.status, r.n_new) for r in report.orderBy("priority").collect()] == [
+        ("read", 2), ("read", 1), ("not needed", 0)]
+    empty, report = m.mine_sources(spark, [])
+    assert empty.isEmpty() and report.isEmpty()
+
+
 def p95(xs):
     return sorted(xs)[int(0.95 * (len(xs) - 1))]
 
