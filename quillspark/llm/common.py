@@ -122,13 +122,14 @@ def unplane(raw: bytes, n: int, keep: int, dtype) -> np.ndarray:
     return out.reshape(-1).view(dtype)
 
 
-def bitmap(ids: DataFrame, column: str, bits: int) -> np.ndarray:
+def bitmap(ids: DataFrame, column: str, bits: int, placed: bool = False) -> np.ndarray:
     """A bit per hash class of the values in ``column``: ``bits`` / 8 bytes, however many rows.
 
-    A set bit means *maybe*: callers check survivors exactly.
+    With ``placed`` the values are bit numbers already. A set bit means *maybe*: callers check
+    survivors exactly.
     """
-    spark = ids.sparkSession
-    words_ = (ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("b"))
+    at = F.col(column) if placed else F.pmod(F.xxhash64(column), F.lit(bits))
+    words_ = (ids.select(at.alias("b"))
               .groupBy((F.col("b") / 32).cast("int").alias("w"))
               .agg(F.expr("bit_or(shiftleft(1L, CAST(b % 32 AS INT)))").alias("m")))
     out = np.zeros(bits // 32, np.uint32)

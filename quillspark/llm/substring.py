@@ -184,6 +184,44 @@ def repeated_windows(rows: DataFrame, width: int) -> DataFrame:
         gather, "role int, k long, pos int, first long")
 
 
+def repeated_by_words(rows: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(k, h, a, b): the windows of ``asked`` (k, h, a, words) whose words also start in a smaller document.
+
+    The texts are read once more. A bitmap of the hashes of the asked windows names the windows that may be
+    among them; these travel with their words and the smallest document of their batch, and the
+    words decide. So the result is exact whatever the hashes do.
+    """
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "words"):
+            _, codes, distinct = words(batch.column("words"))
+            g = grams(word_hashes(distinct)[codes], width)[::width]
+            yield pa.RecordBatch.from_arrays([pa.array((g % np.uint64(BITS)).astype(np.int64))], ["bit"])
+
+    distinct_words = asked.select("words").distinct()
+    wanted = bitmap(distinct_words.mapInArrow(hashed, "bit long"), "bit", BITS, placed=True)
+    bits = rows.sparkSession.sparkContext.broadcast(np.packbits(wanted, bitorder="little"))
+
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            starts, codes, distinct = words(batch.column("text"))
+            every = grams(word_hashes(distinct)[codes], width)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(starts))[:len(every)]
+            bit = (every % np.uint64(BITS)).astype(np.int64)
+            hit = ((bits.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+            hit &= np.arange(len(every)) + width <= starts[doc + 1]
+            k = batch.column("k").to_numpy()
+            first: dict[str, int] = {}
+            for at in np.flatnonzero(hit).tolist():
+                window = b" ".join(distinct[c] for c in codes[at:at + width].tolist()).decode()
+                first[window] = min(first.get(window, k[doc[at]]), k[doc[at]])
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array(list(first.values()), pa.int64())],
+                                             ["words", "first"])
+
+    held = rows.select("k", "text").mapInArrow(holders, "words string, first long")
+    first = held.groupBy("words").agg(F.min("first").alias("first"))
+    return asked.join(first, "words").where("k > first").select("k", "h", "a", (F.col("a") + width).alias("b"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept (the kept words, joined by one space).
 
@@ -198,7 +236,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        statistics; stretches of ``width`` words or more are confirmed word by word. A
        reference that very many documents match is built in several tasks, each with
        a share of them.
-    3. Confirmed stretches go back to their documents.
+    3. A window that the automaton refuses shares only its hash with the reference; another document
+       may still hold its words. These windows (none, as long as no two hashes clash) are looked up
+       by their words in a second pass, see ``repeated_by_words``.
+    4. Confirmed stretches go back to their documents.
 
     Texts without a repeated window are neither shuffled nor compared. Null text has no words; a
     null id counts as smaller than any, and rows that repeat an id do not count as smaller than
@@ -260,10 +301,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if role == 0:
                     automaton.add(text.split(" "))
                 else:
-                    out += [(k, h, a + x, a + y) for x, y in automaton.matches(text.split(" "), width)]
-            yield _table(out, FOUND)
-
-    confirmed = shards.mapInArrow(confirm, "k long, h long, a int, b int")
+                    tokens = text.split(" ")
+                    refused = np.ones(len(tokens) - width + 1, bool)
+                    for x, y in automaton.matches(tokens, width):
+                        out.append((k, h, a + x, a + y, None))
+                        refused[x:y - width + 1] = False
+                    out += [(k, h, a + x, None, " ".join(tokens[x:x + width])) for x in np.flatnonzero(refused).tolist()]
+            yield _table(out, JUDGED)
+
+    judged = stored(shards.mapInArrow(confirm, "k long, h long, a int, b int, words string"), "repeat-judged")
+    confirmed, refused = judged.where("words IS NULL").drop("words"), judged.where("words IS NOT NULL")
+    if not refused.isEmpty():
+        confirmed = confirmed.unionAll(repeated_by_words(rows, refused, width))
     marks = confirmed.select("k", "h", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("string").alias("text"))
     back = (some.select("k", "h", F.lit(0).alias("role"), F.lit(0).alias("a"), F.lit(0).alias("b"), "text").unionAll(marks)
             .repartition("k", "h").sortWithinPartitions("k", "h", "role", "a"))
@@ -312,7 +361,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 SPANS = pa.schema([("first", pa.int64()), ("salt", pa.int32()), ("role", pa.int32()), ("k", pa.int64()),
                    ("h", pa.int64()), ("a", pa.int32()), ("text", pa.string())])
 SPANS_DDL = "first long, salt int, role int, k long, h long, a int, text string"
-FOUND = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+JUDGED = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("words", pa.string())])
 KEPT = pa.schema([("k", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 

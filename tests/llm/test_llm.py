@@ -240,7 +240,14 @@ def test_jaccard_against_all_pairs(spark, num, size, monkeypatch):
         assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
-def test_substring_against_brute_force(spark):
+@pytest.mark.parametrize("bits", [64, 12, 3])
+def test_substring_against_brute_force(spark, monkeypatch, bits):
+    """Also with hashes of so few bits that different windows share them all the time."""
+    whole = substring.grams
+    monkeypatch.setattr(substring, "grams", lambda h, n: whole(h, n) & np.uint64((1 << bits) - 1))
+    second = []
+    again = substring.repeated_by_words
+    monkeypatch.setattr(substring, "repeated_by_words", lambda *args: second.append(1) or again(*args))
     rng = random.Random(5)
     shared = [[rng.choice("abcdefgh") + str(rng.randint(0, 40)) for _ in range(rng.randint(13, 60))] for _ in range(6)]
     texts = []
@@ -258,6 +265,7 @@ def test_substring_against_brute_force(spark):
         want[i] = (len(w), keep.count(False), " ".join(x for x, y in zip(w, keep) if y))
     got = {r[0]: tuple(r)[1:] for r in substring.remove_repeats(docs).collect()}
     assert got == want and sum(v[1] for v in want.values()) > 500
+    assert bool(second) == (bits < 64)  # no second pass over the texts unless hashes clash
 
 
 def test_lm_beats_word_frequencies(spark):
