@@ -218,9 +218,9 @@ def pair_count(spark, sf):
         F.col("text").isNotNull()).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
-MIX_SQL = f"""WITH {k.corpus(8, 80)}, {spelling_sql(1100, 43)}, mixed AS (SELECT * FROM {PAIRS_SQL}
- ORDER BY {k.draw(k.digest(43, 'pair_id', 'sample'))}, pair_id LIMIT 200),
- pairs AS (SELECT * FROM spelling UNION ALL (SELECT * FROM ({cardinal_sql("SELECT 300", 43)}))
+MIX_SQL = f"""WITH {k.corpus(8, 80)}, {spelling_sql(5000, 43)}, mixed AS (SELECT * FROM {PAIRS_SQL}
+ ORDER BY {k.draw(k.digest(43, 'pair_id', 'sample'))}, pair_id LIMIT 5000),
+ pairs AS (SELECT * FROM spelling UNION ALL (SELECT * FROM ({cardinal_sql("SELECT 5000", 43)}))
  UNION ALL SELECT * FROM mixed)"""
 
 
@@ -228,9 +228,9 @@ def mix_parts(spark: SparkSession, sf: str) -> list[DataFrame]:
     pid = F.col("pair_id")
     passed = g.pass_through_pairs(ids(spark, sf), SEED)
     return [
-        g.spelling_pairs(short_corpus(spark, sf), 1100, 43),
-        g.cardinal_pairs(ids(spark, sf), 300, 43),
-        o.sample_n(passed, 200, 43, pid, ["pair_id"]),
+        g.spelling_pairs(short_corpus(spark, sf), 5000, 43),
+        g.cardinal_pairs(ids(spark, sf), 5000, 43),
+        o.sample_n(passed, 5000, 43, pid, ["pair_id"]),
     ]
 
 
