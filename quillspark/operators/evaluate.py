@@ -53,6 +53,15 @@ def compare_variants(verdicts: DataFrame, variants: Sequence[str]) -> DataFrame:
         F.bool_or("flagged"))
 
 
+def variant_flags(verdicts: DataFrame, unnamed: str = "(none)") -> DataFrame:
+    """(case_id, variant, flagged): one row per case and variant, for any number of variants.
+
+    A NULL variant is shown as ``unnamed``. ``compare_variants`` sets a stated list side by side.
+    """
+    return verdicts.groupBy("case_id", F.coalesce("variant", F.lit(unnamed)).alias("variant")).agg(
+        F.bool_or("flagged").alias("flagged"))
+
+
 def rendered(verdicts: DataFrame) -> DataFrame:
     return verdicts.withColumns({"shown_in": shown(F.col("text"), "(empty)"),
                                  "shown_out": shown(F.col("output"), "EMPTY")})

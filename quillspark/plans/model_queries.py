@@ -174,15 +174,10 @@ def literal_suite(spark, sf):
         "source", "case_id", "category", "note", "shown_in", "shown_out")
 
 
-SHOWN = [f"src{i}" for i in range(20)]
-_SHOWN_SQL = ", ".join(f"bool_or(flagged) FILTER (source = '{n}') AS {n}" for n in SHOWN)
-
-
-@register("case_variant_cross_j6", f"""WITH {VARIANTS} SELECT case_id, {_SHOWN_SQL}
- FROM verdicts GROUP BY case_id""")
+@register("case_variant_cross_j6", f"""WITH {VARIANTS} SELECT case_id,
+ coalesce(source, '(none)') AS variant, bool_or(flagged) AS flagged FROM verdicts GROUP BY ALL""")
 def case_variant_cross(spark, sf):
-    rows = variant_rows(spark, sf).withColumnRenamed("source", "variant")
-    return e.compare_variants(rows, SHOWN)
+    return e.variant_flags(variant_rows(spark, sf).withColumnRenamed("source", "variant"))
 
 
 @register("flagged_ids_a2", f"""WITH {VARIANTS} SELECT source, coalesce(string_agg('[' ||

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as t
 from quillspark.functions.verdict import with_verdict
+from quillspark.operators import evaluate as e
 from quillspark.operators import mining as m
 from quillspark.operators import routing as r
 
@@ -121,3 +122,12 @@ def test_unpack_order(spark):
     row = m.unpack_order(df.select(m.file_order(2).alias("ord"))).first()
     assert (row.priority, row.doc_id, row.sent_idx) == (2, 5, 7)
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_variant_flags_of_any_number_of_variants(spark):
+    rows = [(case, None if n == 24 else f"v{n}", (case + n) % 3 == 0) for case in range(3) for n in range(25)]
+    df = spark.createDataFrame(rows, "case_id int, variant string, flagged boolean")
+    got = {(r.case_id, r.variant): r.flagged for r in e.variant_flags(df).collect()}
+    assert got == {(case, v or "(none)"): flagged for case, v, flagged in rows}
+    wide = {r.case_id: r for r in e.compare_variants(df, ["v0", "v23"]).collect()}
+    assert all(wide[case].v23 == got[case, "v23"] for case in range(3))
