@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import bind
 from ..functions.text import strip
 from ..operators.events import HISTORY_MAX, last_n
+from ..operators.quota import materialise
 from ..session import scratch_dir
 
 PAIR = "input string, output string"
@@ -82,47 +83,68 @@ def _ddl_struct(schema: str) -> str:
                      (part.strip().split(" ", 1) for part in schema.split(",")))
 
 
-class HistoryStore:
-    """Bounded history per key, kept as versions of a parquet folder.
+POINTER = "batch_id bigint, bucket int, buckets int"
+HISTORY_BUCKETS = 64
+_BUCKET = "history_bucket"
+
 
-    A micro-batch is merged into a new version folder and the pointer table gets one row
-    afterwards, so a lost job leaves the last version readable and a replayed batch id is
-    applied once.
+class HistoryStore:
+    """Bounded history per key, kept as versions of the buckets of a parquet folder.
+
+    Keys are dealt over ``buckets`` by hash. A micro-batch rewrites the buckets that it has keys of, into
+    a version folder of its own; all others stay as they are, so what is written follows the batch and
+    not the store. The pointer table gets a row per rewritten bucket afterwards: the last version of each
+    bucket is what counts, a lost job leaves the store readable, and a replayed batch id is applied
+    once. Choose ``buckets`` once, for the whole store; another number is refused. NULL keys are a
+    key. Batches must not have a column ``history_bucket``.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], t: str,
-                 row_id: str, n: int = HISTORY_MAX):
+                 row_id: str, n: int = HISTORY_MAX, buckets: int = HISTORY_BUCKETS):
         self.spark, self.path = spark, path.rstrip("/")
-        self.keys, self.t, self.row_id, self.n = list(keys), t, row_id, n
+        self.keys, self.t, self.row_id, self.n, self.buckets = list(keys), t, row_id, n, buckets
 
-    def version(self) -> int:
-        """Last applied batch id, -1 if there is none."""
+    def versions(self) -> dict[int | None, int]:
+        """Last batch id of each written bucket; a batch without rows stands under None."""
         try:
-            row = self.spark.read.schema("batch_id bigint").parquet(
-                f"{self.path}/pointer").agg(F.max("batch_id")).first()
+            rows = self.spark.read.schema(POINTER).parquet(f"{self.path}/pointer").groupBy("bucket").agg(
+                F.max("batch_id").alias("at"), F.bool_and(F.col("buckets") == self.buckets).alias("same")).collect()
         except AnalysisException as exc:
             if _missing(exc):
-                return -1
+                return {}
             raise
-        return -1 if row[0] is None else row[0]
+        if not all(r["same"] for r in rows):
+            raise ValueError(f"the history in {self.path} was not written with {self.buckets} buckets")
+        return {r["bucket"]: r["at"] for r in rows}  # a row per bucket
 
-    def read(self, schema=None) -> DataFrame | None:
-        at = self.version()
-        if at < 0:
-            return None
+    def version(self) -> int:
+        """Last applied batch id, -1 if there is none."""
+        return max(self.versions().values(), default=-1)
+
+    def read(self, schema=None, only: set[int] | None = None) -> DataFrame | None:
+        """All histories, or those of some buckets; None if nothing was written."""
+        paths = [f"{self.path}/v={at}/{_BUCKET}={b}" for b, at in sorted(
+            (b, at) for b, at in self.versions().items() if b is not None and (only is None or b in only))]
+        if not paths:
+            return None if schema is None or self.version() < 0 else self.spark.createDataFrame([], schema)
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(f"{self.path}/v={at}")
+        return reader.parquet(*paths)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` body."""
         if batch_id <= self.version():
             return
-        old = self.read(batch.schema)
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        batch = materialise(batch, "history-batch")
+        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # at most one row per bucket
+        old = self.read(batch.schema, touched)
         merged = batch if old is None else old.unionByName(batch)
         kept = last_n(merged, self.keys, self.t, self.row_id, self.n)
-        kept.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-        self.spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch_id")).write.mode(
-            "append").parquet(f"{self.path}/pointer")
+        if touched:
+            kept.withColumn(_BUCKET, bucket).hint("rebalance", _BUCKET).write.mode("overwrite").partitionBy(
+                _BUCKET).parquet(f"{self.path}/v={batch_id}")
+        rows = [(batch_id, b, self.buckets) for b in sorted(touched) or [None]]
+        self.spark.createDataFrame(rows, POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
 
 
 def round_trip(df: DataFrame, label: str) -> DataFrame:

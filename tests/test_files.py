@@ -51,6 +51,30 @@ def test_history_store(spark, tmp_path):
     assert sorted(r.t for r in store.read().collect()) == [3, 4, 5]
 
 
+def test_history_store_rewrites_the_touched_buckets_only(spark, tmp_path):
+    """Against a plain dictionary; a later batch of one key writes one bucket of many."""
+    schema = "user_id long, t long, event_id long"
+    store = files.HistoryStore(spark, str(tmp_path / "h"), ["user_id"], "t", "event_id", 4, buckets=16)
+    assert store.read() is None and store.version() == -1
+    want, at = {}, 0
+    for batch, users in enumerate([[*range(200), None], [7] * 6, [], [7, None, 500]]):
+        rows = [(u, at + i, at + i) for i, u in enumerate(users)]
+        at += len(rows)
+        for u, t, _ in rows:
+            want[u] = [*want.get(u, []), t][-4:]
+        df = spark.createDataFrame(rows, schema)
+        store.apply(df, batch)
+        store.apply(df, batch)
+        got = {}
+        for r in store.read(df.schema).orderBy("t").collect():
+            got.setdefault(r.user_id, []).append(r.t)
+        assert got == want and store.version() == batch
+    written = [len(list((tmp_path / "h" / f"v={b}").glob("history_bucket=*"))) for b in (0, 1, 3)]
+    assert written[0] == 16 and written[1] == 1 and written[2] <= 3
+    with pytest.raises(ValueError):
+        files.HistoryStore(spark, str(tmp_path / "h"), ["user_id"], "t", "event_id", 4, buckets=8).read()
+
+
 def test_settings(spark):
     rows = [(1, '{"hotkey": "f9", "llm_word_threshold": 7, "theme": 1}'), (2, "{oops"), (3, None)]
     df = spark.createDataFrame(rows, "k int, config string")
