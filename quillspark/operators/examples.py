@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,37 +12,28 @@ from pyspark.sql import types as T
 
 from ..functions import draws as d
 from ..functions.text import prompt, words
-from .quota import materialise
+from .hooks import worker_model
+from .quota import materialise, with_index
 
 IGNORE = -100
 PAD_ID, EOS_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2, 3
 BATCH = 4
 SHARDS = 16
+CELL_ROWS = 1_000_000
 HEAD_TOKENS = 50_000
 
 
 def vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(token, token_id) ranked by (count desc, token), without a single-task sort.
+    """(token, n, token_id) ranked by (count desc, token), without a single-task sort.
 
-    Ranks come from prefix sums: over the distinct counts (far fewer than tokens, the only
-    thing one task orders), then over the leading characters of equally frequent tokens;
-    only tokens sharing both are sorted together.
+    The rank is a position over ranges of (count, token) cut at sampled points, so equally frequent
+    tokens, however many and whatever they begin with, are dealt over tasks too.
     """
     counted = (texts.select(F.explode(words(F.col(text))).alias("token"))
                .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-               .withColumn("_head", F.substring("token", 1, 3)))
-    cells = counted.groupBy("n", "_head").agg(F.count(F.lit(1)).alias("_m"))
-    levels = cells.groupBy("n").agg(F.sum("_m").alias("_m"))
-    past = (Window.unboundedPreceding, -1)
-    above = levels.select("n", F.coalesce(F.sum("_m").over(
-        Window.orderBy(F.col("n").desc()).rowsBetween(*past)), F.lit(0)).alias("_above"))
-    before = cells.select("n", "_head", F.coalesce(F.sum("_m").over(
-        Window.partitionBy("n").orderBy("_head").rowsBetween(*past)), F.lit(0)).alias("_before"))
-    offsets = before.join(above, "n").select(
-        "n", "_head", (F.col("_above") + F.col("_before")).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("n", "_head").orderBy("token"))
-    return counted.join(offsets, ["n", "_head"]).select(
-        "token", "n", (F.lit(FIRST_ID - 1) + F.col("_off") + local).cast("int").alias("token_id"))
+               .withColumn("_key", F.struct((-F.col("n")).alias("n"), "token")))
+    return with_index(counted, "_key", "_rank").select(
+        "token", "n", (F.lit(FIRST_ID) + F.col("_rank")).cast("int").alias("token_id"))
 
 
 def encode(pairs: DataFrame, vocab: DataFrame, row_id: str = "pair_id") -> DataFrame:
@@ -75,18 +67,19 @@ def encode(pairs: DataFrame, vocab: DataFrame, row_id: str = "pair_id") -> DataF
     return rows.select(row_id, side(0).alias("prompt_ids"), side(1).alias("completion_ids"))
 
 
-def encode_with(pairs: DataFrame, load: Callable[[], Callable[[str], list[int]]]) -> DataFrame:
-    """Caller's tokenizer as an Arrow-batched UDF; ``load`` runs once per Python worker."""
-    cache: list = []
+def encode_with(pairs: DataFrame, load: Callable[[], Callable[[pd.Series], Iterable[list[int]]]]) -> DataFrame:
+    """Caller's tokenizer, called once per Arrow batch of texts; ``load`` runs once per Python worker.
+
+    NULL texts count as empty.
+    """
+    token = uuid.uuid4().hex
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pd.Series) -> pd.Series:
-        if not cache:
-            cache.append(load())
-        return texts.map(cache[0])
+        return pd.Series(list(worker_model(token, load)(texts)), index=texts.index, dtype=object)
 
-    return pairs.select("*", ids(prompt(F.col("input"))).alias("prompt_ids"),
-                        ids(F.col("output")).alias("completion_ids"))
+    return pairs.select("*", ids(prompt(F.coalesce("input", F.lit("")))).alias("prompt_ids"),
+                        ids(F.coalesce("output", F.lit(""))).alias("completion_ids"))
 
 
 def examples(encoded: DataFrame, max_len: int = 256, eos_id: int | None = EOS_ID,
@@ -105,18 +98,28 @@ def examples(encoded: DataFrame, max_len: int = 256, eos_id: int | None = EOS_ID
 
 
 def batch_numbers(rows: DataFrame, seed: int, row_id: str = "pair_id", shards: int = SHARDS,
-                  batch: int = BATCH) -> DataFrame:
+                  batch: int = BATCH, bound: int = CELL_ROWS) -> DataFrame:
     """Random (shard, batch) per row, ``batch`` rows each; at most one short batch a shard.
 
-    Shards bound what one task sorts: raise them with the table. A row's shard depends on
-    its id and their number only, so adding rows moves no other row to another shard.
+    A row's shard depends on its id and their number only, so adding rows moves no other row to another
+    shard. Shards fix the result, not the work: a shard is cut into ranges of the draw of about
+    ``bound`` rows, numbered by a task each, and a row's place in the shard is its place in the range plus
+    the rows of the ranges before. The numbers are the same for any ``bound``.
     """
-    dig = d.digest(seed, F.col(row_id), "batch")
-    keyed = rows.select("*", d.index(dig, shards, 0).alias("shard"),
-                        d.draw(dig, 1).alias("_draw"))
-    rn = F.row_number().over(Window.partitionBy("shard").orderBy("_draw", row_id))
-    return keyed.select("*", F.floor((rn - 1) / batch).cast("int").alias("batch"),
-                        ((rn - 1) % batch).cast("int").alias("slot")).drop("_draw")
+    dig = d.digest(seed, F.coalesce(F.col(row_id).cast("string"), F.lit("")), "batch")
+    keyed = materialise(rows.select("*", d.index(dig, shards, 0).alias("shard"), d.draw(dig, 1).alias("_draw")),
+                        "batch-rows")
+    ranges = max(1, -(-keyed.count() // (shards * bound)))
+    keyed = keyed.withColumn("_range", F.floor(F.col("_draw") * ranges / d.DRAW_SPAN))
+    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keyed.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    # One row per range: of a checked size up to many billions of rows.
+    offsets = F.broadcast(offsets) if shards * ranges <= 100_000 else offsets
+    own = F.row_number().over(Window.partitionBy("shard", "_range").orderBy("_draw", row_id)) - 1
+    placed = keyed.withColumn("_own", own).join(offsets, ["shard", "_range"]).withColumn("_rn", F.col("_own") + F.col("_off"))
+    return placed.select(*rows.columns, "shard", F.floor(F.col("_rn") / batch).cast("int").alias("batch"),
+                         (F.col("_rn") % batch).cast("int").alias("slot"))
 
 
 def padded_batches(rows: DataFrame, seed: int, pad_id: int = PAD_ID, row_id: str = "pair_id",

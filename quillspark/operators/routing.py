@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as t
+from ..session import scratch_dir
+from .hooks import answers, worker_model
 
 # texts, hints -> rewritten texts; called once per Arrow batch
 Rewriter = Callable[[pd.Series, pd.Series], pd.Series]
@@ -34,36 +37,28 @@ def fallback(rewritten: Column, fast: Column) -> Column:
 
 def rewrite(df: DataFrame, load: Callable[[], Rewriter], text: str = "text",
             hint: str = "hint", isolate_errors: bool = False) -> DataFrame:
-    """Append ``rewritten`` through ``mapInPandas``; ``load`` runs once per Python worker task.
+    """Append ``rewritten`` through ``mapInPandas``; ``load`` runs once per Python worker.
 
-    A batch that fails is retried row by row. A failing row, like an empty answer, falls
-    back to its raw text; with ``isolate_errors`` it gets NULL text and an ``error``.
+    A batch that fails is cut in halves until the failing rows are found. A failing row, like an
+    empty answer, falls back to its raw text; with ``isolate_errors`` it gets NULL text and an ``error``.
     """
     extra = [T.StructField("rewritten", T.StringType())]
     if isolate_errors:
         extra.append(T.StructField("error", T.StringType()))
     schema = T.StructType(df.schema.fields + extra)
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = load()
         for pdf in batches:
-            texts, hints = pdf[text], pdf[hint]
-            errors = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            try:
-                got = fn(texts, hints).astype(object)
-            except Exception:
-                got = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-                for i in pdf.index:
-                    try:
-                        got[i] = fn(texts.loc[[i]], hints.loc[[i]]).iloc[0]
-                    except Exception as exc:
-                        errors[i] = f"{type(exc).__name__}: {exc}"
-            empty = (got.isna() | (got == "")) & errors.isna()
-            got = got.where(~empty, texts)
+            texts = pdf[text]
+            said, errors = (pd.Series(x, index=pdf.index, dtype=object)
+                            for x in answers(worker_model(token, load), texts, pdf[hint]))
+            empty = (said.isna() | (said == "")) & errors.isna()
+            said = said.where(~empty, texts)
             if isolate_errors:
-                yield pdf.assign(rewritten=got, error=errors)
+                yield pdf.assign(rewritten=said, error=errors)
             else:
-                yield pdf.assign(rewritten=got.where(errors.isna(), texts))
+                yield pdf.assign(rewritten=said.where(errors.isna(), texts))
 
     return df.mapInPandas(run, schema)
 
@@ -86,12 +81,16 @@ def format_transcripts(df: DataFrame, load: Callable[[], Rewriter], threshold: i
                        text: str = "text", hint: str = "hint") -> DataFrame:
     """Cleaned ``final`` text per transcript.
 
-    Only escalated rows enter the Python stage; the rest never leave the JVM. The two
-    branches are unioned, so there is no join and no shuffle.
+    The rows are routed once and stored by tier, so what feeds them is not computed again for
+    the second tier. Only escalated rows enter the Python stage; the rest never leave the
+    JVM. The two branches are unioned: no join, no shuffle.
     """
     routed = route(df, threshold, backend, available, text)
-    fast = routed.where(F.col("tier") == "fast").withColumn("final", F.col("fast"))
-    slow = rewrite(routed.where(F.col("tier") == "rewrite"), load, text, hint)
+    path = scratch_dir(df.sparkSession, "routed")
+    routed.write.partitionBy("tier").parquet(path)
+    stored = df.sparkSession.read.schema(routed.schema).parquet(path).select(*routed.columns)
+    fast = stored.where(F.col("tier") == "fast").withColumn("final", F.col("fast"))
+    slow = rewrite(stored.where(F.col("tier") == "rewrite"), load, text, hint)
     slow = slow.withColumn("final", fallback(F.col("rewritten"), F.col("fast")))
     return fast.unionByName(slow.drop("rewritten"))
 

@@ -30,6 +30,6 @@ def failing_rewriter():
 
 def length_tokenizer():
     """One id per white-space token: its length in characters."""
-    def run(text: str) -> list[int]:
-        return [len(w) for w in text.split()]
+    def run(texts: pd.Series) -> list[list[int]]:
+        return [[len(w) for w in words] for words in texts.str.split()]
     return run
