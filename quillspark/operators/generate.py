@@ -15,7 +15,7 @@ from ..functions import draws as d
 from ..functions import text as t
 from ..functions import vocab as v
 from .mining import GROUPS, spelling_sources
-from .quota import first_k, materialise, shuffled, smallest_k
+from .quota import first_k, materialise, shuffled, smallest_k, with_index
 
 
 def _fill(template: Column, slots: dict[str, Column]) -> Column:
@@ -93,22 +93,31 @@ def cardinal_pairs(ids: DataFrame, target: int, seed: int, row_id: str = "id",
                    attempts: int = 3) -> DataFrame:
     """First ``target`` usable pairs of up to ``attempts`` draws per id, by attempt.
 
-    Round r of an id comes after all ids of round r-1. Ids must be below 2^40.
+    Round r of an id comes after all ids of round r-1, and runs only if the rounds before left the
+    quota open. Ids may be any numbers, NULL (first) too: an attempt is named by round and id in one
+    number while the id is below 2^40, by both of them otherwise, so no two share a name.
+    Equal ids make equal pairs.
     """
-    rounds = F.array(*[F.lit(r << 40) for r in range(attempts)])
-    tries = ids.select(F.explode(F.transform(
-        rounds, lambda r: r + F.col(row_id))).alias("attempt"))
-    a = F.col("attempt")
-    seq = d.bind(tries, clean=cardinal_sequence(seed, a))
-    cap = t.capitalise_first(F.col("clean"))
-    seeded = F.when(d.gate(d.digest(seed, a, "cardcap"), 0.25), cap).otherwise(F.col("clean"))
-    pairs = d.bind(seq, input=c.corrupt_guarded(seeded, seed, a),
-                   output=F.concat(cap, F.lit("."))).drop("clean")
-    usable = pairs.where(t.has_signal(F.col("input"), F.col("output")))
-    picked = smallest_k(materialise(usable, "cardinal-tries"), target, "attempt",
-                        hi=attempts * (1 << 40))
-    return picked.select(F.concat_ws(":", F.lit("cardinal"), a).alias("pair_id"),
-                         F.lit("cardinal").alias("category"), "input", "output")
+    i, out, missing = F.col(row_id), [], target
+    for r in range(attempts):
+        own = F.concat_ws(":", F.lit(r), F.coalesce(i.cast("string"), F.lit("NULL")))
+        name = F.when(i.between(0, (1 << 40) - 1), (i + F.lit(r << 40)).cast("string")).otherwise(own)
+        tries = d.bind(ids.select(row_id), attempt=name)
+        a = F.col("attempt")
+        seq = d.bind(tries, clean=cardinal_sequence(seed, a))
+        cap = t.capitalise_first(F.col("clean"))
+        seeded = F.when(d.gate(d.digest(seed, a, "cardcap"), 0.25), cap).otherwise(F.col("clean"))
+        pairs = d.bind(seq, input=c.corrupt_guarded(seeded, seed, a), output=F.concat(cap, F.lit("."))).drop("clean")
+        usable = materialise(pairs.where(t.has_signal(F.col("input"), F.col("output"))), "cardinal-tries")
+        got = usable.count()
+        if got > missing:
+            usable = with_index(usable, row_id, "_idx").where(F.col("_idx") < missing)
+        out.append(usable.select(F.concat_ws(":", F.lit("cardinal"), "attempt").alias("pair_id"),
+                                 F.lit("cardinal").alias("category"), "input", "output"))
+        missing -= min(got, missing)
+        if missing == 0:
+            break
+    return reduce(DataFrame.unionByName, out)
 
 
 def real_text_pairs(sentences: DataFrame, need: int, seed: int, row_id: str = "ord",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from ..operators import mining as m
 from ..operators import quota as o
 from ..sources.tables import small_table, table
 from . import sqlkit as k
-from .text_queries import (PASS_SQL, SEED, cardinal_sql, corpus, docs, good, ids, spelling_sql)
+from .text_queries import (PASS_SQL, PLANTED_CORPUS, SEED, cardinal_sql, corpus, docs, good, ids,
+                           planted_corpus, spelling_sql)
 
 QUERIES: dict[str, tuple] = {}
 TARGET = 9000
@@ -29,14 +32,6 @@ def register(name: str, sql: str | None):
 PRIORITY = "CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END"
 
 
-def short_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """The corpus of the spelling stage, whose sentences have at most 80 words."""
-    return m.mine_corpus([docs(spark, sf)], max_words=m.SPELLING_MAX_WORDS)
-
-
-SHORT = k.corpus(8, m.SPELLING_MAX_WORDS)
-
-
 def three_sources(spark: SparkSession, sf: str) -> list[DataFrame]:
     base = docs(spark, sf, "source")
     src = F.col("source")
@@ -77,11 +72,11 @@ def targets(spark: SparkSession) -> DataFrame:
     return small_table(spark, SPELLING_TARGETS, "grp string, correct string, typo string")
 
 
-@register("word_match_j2", f"""WITH {SHORT} SELECT ord, grp, correct, typo FROM
+@register("word_match_j2", f"""WITH {PLANTED_CORPUS} SELECT ord, grp, correct, typo FROM
  (SELECT ord, unnest(list_distinct(regexp_extract_all(sentence, '[\\pL\\pN_]+'))) AS correct
  FROM corpus) JOIN (VALUES {TARGET_VALUES}) v(grp, correct, typo) USING (correct)""")
 def word_match(spark, sf):
-    return m.match_words(short_corpus(spark, sf), targets(spark)).select("ord", "grp", "correct", "typo")
+    return m.match_words(planted_corpus(spark, sf), targets(spark)).select("ord", "grp", "correct", "typo")
 
 
 @register("source_dedupe_j3", f"WITH {k.corpus(priority=PRIORITY)} SELECT ord, sentence FROM corpus")
@@ -98,19 +93,19 @@ def incremental_dedupe(spark, sf):
     return m.unseen(fresh, seen)
 
 
-@register("any_target_semi_j4", f"""WITH {SHORT} SELECT ord FROM corpus WHERE
+@register("any_target_semi_j4", f"""WITH {PLANTED_CORPUS} SELECT ord FROM corpus WHERE
  list_has_any(regexp_extract_all(sentence, '[\\pL\\pN_]+'),
  {k.strings([c for _, c, _ in SPELLING_TARGETS])})""")
 def any_target_semi(spark, sf):
-    return short_corpus(spark, sf).where(m.target_word(F.col("sentence"))).select("ord")
+    return planted_corpus(spark, sf).where(m.target_word(F.col("sentence"))).select("ord")
 
 
 # --- quotas and windows ------------------------------------------------------------------
 
-@register("first_per_group_w3", f"""WITH {SHORT}, {spelling_sql(5000, 43)}
+@register("first_per_group_w3", f"""WITH {PLANTED_CORPUS}, {spelling_sql(5000, 43)}
  SELECT grp, ord FROM src""")
 def first_per_group(spark, sf):
-    return m.spelling_sources(short_corpus(spark, sf), 5000 // len(m.GROUPS) + 50).select("grp", "ord")
+    return m.spelling_sources(planted_corpus(spark, sf), 5000 // len(m.GROUPS) + 50).select("grp", "ord")
 
 
 @register("large_group_quota_w3", f"""SELECT lang, source, doc_id, sent_idx FROM (WITH {k.good_sents()}
@@ -180,7 +175,7 @@ def distinct_sentences(spark, sf):
         "ord", "sentence", "n_chars")
 
 
-GROUP_COUNT_SQL = f"""{SHORT}, hits AS (SELECT DISTINCT ord, grp FROM
+GROUP_COUNT_SQL = f"""{PLANTED_CORPUS}, hits AS (SELECT DISTINCT ord, grp FROM
  (SELECT ord, unnest(regexp_extract_all(sentence, '[\\pL\\pN_]+')) AS correct FROM corpus)
  JOIN (VALUES {TARGET_VALUES}) v(grp, correct, typo) USING (correct)), counts AS (
  SELECT grp, count(ord) AS n FROM (SELECT DISTINCT grp FROM (VALUES {TARGET_VALUES})
@@ -189,12 +184,15 @@ GROUP_COUNT_SQL = f"""{SHORT}, hits AS (SELECT DISTINCT ord, grp FROM
 
 @register("group_source_counts_a9", f"WITH {GROUP_COUNT_SQL} SELECT grp, n FROM counts")
 def group_source_counts(spark, sf):
-    return m.group_counts(m.spelling_matches(short_corpus(spark, sf)))
+    return m.group_counts(m.spelling_matches(planted_corpus(spark, sf)))
 
 
-@register("all_quotas_met_a10", f"WITH {GROUP_COUNT_SQL} SELECT bool_and(n >= 454) AS all_met FROM counts")
+@register("all_quotas_met_a10", f"""WITH {GROUP_COUNT_SQL} SELECT quota, bool_and(n >= quota)
+ AS all_met FROM counts, (VALUES (1), (20), (454), (5000)) q(quota) GROUP BY quota""")
 def all_quotas_met(spark, sf):
-    return m.all_quotas_met(m.group_counts(m.spelling_matches(short_corpus(spark, sf))), 454)
+    counts = o.materialise(m.group_counts(m.spelling_matches(planted_corpus(spark, sf))), "counts")
+    return reduce(DataFrame.unionByName, [
+        m.all_quotas_met(counts, quota).withColumn("quota", F.lit(quota)) for quota in (1, 20, 454, 5000)])
 
 
 # --- pair sets -----------------------------------------------------------------------------
@@ -218,7 +216,7 @@ def pair_count(spark, sf):
         F.col("text").isNotNull()).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
-MIX_SQL = f"""WITH {k.corpus(8, 80)}, {spelling_sql(5000, 43)}, mixed AS (SELECT * FROM {PAIRS_SQL}
+MIX_SQL = f"""WITH {PLANTED_CORPUS}, {spelling_sql(5000, 43)}, mixed AS (SELECT * FROM {PAIRS_SQL}
  ORDER BY {k.draw(k.digest(43, 'pair_id', 'sample'))}, pair_id LIMIT 5000),
  pairs AS (SELECT * FROM spelling UNION ALL (SELECT * FROM ({cardinal_sql("SELECT 5000", 43)}))
  UNION ALL SELECT * FROM mixed)"""
@@ -228,7 +226,7 @@ def mix_parts(spark: SparkSession, sf: str) -> list[DataFrame]:
     pid = F.col("pair_id")
     passed = g.pass_through_pairs(ids(spark, sf), SEED)
     return [
-        g.spelling_pairs(short_corpus(spark, sf), 5000, 43),
+        g.spelling_pairs(planted_corpus(spark, sf), 5000, 43),
         g.cardinal_pairs(ids(spark, sf), 5000, 43),
         o.sample_n(passed, 5000, 43, pid, ["pair_id"]),
     ]

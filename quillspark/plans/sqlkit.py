@@ -357,26 +357,26 @@ def cardinal_sequence(seed, rid):
 
 # --- shared tables -----------------------------------------------------------------
 
-def sents(where: str = "") -> str:
-    """CTE ``sents``: every sentence of ``documents``."""
+def sents(source: str = "documents") -> str:
+    """CTE ``sents``: every sentence of ``documents`` or another table like it."""
     para = "trim(replace(text, chr(10), ' '))"
     parts = (f"string_split(regexp_replace({para}, '([.!?])\\s+([A-Z])', "
              f"'\\1{ON}\\2', 'g'), '{ON}')")
     return (f"sents AS (SELECT doc_id, source, lang, sent_idx::INT AS sent_idx, trim(s) AS "
             f"sentence FROM (SELECT doc_id, source, lang, unnest(l) AS s, "
             f"unnest(range(len(l))) AS sent_idx FROM (SELECT doc_id, source, lang, {parts} AS l "
-            f"FROM documents {where})) WHERE trim(s) <> '')")
+            f"FROM {source})) WHERE trim(s) <> '')")
 
 
-def good_sents(lo: int = 8, hi: int = 120) -> str:
+def good_sents(lo: int = 8, hi: int = 120, source: str = "documents") -> str:
     """CTEs ``sents`` and ``good``; ``sid`` is the sentence id as text."""
-    return (f"{sents()}, good AS MATERIALIZED (SELECT doc_id, source, lang, sent_idx, sentence, "
+    return (f"{sents(source)}, good AS MATERIALIZED (SELECT doc_id, source, lang, sent_idx, sentence, "
             f"doc_id || ':' || sent_idx AS sid FROM sents WHERE {good('sentence', lo, hi)})")
 
 
-def corpus(lo: int = 8, hi: int = 120, priority: str = "0") -> str:
+def corpus(lo: int = 8, hi: int = 120, priority: str = "0", source: str = "documents") -> str:
     """CTEs up to ``corpus(ord, sentence)``: the first occurrence of every good sentence."""
-    return (f"{good_sents(lo, hi)}, corpus AS MATERIALIZED (SELECT min((({priority}) * "
+    return (f"{good_sents(lo, hi, source)}, corpus AS MATERIALIZED (SELECT min((({priority}) * "
             f"1099511627776::BIGINT + doc_id) * 1048576::BIGINT + sent_idx) AS ord, sentence "
             f"FROM good GROUP BY sentence)")
 

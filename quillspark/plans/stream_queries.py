@@ -15,7 +15,7 @@ from . import sqlkit as k
 from .event_queries import (DEBOUNCE, E, HISTORY_SQL, HOLD_SQL, RESET, REVIEW, REVIEW_SQL,
                             SESSION_SQL, debounced, review_sides)
 from .stand_in import failing_rewriter
-from .text_queries import SEED, spelling_sql, turns
+from .text_queries import PLANTED_CORPUS, SEED, planted, spelling_sql, turns
 
 QUERIES: dict[str, tuple] = {}
 DELAY, DELAY_US = "1 hour", 3_600_000_000
@@ -148,11 +148,11 @@ def stream_collect(spark, sf):
 
 
 # One file is one batch here; the early stop over several batches is covered by the tests.
-@register("stream_mining_st10", f"""WITH {k.corpus(8, 80)}, {spelling_sql(5000, 43)}
+@register("stream_mining_st10", f"""WITH {PLANTED_CORPUS}, {spelling_sql(5000, 43)}
  SELECT grp, ord, sentence FROM src""")
 def stream_mining(spark, sf):
     rows = s.source(spark, f"{sf}/documents.parquet", 1).select("doc_id", "text")
-    return s.run_mining(rows, 504)
+    return s.run_mining(planted(rows), 504)
 
 
 @register("stream_isolation_st11", f"""WITH {TURNS} SELECT conv_id, turn,

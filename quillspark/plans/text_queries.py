@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import corrupt as c
 from ..functions import draws as d
 from ..functions import text as t
-from ..functions.vocab import SPELLING_TARGETS
+from ..functions.vocab import HOMOPHONES, MISSPELLINGS, SPELLING_TARGETS
 from ..operators import generate as g
 from ..operators import mining as m
 from ..operators import routing as r
@@ -46,6 +46,34 @@ def dirty(spark: SparkSession, sf: str) -> DataFrame:
     return d.bind(good(spark, sf), dirty=c.insert_fillers(S(), SEED, SID()))
 
 
+# Every document gets one more sentence with a drawn target word and a drawn misspelt word or homophone:
+# the prose of the tables holds few of them, and rules that no row meets prove nothing.
+CORRECT = [word for _, word, _ in SPELLING_TARGETS]
+TYPOS = [typo for _, _, typo in SPELLING_TARGETS]
+RULE_WORDS = list(dict.fromkeys([w for group in HOMOPHONES for w in group] + [w for w, _ in MISSPELLINGS]))
+
+
+def planted(documents: DataFrame) -> DataFrame:
+    """Documents with the planted sentence behind their text; NULL texts stay NULL."""
+    dig = d.digest(SEED, F.col("doc_id"), "plant")
+    more = F.concat(F.lit("\nSomebody wrote "), d.choice(CORRECT, dig, 0), F.lit(" and also "),
+                    d.choice(RULE_WORDS, dig, 1), F.lit(" while reading report "), "doc_id", F.lit(" aloud."))
+    return documents.withColumn("text", F.concat("text", more))
+
+
+_PLANT = k.digest(SEED, "doc_id", "plant")
+PLANTED = (f"planted AS (SELECT doc_id, source, lang, text || chr(10) || 'Somebody wrote ' || "
+           f"{k.choice(CORRECT, _PLANT, 0)} || ' and also ' || {k.choice(RULE_WORDS, _PLANT, 1)} || "
+           f"' while reading report ' || doc_id || ' aloud.' AS text FROM documents)")
+
+
+def good_planted(spark: SparkSession, sf: str) -> DataFrame:
+    return d.bind(m.good_sentences(planted(docs(spark, sf))), sid=F.concat_ws(":", "doc_id", "sent_idx"))
+
+
+GOOD_PLANTED = f"{PLANTED}, {k.good_sents(source='planted')}"
+
+
 DIRTY = (f"{k.good_sents()}, dirt AS MATERIALIZED (SELECT *, "
          f"{k.insert_fillers('sentence', SEED, 'sid')} AS dirty FROM good)")
 
@@ -120,10 +148,23 @@ def cardinal_only(spark, sf):
         "*", t.cardinal_only(F.col("seq")).alias("guarded"))
 
 
-@register("any_typo_p7", f"""WITH {k.good_sents()} SELECT sid, {k.has_any_typo('typed')} AS has_typo
- FROM (SELECT sid, {k.spelling_errors('sentence', SEED, 'sid')} AS typed FROM good)""")
+# The planted word of half of the documents, misspelt in each of their sentences that has it.
+_FORCE = k.digest(SEED, "doc_id", "c9")
+FORCED = (f"CASE WHEN {k.gate(_FORCE, 0.5)} THEN CASE {k.choice(CORRECT, _PLANT, 0)} " + " ".join(
+    f"WHEN {k.q(a)} THEN {k.replace_first('sentence', a, b)}" for a, b in zip(CORRECT, TYPOS))
+          + " END ELSE sentence END")
+
+
+def forced():
+    dig = d.digest(SEED, F.col("doc_id"), "plant")
+    typed = c.force_typo(S(), d.choice(CORRECT, dig, 0), d.choice(TYPOS, dig, 0))
+    return F.when(d.gate(d.digest(SEED, F.col("doc_id"), "c9"), 0.5), typed).otherwise(S())
+
+
+@register("any_typo_p7", f"""WITH {GOOD_PLANTED} SELECT sid, {k.has_any_typo('typed')} AS has_typo
+ FROM (SELECT sid, {FORCED} AS typed FROM good)""")
 def any_typo(spark, sf):
-    return good(spark, sf).select("sid", c.spelling_errors(S(), SEED, SID()).alias("typed")).select(
+    return good_planted(spark, sf).select("sid", forced().alias("typed")).select(
         "sid", t.has_any_typo(F.col("typed")).alias("has_typo"))
 
 
@@ -270,19 +311,19 @@ def segment_stitch(spark, sf):
 
 # --- corruption ------------------------------------------------------------------------
 
-def _corruption(name: str, op, sql_op):
-    @register(name, f"""WITH {k.good_sents()} SELECT sid, {sql_op('sentence', SEED, 'sid')} AS dirty
+def _corruption(name: str, op, sql_op, rows=good, ctes: str = k.good_sents()):
+    @register(name, f"""WITH {ctes} SELECT sid, {sql_op('sentence', SEED, 'sid')} AS dirty
  FROM good""")
     def run(spark, sf):
-        return good(spark, sf).select("sid", op(S(), SEED, SID()).alias("dirty"))
+        return rows(spark, sf).select("sid", op(S(), SEED, SID()).alias("dirty"))
     return run
 
 
 _corruption("insert_fillers_c1", c.insert_fillers, k.insert_fillers)
 _corruption("insert_fillers_narrow_c1b", c.insert_fillers_narrow, k.insert_fillers_narrow)
 _corruption("remove_punctuation_c2", c.remove_punctuation, k.remove_punctuation)
-_corruption("spelling_errors_c3", c.spelling_errors, k.spelling_errors)
-_corruption("homophone_swaps_c4", c.homophone_swaps, k.homophone_swaps)
+_corruption("spelling_errors_c3", c.spelling_errors, k.spelling_errors, good_planted, GOOD_PLANTED)
+_corruption("homophone_swaps_c4", c.homophone_swaps, k.homophone_swaps, good_planted, GOOD_PLANTED)
 _corruption("number_words_c5", c.number_words, k.number_words)
 _corruption("duplicate_words_c6", c.duplicate_words, k.duplicate_words)
 _corruption("drop_words_c7", c.drop_words, k.drop_words)
@@ -292,14 +333,9 @@ _corruption("light_mix_c11", c.corrupt_light, k.corrupt_light)
 _corruption("guarded_mix_c12", c.corrupt_guarded, k.corrupt_guarded)
 
 
-@register("force_typo_c9", f"""WITH {k.good_sents()} SELECT sid, CASE WHEN
- {k.gate(k.digest(SEED, 'sid', 'c9'), 0.5)} THEN {k.replace_first('sentence', 'the', 'teh')}
- ELSE {k.replace_first('sentence', 'The', 'Teh')} END AS dirty FROM good""")
+@register("force_typo_c9", f"WITH {GOOD_PLANTED} SELECT sid, {FORCED} AS dirty FROM good")
 def force_typo(spark, sf):
-    upper = ~d.gate(d.digest(SEED, SID(), "c9"), 0.5)
-    return good(spark, sf).select("sid", c.force_typo(
-        S(), F.when(upper, "The").otherwise("the"),
-        F.when(upper, "Teh").otherwise("teh")).alias("dirty"))
+    return good_planted(spark, sf).select("sid", forced().alias("dirty"))
 
 
 @register("op_priority_sort_o4", f"""SELECT doc_id, array_to_string(
@@ -388,7 +424,14 @@ def real_text_pairs(spark, sf):
     return g.real_text_pairs(base, base.count() * 5 // 4, SEED)
 
 
-# Words of the driver's pseudo-prose stand in for the groups it does not contain.
+def planted_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus of the spelling stage over the planted documents; its sentences have at most 80 words."""
+    return m.mine_corpus([planted(docs(spark, sf))], max_words=m.SPELLING_MAX_WORDS)
+
+
+PLANTED_CORPUS = f"{PLANTED}, {k.corpus(8, 80, source='planted')}"
+
+
 def spelling_sql(target: int, seed: int) -> str:
     groups = {}
     for grp, cor, typ in SPELLING_TARGETS:
@@ -417,7 +460,6 @@ def spelling_sql(target: int, seed: int) -> str:
  QUALIFY row_number() OVER (PARTITION BY grp ORDER BY dr, pair_id) <= {quota})"""
 
 
-@register("spelling_pairs_g8",
-          f"WITH {k.corpus(8, 80)}, {spelling_sql(5000, 43)} SELECT * FROM spelling")
+@register("spelling_pairs_g8", f"WITH {PLANTED_CORPUS}, {spelling_sql(5000, 43)} SELECT * FROM spelling")
 def spelling_pairs(spark, sf):
-    return g.spelling_pairs(m.mine_corpus([docs(spark, sf)], max_words=80), 5000, 43)
+    return g.spelling_pairs(planted_corpus(spark, sf), 5000, 43)

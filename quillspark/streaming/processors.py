@@ -334,3 +334,44 @@ class BoundedHistory(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class Quota(StatefulProcessor):
+    """The first ``k`` distinct sentences of a key: batch by batch, by ``ord`` inside a batch.
+
+    State is a counter and the sentences taken, ``k`` at most. A full key reads no sentence and emits
+    nothing any more. Of a batch no more candidates are held than twice what is still open.
+    """
+
+    output = "grp string, ord bigint, sentence string"
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def init(self, handle) -> None:
+        self.count = _Value(handle, "count", "n long", (0,))
+        self.taken = handle.getListState("taken", "sentence string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        room = self.k - self.count.get()[0]
+        if room <= 0:
+            for _ in rows:
+                pass
+            return
+        taken = {sentence for (sentence,) in self.taken.get()}
+        best: dict[str, int] = {}
+        for frame in rows:
+            for at, sentence in zip(frame["ord"].tolist(), frame["sentence"].tolist()):
+                if sentence not in taken and at < best.get(sentence, at + 1):
+                    best[sentence] = at
+                    if len(best) > 2 * room:
+                        best = self._first(best, room)
+        fresh = self._first(best, room)
+        if fresh:
+            self.taken.appendList([(sentence,) for sentence in fresh])
+            self.count.set(self.k - room + len(fresh))
+            yield pd.DataFrame({"grp": key[0], "ord": list(fresh.values()), "sentence": list(fresh)})
+
+    @staticmethod
+    def _first(best: dict[str, int], room: int) -> dict[str, int]:
+        return dict(heapq.nsmallest(room, best.items(), key=lambda kv: (kv[1], kv[0])))

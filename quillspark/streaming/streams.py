@@ -6,17 +6,17 @@ from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import mining as m
 from ..operators import routing as r
-from ..operators.quota import first_k
 from ..session import ROCKSDB, scratch_dir
 from ..sources.files import STAMP, HistoryStore
 from . import processors
-from .processors import AutoReset, BoundedHistory, Debounce, HoldPairs, Review, Toggle
+from .processors import AutoReset, BoundedHistory, Debounce, HoldPairs, Quota, Review, Toggle
 
 # Python workers get the processors by value, so they need not import this package.
 cloudpickle.register_pickle_by_value(processors)
@@ -196,43 +196,57 @@ def run_history_files(stream: DataFrame, n: int, path: str | None = None) -> Dat
     return store.read(stream.schema)
 
 
+def mining_stream(stream: DataFrame, per_group: int, cells: int = 32) -> DataFrame:
+    """Sentences taken per spelling group, at most ``per_group`` each, as they come in.
+
+    Two stateful steps. The first runs per group and cell (hash of the sentence), so that a
+    group with a third of all hits is dealt over ``cells`` tasks; what the group takes is among the first
+    ``per_group`` of a cell, so a cell never lets more through in its whole life, and the second step, per
+    group, gets ``cells * per_group`` rows of a group at most. ``stream`` has doc_id and text.
+    """
+    found = m.good_sentences(stream, max_words=m.SPELLING_MAX_WORDS).select(m.file_order().alias("ord"), "sentence")
+    hits = m.spelling_matches(found).select(
+        "grp", F.pmod(F.xxhash64("sentence"), F.lit(cells)).alias("cell"), "ord", "sentence")
+    rule = Quota(per_group)
+    some = hits.groupBy("grp", "cell").transformWithStateInPandas(
+        statefulProcessor=rule, outputStructType=rule.output, outputMode="Append", timeMode="None")
+    return _stateful(some, "grp", Quota(per_group))
+
+
 def run_mining(stream: DataFrame, per_group: int, groups: Sequence[str] = tuple(m.GROUPS),
-               path: str | None = None) -> DataFrame:
-    """Mine spelling sources batch by batch and stop once every group has its quota.
+               path: str | None = None, cells: int = 32) -> DataFrame:
+    """Mine spelling sources until every group of ``groups`` has its quota or the data ends.
 
-    Only the per-group counts reach the driver. ``stream`` has doc_id and text.
+    A batch that is run again overwrites its own folder. Only the per-group counts reach the driver.
     """
     spark = stream.sparkSession
     out = path or scratch_dir(spark, "mined")
-    schema = "grp string, ord bigint, sentence string"
     full: list[bool] = []
 
     def add(batch: DataFrame, batch_id: int) -> None:
         if full:
             return
-        found = m.good_sentences(batch, max_words=m.SPELLING_MAX_WORDS).select(m.file_order().alias("ord"), "sentence")
-        hits = m.spelling_matches(m.first_occurrence(found)).select("grp", "ord", "sentence")
-        if batch_id:
-            old = spark.read.schema(schema).parquet(f"{out}/*")
-            hits = hits.join(old.select("grp", "sentence"), ["grp", "sentence"], "left_anti")
-        fresh = first_k(hits, per_group, [F.col("ord")], ["grp"])
-        fresh.select("grp", "ord", "sentence").write.mode("overwrite").parquet(
-            f"{out}/{batch_id:09d}")
-        counts = spark.read.schema(schema).parquet(f"{out}/*").groupBy("grp").count()
+        batch.write.mode("overwrite").parquet(f"{out}/{batch_id:09d}")
+        counts = spark.read.schema(Quota.output).parquet(f"{out}/*").groupBy("grp").count()
         got = {row["grp"]: row["count"] for row in counts.collect()}
         if all(got.get(g, 0) >= per_group for g in groups):
             full.append(True)
 
     base = scratch_dir(spark, "mining")
-    query = (stream.writeStream.foreachBatch(add)
-             .option("checkpointLocation", f"{base}-checkpoint")
-             .trigger(availableNow=True).start())
-    while not query.awaitTermination(1):
-        if full:
-            query.stop()
-            break
-    mined = spark.read.schema(schema).parquet(f"{out}/*")
-    return first_k(mined, per_group, [F.col("ord")], ["grp"])
+    with rocksdb_state(spark):
+        query = (mining_stream(stream, per_group, cells).writeStream.foreachBatch(add)
+                 .option("checkpointLocation", f"{base}-checkpoint")
+                 .trigger(availableNow=True).start())
+    try:
+        while not query.awaitTermination(1):
+            if full:
+                query.stop()
+                break
+    except StreamingQueryException:
+        # A batch that the stop broke off would have added nothing: all quotas are met and written.
+        if not full:
+            raise
+    return spark.read.schema(Quota.output).parquet(f"{out}/*")
 
 
 def run_isolated(stream: DataFrame, load: Callable, text: str = "text", hint: str = "hint",

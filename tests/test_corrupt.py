@@ -152,3 +152,18 @@ def test_pair_builders(spark):
 
 def test_quota_groups():
     assert len(m.GROUPS) == 11
+
+
+def test_cardinal_pairs_of_any_ids(spark):
+    wide = [0, 7, -5, 1 << 40, (1 << 40) + 7, (1 << 62), -(1 << 62), None]
+    df = spark.createDataFrame([(i,) for i in wide] * 2, "id long")
+    got = g.cardinal_pairs(df, 10**6, 43, attempts=3).collect()
+    texts = {}
+    for row in got:
+        assert texts.setdefault(row["pair_id"], row["output"]) == row["output"]
+    names = {r["pair_id"] for r in got}
+    assert "cardinal:0" in names or "cardinal:1099511627776" in names
+    assert len(names) > 12 and all(sum(r["pair_id"] == n for r in got) == 2 for n in names)
+    small = g.cardinal_pairs(df, 5, 43, attempts=3).collect()
+    assert len(small) == 5
+    assert g.cardinal_pairs(df.limit(0), 5, 43).count() == 0

@@ -237,3 +237,20 @@ def test_mining_stops_early(spark, tmp_path):
 def test_micros(spark):
     assert spark.sql("SELECT timestamp_ntz'1970-01-01 00:00:01' AS x").select(
         micros("x")).first()[0] == 1_000_000
+
+
+def test_mining_takes_no_more_than_its_quota(spark, tmp_path):
+    """Four batches, of which the third repeats the first and one group stays open to the end."""
+    texts = [[f"Here the {w} sentence number {chr(65 + n)}{chr(97 + i)} is long enough to pass." for i in range(12)]
+             for n, w in enumerate(["first", "second", "first", "weird"])]
+    texts[2] = texts[0]
+    for n, batch in enumerate(texts):
+        spark.createDataFrame([(n * 100 + i, text) for i, text in enumerate(batch)], "doc_id long, text string").coalesce(
+            1).write.mode("append").parquet(str(tmp_path / "docs"))
+    got = s.run_mining(s.source(spark, str(tmp_path / "docs") + "/", files_per_trigger=1), 15,
+                       path=str(tmp_path / "out"), cells=3)
+    rows = sorted((r["grp"], r["ord"] >> 20) for r in got.collect())
+    assert rows == ([("the", i) for i in range(12)] + [("the", 100 + i) for i in range(3)]
+                    + [("weir", 300 + i) for i in range(12)])
+    last = spark.read.schema(processors.Quota.output).parquet(str(tmp_path / "out" / "000000003"))
+    assert {r["grp"] for r in last.collect()} == {"weir"}
