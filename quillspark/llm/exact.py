@@ -73,17 +73,18 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id",
     """``docs`` with one row for each distinct text, all columns as they were.
 
     Rows that share id and text are one document met twice; one of them stays. The rows that go
-    are found by ``exact_dedup`` and taken out by an anti join on id and length.
+    are found by ``exact_dedup`` and taken out by an anti join on id and SHA-256. Null texts count as
+    empty; columns of any name travel inside a struct, so none can clash. An empty table stays empty.
     """
     decided = stored(exact_dedup(docs, id_col, text_col), "exact-decided")
     gone = decided.where(~F.col("kept")).select(F.col(id_col).alias("_gid"), F.col("text_sha256").alias("_gsha"))
     twice = (decided.where("kept and group_size > 1").groupBy(F.col(id_col).alias("_gid"), F.col("text_sha256").alias("_gsha"))
              .count().where("count > 1").select("_gid", "_gsha"))
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    same = F.col(id_col).eqNullSafe(F.col("_gid")) & (F.col("_sha") == F.col("_gsha"))
-    rows = docs.withColumn("_sha", sha)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"),
+                       F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("_sha"))
+    same = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_sha") == F.col("_gsha"))
     left = rows.join(gone.distinct(), same, "left_anti")
     if not twice.isEmpty():
-        again = left.join(twice, same, "left_semi").dropDuplicates([id_col, "_sha"])
+        again = left.join(twice, same, "left_semi").dropDuplicates(["_id", "_sha"])
         left = left.join(twice, same, "left_anti").unionByName(again)
-    return left.select(*docs.columns)
+    return left.select("_row.*")

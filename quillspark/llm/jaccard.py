@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quota import with_index
 from .common import (bitmap, grams, mix64, pieces, planes, small_batches, smallest_linked, stored, unplane,
                      word_hashes, words)
 
@@ -374,8 +375,21 @@ def _linked(heads: list, tokens: list[np.ndarray], num: int, den: int) -> list[t
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80,
                          den: int = 100, size: int = 5) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id. Of rows that
-    repeat that id all stay; rows with a null id stay."""
-    found = stored(jaccard_components(docs, id_col, text_col, num, den, size), "jaccard-found")
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id")) & F.col(id_col).isNotNull()).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """``docs`` with one document of each component: the one with the smallest id.
+
+    Rows with a null id stay, and so do texts without words. Where ids repeat, every row with another
+    text is a document of its own, numbered by (id, hash of its text); rows that repeat both are one document.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    if named.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        found = stored(jaccard_components(docs, id_col, text_col, num, den, size), "jaccard-found")
+        gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id")) & F.col(id_col).isNotNull()).select(id_col)
+        return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = stored(named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                               F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash")).alias("key"), text.alias("text")),
+                  "jaccard-rows").dropDuplicates(["key"])
+    numbered = with_index(rows, "key", "no")
+    found = stored(jaccard_components(numbered, "no", "text", num, den, size), "jaccard-found")
+    stay = found.where("no = component_id").select("no")
+    return numbered.join(stay, "no", "left_semi").select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

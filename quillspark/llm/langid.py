@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quota import first_k
 from .common import pieces
 
 
@@ -19,7 +20,7 @@ class Settings:
     hidden: int = 8
     span: int = 64            # bytes that one run of the network reads; texts are cut, none left out
     max_labels: int = 4_000   # labelled documents that the network is fitted on, at most
-    per_text: int = 4         # spans of each of them
+    per_text: int = 4         # spans of each of them that an epoch reads; every epoch reads others
     epochs: int = 3
     batch: int = 128
     seed: int = 11
@@ -88,27 +89,31 @@ class Network:
         g, h = g[::-1], self.s.hidden
         return f @ self.w[:h] + g @ self.w[h:] + self.b, f, g, tf, tg
 
-    def fit(self, data: np.ndarray, weight: np.ndarray, y: np.ndarray) -> None:
-        """Adam on the mean cross-entropy of all positions; data (row, time)."""
+    def fit(self, data: np.ndarray, weight: np.ndarray, y: np.ndarray, turn: np.ndarray | None = None) -> None:
+        """Adam on the mean cross-entropy of all positions; data (row, time).
+
+        ``turn`` names the epoch that reads a row; without it every epoch reads all.
+        """
         rng, s, h = np.random.default_rng(self.s.seed + 1), self.s, self.s.hidden
         p = {"w": self.w, "b": self.b, "fx": self.ahead.p["x"], "fu": self.ahead.p["u"],
              "gx": self.behind.p["x"], "gu": self.behind.p["u"]}
         m, v, t = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-        rounds = s.epochs * max(1, -(-len(y) // s.batch))
-        for _ in range(s.epochs):
-            order = rng.permutation(len(y))
-            for a in range(0, len(y), s.batch):
+        own = [np.arange(len(y)) if turn is None else np.flatnonzero(turn == e) for e in range(s.epochs)]
+        rounds = sum(-(-len(rows) // s.batch) for rows in own)
+        for rows in own:
+            order = rng.permutation(rows)
+            for a in range(0, len(order), s.batch):
                 i, t = order[a:a + s.batch], t + 1
-                rows = np.ascontiguousarray(data[i].T)
-                logits, f, g, tf, tg = self._logits(rows, keep=True)
+                seen = np.ascontiguousarray(data[i].T)
+                logits, f, g, tf, tg = self._logits(seen, keep=True)
                 d = _softmax(logits)
                 d[:, np.arange(len(i)), y[i]] -= 1
                 d *= (weight[i].T / weight[i].sum())[:, :, None]
                 grads = {"w": np.vstack([np.tensordot(f, d, ((0, 1), (0, 1))), np.tensordot(g, d, ((0, 1), (0, 1)))]),
                          "b": d.sum((0, 1))}
-                back = self.ahead.back(rows, tf, d @ self.w[:h].T)
+                back = self.ahead.back(seen, tf, d @ self.w[:h].T)
                 grads |= {"fx": back["x"], "fu": back["u"]}
-                back = self.behind.back(rows[::-1], tg, (d @ self.w[h:].T)[::-1])
+                back = self.behind.back(seen[::-1], tg, (d @ self.w[h:].T)[::-1])
                 grads |= {"gx": back["x"], "gu": back["u"]}
                 rate = 2e-2 * (1 - 0.9 * t / rounds)
                 for k, x in grads.items():
@@ -156,10 +161,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         settings: Settings = Settings()) -> Network | None:
     """A network fitted on at most ``max_labels`` of the rows of ``docs`` that have a language.
 
-    The sample takes ids in hash order; of each text it holds ``per_text`` spans spread evenly.
-    None if no row has both a text and a language.
+    Every language gets an equal share of the sample (one row at least, so that a rare one is learned
+    however many rows the others have), by ids in hash order; of each text it holds ``per_text`` spans for
+    every epoch, spread evenly over the whole text. Repeated rows count once, null ids and texts
+    and empty texts are not learned from. None if no row has both a text and a language.
     """
-    s = settings
+    s, k = settings, settings.per_text * settings.epochs
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("lang is not null and length(text) > 0")
 
@@ -168,25 +175,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             data, left, owner = spans(batch.column("text"), s.span)
             first = np.searchsorted(owner, np.arange(batch.num_rows))
             count = np.bincount(owner, minlength=batch.num_rows)
-            some = [data[f + c * k // s.per_text].tobytes()[:left[f + c * k // s.per_text]]
-                    for f, c in zip(first, count) for k in range(s.per_text)]
-            ends = np.arange(0, len(some) + 1, s.per_text, dtype=np.int32)
+            at = [f + c * j // k for f, c in zip(first, count) for j in range(k)]
+            some = [data[i].tobytes()[:left[i]] for i in at]
+            ends = np.arange(0, len(some) + 1, k, dtype=np.int32)
             parts = pa.ListArray.from_arrays(ends, pa.array(some, pa.binary()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), parts],
                                              ["id", "lang", "parts"])
 
     # Ids first, then the texts of the bounded sample: no text is sorted or sent to the driver.
-    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(s.max_labels).distinct()
+    some = rows.where("id is not null").select("lang", "id")
+    share = max(1, s.max_labels // max(1, some.select("lang").distinct().count()))
+    chosen = first_k(some.distinct().withColumn("at", F.xxhash64("id")), share, [F.col("at"), F.col("id")], ["lang"])
     kind = rows.schema["id"].dataType.simpleString()
-    got = (rows.join(F.broadcast(chosen), "id").mapInArrow(cut, f"id {kind}, lang string, parts array<binary>")
-           .toPandas().sort_values("id"))
+    got = (rows.join(F.broadcast(chosen.select("lang", "id")), ["lang", "id"]).select("id", "text", "lang")
+           .mapInArrow(cut, f"id {kind}, lang string, parts array<binary>").dropDuplicates(["id", "lang"])
+           .toPandas().sort_values(["id", "lang"]))
     if got.empty:
         return None
     names = sorted(set(got["lang"]))
-    y = np.repeat([names.index(x) for x in got["lang"]], s.per_text)
+    y = np.repeat([names.index(x) for x in got["lang"]], k)
+    turn = np.tile(np.arange(k) % s.epochs, len(got))
     data, left, _ = spans(pa.array([b for row in got["parts"] for b in row], pa.binary()), s.span)
     network = Network(names, s)
-    network.fit(data, (np.arange(s.span) < left[:, None]).astype(np.float32), y)
+    network.fit(data, (np.arange(s.span) < left[:, None]).astype(np.float32), y, turn)
     return network
 
 

@@ -202,3 +202,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col))
+
+
+def kept(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose whole text scores ``least`` or more, all columns as they were.
+
+    Decided inside the task that scores, so no column is added that could clash. Null and empty
+    texts are scored as texts without words; repeated rows each. No shuffle.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in pieces(batches, text_col, 1 << 20):
+            yield batch.filter(pa.array(m.network.score(pooled(batch.column(text_col), m.table, m.settings)) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
