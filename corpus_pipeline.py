@@ -12,29 +12,42 @@ from quillspark.sources.tables import table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.5 or more; those that the classifier rejects go."""
+    """Documents whose quality score is 0.5 or more; those that the classifier rejects go.
+
+    Null and empty texts are scored as texts without words, repeated rows each; an empty table stays
+    empty. No column is added on the way.
+    """
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(fold("doc_id") != 1)
     model = quality.fit(docs, labels)
-    return quality.score(docs, model, carry=True).where("_score >= 0.5").select(*docs.columns)
+    return quality.kept(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each distinct text, the one with the largest id."""
+    """One document of each distinct text, the one with the largest id; null ids come before all others.
+
+    Null texts count as empty. Of rows that share id and text one stays.
+    """
     return exact.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at Jaccard similarity 0.8 or more."""
+    """One document of each group linked by five-word shingles at Jaccard similarity 0.8 or more.
+
+    The one with the smallest id stays. Rows with null ids and texts without words stay all.
+    """
     return jaccard.drop_near_duplicates(docs, num=80, den=100, size=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: the words taken, a row per pass over a document."""
+    """The mix itself: the words taken, a row per pass over a document.
+
+    Null and empty texts have no words and give no row; a null source is a source.
+    """
     return mixing.take_words(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the token ids of each row."""
+    """doc_id, n_tokens and the token ids of each row; a null text has none."""
     tokens = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
