@@ -3,12 +3,13 @@ import os
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import examples as x
 from quillspark.operators import routing as r
-from quillspark.operators.hooks import KEPT_MODELS, answers, worker_model
+from quillspark.operators.hooks import KEPT_MODELS, SLICE_BYTES, SWEPT_BYTES, answers, slices, worker_model
 
 
 def calls_for(texts, bad):
@@ -100,3 +101,33 @@ def test_equally_frequent_tokens_of_one_prefix_are_ranked_over_tasks(spark):
     want = ["often", *sorted(w for w in words if w and w != "often")]
     assert [row["token"] for row in v.orderBy("token_id").collect()] == want
     assert [row["token_id"] for row in v.orderBy("token_id").collect()] == [x.FIRST_ID + i for i in range(len(want))]
+
+
+def test_texts_of_one_call_are_bounded():
+    batch = pa.RecordBatch.from_pydict({"n": list(range(6)), "text": ["aa", None, "a" * 50, "", "aaa", "aa"]})
+    got = list(slices([batch, batch.slice(0, 0)], "text", 5))
+    assert [b.column("n").to_pylist() for b in got] == [[0, 1], [2], [3, 4, 5]]
+
+
+def test_columns_of_a_model_do_not_pile_up(spark):
+    def load():
+        import weakref
+        seen = []
+
+        def model(texts, hints):
+            seen.append(weakref.ref(texts))
+            texts.str.len()
+            return pd.Series([str(sum(r() is not None for r in seen))] * len(texts))
+        return model
+
+    rows = spark.range(0, 120_000, 1, 1).select("id", F.repeat(F.lit("word "), 400).alias("text"), F.lit(None).cast("string").alias("hint"))
+    most = r.rewrite(rows, load).agg(F.max(F.col("rewritten").cast("int")), F.count("*")).first()
+    assert most[0] <= SWEPT_BYTES // SLICE_BYTES + 3 and most[1] == 120_000
+
+
+def test_other_columns_pass_the_rewriter_as_they_are(spark):
+    rows = spark.sql("SELECT 7 AS n, array(1.5D, NULL) AS a, TIMESTAMP '2020-01-02 03:04:05' AS at, "
+                     "text, hint FROM VALUES ('one', 'x'), (NULL, 'y'), ('', NULL) AS v(text, hint)")
+    out = r.rewrite(rows, lambda: lambda t, h: t.fillna("none") + h.fillna("-"))
+    assert out.select(*rows.columns).exceptAll(rows).isEmpty()
+    assert [x.rewritten for x in out.collect()] == ["onex", "noney", "-"]
