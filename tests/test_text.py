@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quillspark.functions import corrupt as c
 from quillspark.functions import text as t
 from quillspark.functions.verdict import with_verdict
 from quillspark.operators import evaluate as e
@@ -131,3 +132,34 @@ def test_variant_flags_of_any_number_of_variants(spark):
     assert got == {(case, v or "(none)"): flagged for case, v, flagged in rows}
     wide = {r.case_id: r for r in e.compare_variants(df, ["v0", "v23"]).collect()}
     assert all(wide[case].v23 == got[case, "v23"] for case in range(3))
+
+
+def test_tokens_break_at_every_white_space(column):
+    texts = ["", " \t ", "one", " a\u00a0b\x85c ", "x\ty\x1cz", "é\u2003ü\u3000\u3000ß", "a  b \n c", "tab\there"]
+    want = [x.split() for x in texts]
+    assert column(t.words, texts) == want
+    assert column(t.word_count, texts) == [len(w) for w in want]
+    assert column(t.collapse_spaces, texts) == [" ".join(w) for w in want]
+    assert column(t.words, [None]) == column(t.word_count, [None]) == column(t.collapse_spaces, [None]) == [None]
+
+
+def test_tokens_compile_no_pattern_a_row(spark):
+    """A split by a pattern compiles it for every row; the token steps split by a plain blank."""
+    rows = spark.createDataFrame([(1, "a b")], "id int, t string")
+    s = F.col("t")
+    for made in (t.word_count(s), t.collapse_spaces(s), c.insert_fillers(s, 42, F.col("id")),
+                 c.duplicate_words(s, 42, F.col("id")), c.drop_words(s, 42, F.col("id"))):
+        plan = rows.select(made)._jdf.queryExecution().analyzed().toString()
+        assert "split(" in plan and "u1681" not in plan and "regexp" not in plan
+
+
+def test_split_runs_no_lambda_a_sentence(spark):
+    rows = spark.createDataFrame([(1, " One here. \n Two\t there!  Three?\n")], "doc_id int, text string")
+    out = m.explode_sentences(rows)
+    assert "lambda" not in out._jdf.queryExecution().analyzed().toString()
+    assert [r.sentence for r in out.orderBy("sent_idx").collect()] == ["One here.", "Two\t there!", "Three?"]
+
+
+def test_fillers_beside_other_letters_stay(column):
+    assert column(t.strip_fillers, ["éum um Umm, sum likeé like SO s\u017fo \u017fo umé", "x like_ you KNOW"]) == [
+        "éum  , sum likeé   s\u017fo  umé", "x like_ "]
