@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,38 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Steps(dict):
+    """What one more byte does to a text whose longest suffix that begins a token is known.
+
+    By that suffix and the byte: the length of the new longest suffix, and (length, rank) of the tokens
+    that end there, longest first. Filled as texts ask for it, so that no text looks up what is no token twice.
+    """
+
+    def __init__(self, rank_of: dict[bytes, int]):
+        super().__init__()
+        self.rank_of = rank_of
+        self.prefixes = {t[:k] for t in rank_of for k in range(1, len(t) + 1)}
+
+    def __missing__(self, key: bytes) -> tuple[int, tuple[tuple[int, int], ...]]:
+        span = len(key)
+        while span > 1 and key[-span:] not in self.prefixes:
+            span -= 1
+        ends = ((size, self.rank_of.get(key[-size:])) for size in range(span, 0, -1))
+        self[key] = step = (span, tuple(e for e in ends if e[1] is not None))
+        return step
+
+
+class Borders(dict):
+    """Answers of ``Vocabulary.adjoin`` by pair of tokens, worked out as texts ask for them."""
+
+    def __init__(self, vocab: Vocabulary):
+        super().__init__()
+        self.vocab = vocab
+
+    def __missing__(self, pair: tuple[int, int]) -> bool:
+        return self.vocab.adjoin(*pair)
+
+
 class Vocabulary:
     """Tokens by rank: single bytes come before merged tokens, these in order of their merge."""
 
@@ -49,8 +81,8 @@ class Vocabulary:
             if rank == len(self.halves):
                 self.halves.append((left, right))
                 self.id_of_rank.append(spec["model"]["vocab"][a + b])
-        self.prefixes = {t[:k] for t in self.rank_of for k in range(1, len(t) + 1)}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.steps = Steps(self.rank_of)
+        self.fits = Borders(self)
 
     def adjoin(self, left: int, right: int) -> bool:
         """Whether merging leaves ``left`` and ``right`` side by side, as tokens of their own.
@@ -109,16 +141,17 @@ class Trie:
 
     def __init__(self, vocab: Vocabulary, limit: int = 120_000):
         self.vocab, self.limit = vocab, limit
-        self.ids: dict[str, tuple[int, ...]] = {}
+        self.ids: dict[str, bytes] = {}
 
-    def encode(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each word, by word."""
+    def encode(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each word, by word, as 32-bit numbers in one piece of memory."""
         if not self.ids or len(self.ids) > self.limit:
-            self.ids = {s: (i,) for s, i in self.vocab.special.items()}
-        new = sorted((w.encode(), w) for w in words - self.ids.keys())
-        vocab = self.vocab
-        prefixes, rank_of, fits, id_of = vocab.prefixes, vocab.rank_of, vocab.fits, vocab.id_of_rank
-        ids, before = self.ids, b""
+            self.ids = {s: array("i", [i]).tobytes() for s, i in self.vocab.special.items()}
+        ids, before, vocab = self.ids, b"", self.vocab
+        new = sorted((w.encode(), w) for w in words if w not in ids)
+        steps, fits, id_of = vocab.steps, vocab.fits, vocab.id_of_rank
+        if len(steps) > 150_000:
+            steps.clear()
         # By depth: last token, depth of the prefix before it, longest suffix that begins a token.
         last, back, reach = [-1], [0], [0]
         for raw, word in new:
@@ -128,19 +161,12 @@ class Trie:
             del last[depth + 1:], back[depth + 1:], reach[depth + 1:]
             span = reach[depth]
             for at in range(depth + 1, len(raw) + 1):
-                span += 1
-                while span > 1 and raw[at - span:at] not in prefixes:
-                    span -= 1
+                span, ends = steps[raw[at - span - 1:at]]
                 reach.append(span)
-                for size in range(span, 0, -1):
-                    rank = rank_of.get(raw[at - size:at])
-                    if rank is None:
-                        continue
+                for size, rank in ends:
                     if at == size:
                         break
-                    pair = (last[at - size], rank)
-                    fit = fits.get(pair)
-                    if fit or (fit is None and vocab.adjoin(*pair)):
+                    if fits[last[at - size], rank]:
                         break
                 last.append(rank)
                 back.append(at - size)
@@ -149,7 +175,7 @@ class Trie:
                 out.append(id_of[last[at]])
                 at = back[at]
             out.reverse()
-            ids[word], before = tuple(out), raw
+            ids[word], before = array("i", out).tobytes(), raw
         return ids
 
 
@@ -164,7 +190,7 @@ class Encoder:
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self._parts(t) for t in texts]
         ids = self.trie.encode(set().union(*parts))
-        return [np.fromiter(chain.from_iterable(map(ids.__getitem__, p)), np.int32) for p in parts]
+        return [np.frombuffer(b"".join(map(ids.__getitem__, p)), np.int32) for p in parts]
 
     def _parts(self, text: str) -> list[str]:
         """Words and special tokens; no word has the text of a special token."""
