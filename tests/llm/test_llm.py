@@ -137,6 +137,22 @@ def test_bpe_as_the_library(spark):
         assert r["ids"] == lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids and r["text"] == texts[r["doc_id"]]
 
 
+def test_bpe_looks_up_a_step_once():
+    class Asked(dict):
+        n = 0
+
+        def get(self, key, default=None):
+            self.n += 1
+            return super().get(key, default)
+
+    vocab = bpe.Vocabulary(FILE)
+    asked = vocab.rank_of = vocab.steps.rank_of = Asked(vocab.rank_of)
+    trie = bpe.Trie(vocab, limit=0)
+    first = dict(trie.encode({"therebleing", " thatandou"}))
+    n = asked.n
+    assert n > 0 and trie.encode({"therebleing", " thatandou"}).items() >= first.items() and asked.n == n
+
+
 def test_exact_keeps_the_largest(odd):
     rows = exact.exact_dedup(odd).toPandas()
     assert set(rows[rows.group_size == 2].keep_id.dropna()) == {2, 6, 9} or set(rows[rows.kept].doc_id.dropna()) >= {2, 6, 9}
