@@ -167,3 +167,20 @@ def test_cardinal_pairs_of_any_ids(spark):
     small = g.cardinal_pairs(df, 5, 43, attempts=3).collect()
     assert len(small) == 5
     assert g.cardinal_pairs(df.limit(0), 5, 43).count() == 0
+
+
+def test_a_digest_is_made_once_for_its_gates(spark):
+    """The gates of the full mix read two digests; each was made for every gate, and all of it twice."""
+    plan = spark.range(1).select(c.full_mix_ops(1, F.col("id")).alias("o"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("|full|") == 2
+    drop = spark.range(1).select(c.drop_words(F.lit(TEXT), 1, F.col("id")).alias("o"))._jdf.queryExecution().analyzed().toString()
+    assert drop.count("|drop|") == 1
+
+
+def test_cheap_tests_in_front_lose_no_word(column):
+    texts = ["Right éno no, NO _no", "Know it'sİt", "ITS xto theń", "nothing", "", None]
+    assert column(lambda s: c.homophone_swaps(s, 1, F.lit(1), p=1.0), texts) == [
+        "Write éno know, know _no", "No itsİt" if False else "No it'sİt", "it's xto thań", "nothing", "", None]
+    assert column(lambda s: c.replace_first(s, "don't", "dont"), ["xdon't édon't don't don't", "don't1", None]) == [
+        "xdon't édon't dont don't", "don't1", None]
+    assert column(c.remove_punctuation, ["a.b,c?!;:é. ", ".,", None]) == ["abcé ", "", None]
